@@ -6,7 +6,7 @@ import importlib
 
 from motionlake.catalog.registry import ENTRIES, Entry
 
-MODULES = ("tracks",)
+MODULES = ("tracks", "poses")
 
 
 def entries() -> dict[str, Entry]:

@@ -61,8 +61,12 @@ def file_suffix(path: Column) -> Column:
 
 
 def natural_key(text: Column, width: int = 20) -> Column:
-    """Sort key in which digit runs compare as numbers and letters ignore case."""
-    padded = F.regexp_replace(F.lower(text), r"(\d+)", "0" * width + "$1")
+    """Sort key in which digit runs compare as numbers and letters ignore case.
+
+    A control character before each padded number makes a text that ends there sort
+    before any longer text, as comparing the parts one by one would.
+    """
+    padded = F.regexp_replace(F.lower(text), r"(\d+)", "\u0001" + "0" * width + "$1")
     return F.regexp_replace(padded, rf"0*(\d{{{width}}})(?!\d)", "$1")
 
 
