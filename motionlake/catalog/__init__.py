@@ -6,7 +6,7 @@ import importlib
 
 from motionlake.catalog.registry import ENTRIES, Entry
 
-MODULES = ("tracks", "poses")
+MODULES = ("tracks", "poses", "distances")
 
 
 def entries() -> dict[str, Entry]:

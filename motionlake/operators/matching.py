@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 
 from motionlake import spec
 from motionlake.functions import kernels
-from motionlake.functions.ordered import number_rows
 from motionlake.operators import timewarp
 from motionlake.operators.distance import pairs
 
@@ -70,15 +69,16 @@ def clip_rows(frames: DataFrame, keep: Sequence[str] = GROUP, key: str = KEY) ->
     )
 
 
-def bank_chunks(bank_clips: DataFrame, key: str = KEY, group: Sequence[str] = GROUP) -> DataFrame:
-    """Experts packed CHUNK to a row; chunks hold clips of one length."""
-    numbered = number_rows(
-        bank_clips, [*group, "frames"], [key], F.pmod(F.lit(0) * F.col("frames"), F.lit(1)), "_rank"
-    )
+def bank_chunks(
+    bank_clips: DataFrame, experts: int, key: str = KEY, group: Sequence[str] = GROUP
+) -> DataFrame:
+    """Experts packed about CHUNK to a row by hash; a chunk holds clips of one length."""
+    parts = max(1, -(-experts // CHUNK))
+    entry = F.struct(F.col(key).alias("id"), "seq", "conf")
     return (
-        numbered.withColumn("_chunk", F.floor(F.col("_rank") / CHUNK))
+        bank_clips.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(parts)))
         .groupBy(*group, "frames", "_chunk")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), "seq", "conf"))).alias("experts"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("experts"))
         .select(
             *group,
             "frames",
@@ -130,8 +130,8 @@ def nearest_expert(
     without any same-group expert is absent; see :func:`without_expert`.
     """
     experts = clip_rows(bank, group)
-    chunks = bank_chunks(experts, group=group)
-    n_experts = experts.select(KEY).count()
+    n_experts = bank.select(KEY).distinct().count()
+    chunks = bank_chunks(experts, n_experts, group=group)
     rows = join_chunks(clip_rows(students, group), chunks, n_experts, group)
     id_type = students.schema[KEY].dataType
     schema = T.StructType(
@@ -163,7 +163,7 @@ def nearest_expert(
                 out.append((getattr(row, KEY), ids[use][best], float(found[best]), float(found.sum()), int(use.sum())))
             yield pd.DataFrame(out, columns=schema.names)
 
-    # rows carry a whole chunk of experts: keep Arrow batches small in bytes
+    # rows carry a whole chunk of experts; Spark bounds an Arrow batch by its bytes
     scored = rows.mapInPandas(run, schema)
     return scored.groupBy(KEY).agg(
         F.min(F.struct("distance", "expert_id")).alias("_best"),
