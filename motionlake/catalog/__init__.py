@@ -6,7 +6,7 @@ import importlib
 
 from motionlake.catalog.registry import ENTRIES, Entry
 
-MODULES = ("tracks", "poses", "distances")
+MODULES = ("tracks", "poses", "distances", "scores")
 
 
 def entries() -> dict[str, Entry]:

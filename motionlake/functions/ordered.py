@@ -10,6 +10,7 @@ window functions partitioned by ``(group, block)``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,17 +118,20 @@ def number_rows(
     order: Sequence[Column | str],
     block: Column,
     name: str = "frame",
+    total: str | None = None,
 ) -> DataFrame:
     """0-based row number per group; ``block`` must be monotone in ``order``.
 
     Two levels: block sizes give offsets, rows are numbered inside (group, block).
+    ``total`` names an optional column with the group's row count.
     """
     marked = df.withColumn("_block", block)
     sizes = marked.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*by).orderBy("_block")
-    offsets = sizes.select(
-        *by, "_block", (F.sum("_size").over(before) - F.col("_size")).alias("_offset")
-    )
+    columns = [(F.sum("_size").over(before) - F.col("_size")).alias("_offset")]
+    if total:
+        columns.append(F.sum("_size").over(Window.partitionBy(*by)).alias(total))
+    offsets = sizes.select(*by, "_block", *columns)
     inside = Window.partitionBy(*by, "_block").orderBy(*order)
     return (
         marked.join(offsets, [*by, "_block"])
@@ -136,6 +140,27 @@ def number_rows(
     )
 
 
+SPLITTERS = 32
+
+
+def sampled_block(df: DataFrame, key: str) -> Column:
+    """Monotone block of a text key from at most 1024 sampled splitters.
+
+    The splitters are the keys with the smallest MD5 (a repeatable top-n, not a sort)
+    and become a constant of the plan, so retried tasks agree. A 32 x 32 search tree
+    finds the block with at most 64 comparisons.
+    """
+    n = SPLITTERS * SPLITTERS
+    rows = df.select(key).distinct().orderBy(F.md5(key), key).limit(n).collect()
+    keys = sorted((r[0] for r in rows if r[0] is not None), key=lambda k: k.encode())
+    fine = [keys[i : i + SPLITTERS] for i in range(0, len(keys), SPLITTERS)]
+    tree = F.from_json(F.lit(json.dumps(fine)), "array<array<string>>")
+    coarse = F.from_json(F.lit(json.dumps([f[0] for f in fine])), "array<string>")
+    at = F.size(F.filter(coarse, lambda s: s <= F.col(key)))
+    inside = F.size(F.filter(F.get(tree, at - 1), lambda s: s <= F.col(key)))
+    return F.when(at == 0, 0).otherwise(at * (SPLITTERS + 1) + F.coalesce(inside, F.lit(0)))
+
+
 def first_by(*order: Column, payload: Sequence[Column]) -> Column:
     """Aggregate: payload of the row that is smallest by ``order`` (partial-aggregable).
 

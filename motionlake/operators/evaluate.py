@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.functions.columns import finite
-from motionlake.functions.ordered import average_ranks, exact_percentiles, percentile_table
+from motionlake.functions.ordered import average_ranks, exact_percentiles
 from motionlake.operators import matching as M
 from motionlake.operators.grading import separation_auc
 
@@ -51,3 +51,233 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     return s.select(*by, F.when((F.col("n") >= 3) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("spearman"))
+
+
+# --- source comparison --------------------------------------------------------------
+
+
+def with_status(
+    manifest: DataFrame, candidates: DataFrame, on: Sequence[str], names: DataFrame
+) -> DataFrame:
+    """Every manifest row per candidate name; rows a candidate lacks are 'missing'.
+
+    ``names`` is the short list of candidate names and is broadcast.
+    """
+    wanted = manifest.withColumn("_one", F.lit(1)).join(
+        F.broadcast(names.withColumn("_one", F.lit(1))), "_one"
+    ).drop("_one")
+    found = candidates.withColumn("_found", F.lit(True))
+    return wanted.join(found, [*on, "candidate"], "left").withColumn(
+        "status", F.when(F.col("_found"), "success").otherwise("missing")
+    ).drop("_found")
+
+
+def interval_iou(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
+    """Overlap of two inclusive integer intervals over their span."""
+    inter = F.greatest(F.lit(0), F.least(end_a, end_b) - F.greatest(start_a, start_b) + 1)
+    span = F.greatest(end_a, end_b) - F.least(start_a, start_b) + 1
+    return inter / F.greatest(span, F.lit(1))
+
+
+def anchor_agreement(own: Column, reference: Column, fps: Column) -> dict[str, Column]:
+    """Anchor error in frames and milliseconds and the share within 100 ms."""
+    gaps = F.zip_with(own, reference, lambda a, b: F.abs(a - b))
+    total = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, g: acc + g)
+    mean = total / F.size(gaps)
+    rate = F.when(fps > 0, fps).otherwise(30.0)
+    limit = F.greatest(F.lit(1.0), F.rint(rate * 0.1))
+    return {
+        "checkpoint_mae_frames": mean,
+        "checkpoint_mae_milliseconds": mean * 1000.0 / rate,
+        "checkpoint_recall_100ms": F.size(F.filter(gaps, lambda g: g <= limit)) / F.size(gaps),
+    }
+
+
+def pose_agreement(pairs_: DataFrame, keys: Sequence[str] = (KEY,), limit: float = 0.2) -> DataFrame:
+    """Mean joint distance, share of joints within ``limit`` and mean angle error in degrees.
+
+    Null where nothing was observed.
+    """
+    from motionlake.operators.distance import ANGLE, JOINT, frame_terms
+
+    terms = frame_terms(pairs_, keys)
+    err, mask = F.col("err"), F.col("mask")
+    joint, angle = F.col("kind") == JOINT, F.col("kind") == ANGLE
+
+    def mean(kind: Column, factor: float = 1.0) -> Column:
+        den = F.sum(F.when(kind, mask))
+        return F.when(den > 1e-8, F.sum(F.when(kind, err * factor * mask)) / den)
+
+    seen = joint & (mask > 0.05)
+    return terms.groupBy(*keys).agg(
+        mean(joint).alias("pose_distance_2d"),
+        F.avg(F.when(seen, (err <= limit).cast("double"))).alias("pck_02"),
+        mean(angle, 180.0).alias("joint_angle_mae_degrees"),
+    )
+
+
+def metric_summary(
+    details: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("candidate",), part: str = "skill"
+) -> DataFrame:
+    """Mean and exact p95 of every metric per part and over all, in long form.
+
+    NaN, infinite and null values are left out of a metric, not out of the counts.
+    """
+    keys = [*by, part]
+    both = details.withColumn(part, F.explode(F.array(F.col(part), F.lit("all"))))
+    counts = both.groupBy(*keys).agg(
+        F.sum((F.col("status") == "success").cast("int")).alias("samples"),
+        F.sum((F.col("status") != "success").cast("int")).alias("failures"),
+    )
+    good = both.where(F.col("status") == "success").select(
+        *keys,
+        F.inline(
+            F.array(*[F.struct(F.lit(m).alias("metric"), finite(F.col(m).cast("double")).alias("v")) for m in metrics])
+        ),
+    )
+    means = good.groupBy(*keys, "metric").agg(F.avg("v").alias("mean"))
+    p95 = exact_percentiles(good, [*keys, "metric"], "v", {"p95": 0.95})
+    names = F.explode(F.array(*[F.lit(m) for m in metrics]))
+    return (
+        counts.withColumn("metric", names)
+        .join(means, [*keys, "metric"], "left")
+        .join(p95, [*keys, "metric"], "left")
+    )
+
+
+def criterion_errors(own: Column, reference: Column) -> Column:
+    """Absolute differences of two equally long grade arrays."""
+    return F.zip_with(own, reference, lambda a, b: F.abs(a - b))
+
+
+def array_mean(values: Column) -> Column:
+    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    return F.when(F.size(values) > 0, total / F.size(values))
+
+
+def grading_summary(rows: DataFrame, by: Sequence[str] = ("candidate",), part: str = "skill") -> DataFrame:
+    """Agreement of candidate grades with the oracle per part and over all.
+
+    Needs label, split, total_score, oracle_total_score and criterion_score_mae.
+    Calibration rows only feed the calibration mean.
+    """
+    keys = [*by, part]
+    both = rows.withColumn(part, F.explode(F.array(F.col(part), F.lit("all"))))
+    calibrating = F.col("split") == "calibration"
+    test = both.where(~calibrating)
+    error = F.abs(F.col("total_score") - F.col("oracle_total_score"))
+    of = lambda label: F.when(F.col("label") == label, F.col("total_score"))
+    base = test.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("test_samples"),
+        F.sum((F.col("label") == "experts").cast("int")).alias("test_experts"),
+        F.sum((F.col("label") == "beginners").cast("int")).alias("test_beginners"),
+        F.avg(error).alias("total_score_mae"),
+        F.avg("criterion_score_mae").alias("criterion_score_mae"),
+        F.avg(of("experts")).alias("expert_score_mean"),
+        F.avg(of("beginners")).alias("beginner_score_mean"),
+    )
+    calibration_mean = both.where(calibrating).groupBy(*keys).agg(
+        F.avg("total_score").alias("calibration_beginner_score_mean")
+    )
+    rank = spearman(test, "total_score", "oracle_total_score", keys).withColumnRenamed("spearman", "score_spearman")
+    lowered = test.withColumn("_v", -F.col("total_score"))
+    auc = separation_auc(lowered, "_v", F.col("label") == "beginners", keys).withColumnRenamed("auc", "expert_beginner_auc")
+    return (
+        base.join(rank, keys, "left").join(auc, keys, "left").join(calibration_mean, keys, "left")
+    )
+
+
+def expected_counts(manifest: DataFrame, calibration_keys: DataFrame, on: Sequence[str], part: str = "skill") -> DataFrame:
+    """Clips an evaluation should contain: all experts and the beginners not used to calibrate."""
+    usable = manifest.join(calibration_keys.select(*on).withColumn("_cal", F.lit(True)), list(on), "left").where(
+        (F.col("label") == "experts") | F.col("_cal").isNull()
+    )
+    both = usable.withColumn(part, F.explode(F.array(F.col(part), F.lit("all"))))
+    return both.groupBy(part).agg(F.count(F.lit(1)).alias("expected_evaluation_samples"))
+
+
+# --- corrections --------------------------------------------------------------------
+
+
+def correction_summary(rows: DataFrame, threshold: Column, by: Sequence[str] = ()) -> DataFrame:
+    """One summary per group from per-student correction rows.
+
+    Ratios are averaged per student; the bone change is the maximum of the per-row p95.
+    """
+    near, before = F.col("corrected_nearest_expert_distance"), F.col("input_nearest_expert_distance")
+    tiny = F.lit(1e-8)
+    share = lambda c: F.avg(c.cast("double"))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.avg(before).alias("input_nearest_expert_distance"),
+        F.avg(near).alias("corrected_nearest_expert_distance"),
+        F.avg("corrected_nearest_unseen_expert_distance").alias("corrected_nearest_unseen_expert_distance"),
+        F.avg(near / F.greatest(before, tiny)).alias("nearest_distance_ratio"),
+        share(near < before).alias("improved_fraction"),
+        share(near <= threshold).alias("within_expert_range_fraction"),
+        F.avg("corrected_reference_target_distance").alias("mean_reference_target_distance"),
+        F.max("corrected_reference_target_distance").alias("max_reference_target_distance"),
+        F.avg("input_mean_expert_distance").alias("input_mean_expert_distance"),
+        F.avg("corrected_mean_expert_distance").alias("corrected_mean_expert_distance"),
+        F.avg(
+            F.col("corrected_mean_expert_distance") / F.greatest(F.col("input_mean_expert_distance"), tiny)
+        ).alias("mean_expert_distance_ratio"),
+        F.max("max_joint_correction").alias("max_joint_correction"),
+        F.avg("mean_correction_acceleration").alias("mean_correction_acceleration"),
+        F.avg("reference_correction_acceleration").alias("mean_reference_correction_acceleration"),
+        F.avg("correction_acceleration_ratio").alias("mean_correction_acceleration_ratio"),
+        F.max("p95_relative_bone_change").alias("p95_relative_bone_change"),
+    )
+
+
+GATE = {
+    "improved_fraction": 1.0,
+    "within_expert_range_fraction": 1.0,
+    "max_reference_target_distance": 0.1,
+    "max_correction": 0.8,
+    "acceleration_ratio": 1.1,
+    "bone_change": 1e-3,
+}
+
+
+def acceptance_gate(metrics: DataFrame, limits: Mapping[str, float] = GATE, order: str = "epoch", by: Sequence[str] = ()) -> DataFrame:
+    """Mark accepted rows and the best one: smallest corrected distance, earliest on ties.
+
+    ``expert_p95`` is the allowed nearest distance of each row.
+    """
+    ok = (
+        (F.col("improved_fraction") >= limits["improved_fraction"])
+        & (F.col("within_expert_range_fraction") >= limits["within_expert_range_fraction"])
+        & (F.col("corrected_nearest_expert_distance") <= F.col("expert_p95"))
+        & (F.col("max_reference_target_distance") <= limits["max_reference_target_distance"])
+        & (F.col("max_joint_correction") <= limits["max_correction"] * 1.5)
+        & (F.col("mean_correction_acceleration_ratio") <= limits["acceleration_ratio"])
+        & (F.col("p95_relative_bone_change") < limits["bone_change"])
+    )
+    marked = metrics.withColumn("accepted", F.coalesce(ok, F.lit(False)))
+    best = marked.where("accepted").groupBy(*by).agg(
+        F.min(F.struct("corrected_nearest_expert_distance", order)).alias("_b")
+    )
+    best = best.select(*by, F.col(f"_b.{order}").alias(order), F.lit(True).alias("_best"))
+    return marked.join(F.broadcast(best), [*by, order], "left").withColumn(
+        "best", F.coalesce("_best", F.lit(False))
+    ).drop("_best")
+
+
+def safety_violations(summary: DataFrame, limits: Mapping[str, float] = GATE) -> DataFrame:
+    """Summaries an accepted model must not produce over all students."""
+    return summary.where(
+        (F.col("max_joint_correction") > limits["max_correction"] * 1.5)
+        | (F.col("mean_correction_acceleration_ratio") > limits["acceleration_ratio"])
+        | (F.col("p95_relative_bone_change") >= limits["bone_change"])
+        | (F.col("max_reference_target_distance") > limits["max_reference_target_distance"])
+    )
+
+
+def runtime_stats(runs: DataFrame, by: Sequence[str], seconds: str = "seconds", frames: str = "frames") -> DataFrame:
+    """Mean and p95 latency per clip and frames per second over all clips."""
+    by = list(by)
+    base = runs.groupBy(*by).agg(
+        F.avg(seconds).alias("mean_seconds"), (F.sum(frames) / F.sum(seconds)).alias("fps")
+    )
+    return base.join(exact_percentiles(runs, by, seconds, {"p95_seconds": 0.95}), by)
