@@ -6,7 +6,7 @@ import importlib
 
 from motionlake.catalog.registry import ENTRIES, Entry
 
-MODULES = ("tracks", "poses", "distances", "scores")
+MODULES = ("tracks", "poses", "distances", "scores", "notes", "streams", "jobs")
 
 
 def entries() -> dict[str, Entry]:

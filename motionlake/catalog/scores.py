@@ -686,7 +686,7 @@ def x16(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.file_name(url).alias("file_name"), C.file_suffix(url).alias("suffix"))
 
 
-@query("x17_timestamps", ctes=("f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 = 0 THEN 30.0::DOUBLE ELSE 25.0::DOUBLE END fps FROM lineitem)",), sql="SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_partkey / fps, 6) AS "seconds" FROM f")
+@query("x17_timestamps", ctes=("f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 = 0 THEN 30.0::DOUBLE ELSE 25.0::DOUBLE END fps FROM lineitem)",), sql='SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_partkey / fps, 6) AS "seconds" FROM f')
 def x17(spark, sf_dir):
     fps = F.when(F.col("l_linenumber") % 3 == 0, 0.0).otherwise(25.0)
     rate = F.when(fps > 0, fps).otherwise(30.0)

@@ -25,23 +25,27 @@ def local_session(cores: str = "*", app: str = "motionlake") -> SparkSession:
     )
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    local[*] session without that setting gets a temporary folder; on a cluster a
-    missing setting is an error, because a machine-local folder would not survive
-    the loss of an executor.
+    It is the one the session names in ``spark.checkpoint.dir``. Only a local[*] session
+    without that setting gets a temporary folder; on a cluster a missing setting is an
+    error, because a machine-local folder would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="motionlake-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="motionlake-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 

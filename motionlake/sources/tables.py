@@ -37,14 +37,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_details(frames: Sequence[DataFrame], path: str) -> DataFrame:
-    """Union ragged tables; the header is the sorted union of their columns."""
+def ragged_union(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union of tables with different columns; the header is their sorted union."""
     both = frames[0]
     for other in frames[1:]:
         both = both.unionByName(other, allowMissingColumns=True)
-    ordered = both.select(*sorted(both.columns))
-    write_csv(ordered, path)
-    return ordered
+    return both.select(*sorted(both.columns))
 
 
 def write_documents(df: DataFrame, path: str, document: str = "document") -> None:
@@ -105,12 +103,9 @@ def concat_scores(beginners: DataFrame | None, experts: DataFrame | None, spark:
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Annotation samples from JSON lines; blank lines are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
-    return lines.select(F.from_json("value", _struct(ANNOTATION_SCHEMA)).alias("d")).select("d.*")
+    return parse_samples(spark.read.text(path))
 
 
-def _struct(schema: str) -> str:
-    import re
-
-    # "a int, b struct<...>" -> "struct<a:int, b:struct<...>>" at the top level only
-    return "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", schema) + ">"
+def parse_samples(lines: DataFrame, text: str = "value") -> DataFrame:
+    trimmed = lines.select(F.trim(text).alias("_t")).where(F.col("_t") != "")
+    return trimmed.select(F.from_json("_t", ANNOTATION_SCHEMA).alias("d")).select("d.*")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -75,11 +76,10 @@ def latest_writer(target: str, order: list[str], key: str = "sample_id", buckets
 
 def read_latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
     """Current state: for every bucket the rows of its highest version."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder) or not fs.listStatus(folder):
+    try:
+        rows = spark.read.option("basePath", target).parquet(target)
+    except AnalysisException:  # nothing has been written yet
         return None
-    rows = spark.read.option("basePath", target).parquet(target)
     if before is not None:
         rows = rows.where(F.col("version") < before)
     newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
