@@ -17,6 +17,7 @@ from motionlake.functions.columns import norm
 from motionlake.functions.ordered import exact_percentiles, number_rows
 from motionlake.functions.timeblocks import BLOCK_FRAMES, join_per_key
 from motionlake.operators.tracks import interpolate_gaps, motion_score
+from motionlake.session import settle
 
 KEY = "clip_id"
 JOINT_COLUMNS = ("joint", "x", "y", "z", "conf")
@@ -347,13 +348,16 @@ def bone_lengths(frames: DataFrame, keys: Sequence[str] = (KEY, "frame")) -> Dat
     )
 
 
+def _median_bone(frames: DataFrame, key: str) -> DataFrame:
+    usable = bone_lengths(frames).where(F.col("observed") & (F.col("length") > 1e-8))
+    return exact_percentiles(usable, [key], "length", {"_median": 0.5})
+
+
 def body_scale(frames: DataFrame, key: str = KEY) -> DataFrame:
     """Median observed bone length per clip (exact, distributed), 1 where none is usable."""
-    usable = bone_lengths(frames).where(F.col("observed") & (F.col("length") > 1e-8))
-    median = exact_percentiles(usable, [key], "length", {"_median": 0.5})
-    clips = frames.groupBy(key).agg(F.max("frame").alias("_last"))
-    return clips.join(median, key, "left").select(
-        key, F.coalesce("_median", F.lit(1.0)).alias("scale"), "_last"
+    clips = frames.select(key).distinct()
+    return clips.join(_median_bone(frames, key), key, "left").select(
+        key, F.coalesce("_median", F.lit(1.0)).alias("scale")
     )
 
 
@@ -376,11 +380,15 @@ def normalize_pose(
     if not search:
         marked = marked.withColumn("_ok", F.col("frame") == 0)
     axes = marked.groupBy(key).agg(
-        F.min(F.when(F.col("_ok"), F.struct("frame", "_axes"))).alias("_pick")
+        F.min(F.when(F.col("_ok"), F.struct("frame", "_axes"))).alias("_pick"),
+        F.max("frame").alias("_last"),
     )
     identity = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
-    params = axes.join(body_scale(frames, key), key).select(
-        key, F.coalesce(F.col("_pick._axes"), identity).alias("_axes"), "scale", "_last"
+    params = axes.join(_median_bone(frames, key), key, "left").select(
+        key,
+        F.coalesce(F.col("_pick._axes"), identity).alias("_axes"),
+        F.coalesce("_median", F.lit(1.0)).alias("scale"),
+        "_last",
     )
     flip = F.when(F.lower(handedness) == "left", -1.0).otherwise(1.0) if dims == 3 else F.lit(1.0)
     joined = join_per_key(frames, params, [key], "_last").withColumn("_flip", flip)
@@ -428,7 +436,8 @@ def estimate_handedness(
         *[pick(j, a) for j in parts for a in ("x", "y")], F.count(F.lit(1)).alias("_parts")
     ).where(F.col("_parts") == len(parts))
     width = norm(F.col("x6") - F.col("x5"), F.col("y6") - F.col("y5"))
-    wide = wide.withColumn("_width", width)
+    # read four times below: keep the six joints instead of filling their gaps again
+    wide = settle(wide.withColumn("_width", width))
     usable = wide.where(F.col("_width") > 1e-8)
     median = exact_percentiles(usable, [key], "_width", {"_median": 0.5})
     enough = wide.groupBy(key).agg(

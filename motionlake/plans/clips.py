@@ -20,17 +20,17 @@ def prepare_clips(
     obs2: DataFrame,
     clips: DataFrame,
     strict_hand: bool = False,
-    durable: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(64-frame normalised clips, one summary row per clip incl. failures).
 
     ``obs3``/``obs2`` are sparse joints of retained frames (dense frame numbers, with
     ``source_frame``); ``clips`` has clip_id, skill, label, filename, fps and optional
     known_handedness and override_handedness. A failing clip keeps its error and takes
-    no part in later steps. ``durable`` cuts the lineage after window selection.
+    no part in later steps. Hands, tracks, windows and usable joints are each read by
+    several later steps, so they are written to the checkpoint folder once.
     """
     joints3 = P.dense_joints(obs3.select(KEY, "frame", "joint", "x", "y", "z"))
-    joints2 = P.dense_joints(obs2.select(KEY, "frame", "joint", "x", "y"), dims=2)
+    joints2 = settle(P.dense_joints(obs2.select(KEY, "frame", "joint", "x", "y"), dims=2))
     sizes = obs2.groupBy(KEY).agg((F.max("frame") + 1).alias("n"))
     estimate = P.estimate_handedness(joints2).withColumnRenamed("handedness", "estimate")
     base = clips.join(sizes, KEY, "left").fillna(0, ["n"]).join(estimate, KEY, "left")
@@ -42,10 +42,12 @@ def prepare_clips(
     else:
         hand, source = P.resolve_handedness(known, override, F.col("estimate"), F.col("filename"))
         hand_error = F.lit("")
-    meta = base.withColumns({"handedness": hand, "handedness_source": source, "_hand_error": hand_error})
-    sided = joints2.join(meta.select(KEY, "handedness", "skill"), KEY)
-    wrist = P.dominant_track(sided, "handedness", "wrist").withColumnRenamed(KEY, "track_id")
-    elbow = P.dominant_track(sided, "handedness", "elbow").withColumnRenamed(KEY, "track_id")
+    meta = settle(
+        base.withColumns({"handedness": hand, "handedness_source": source, "_hand_error": hand_error})
+    )
+    sided = joints2.where(F.col("joint").isin(7, 8, 9, 10)).join(meta.select(KEY, "handedness", "skill"), KEY)
+    wrist = settle(P.dominant_track(sided, "handedness", "wrist")).withColumnRenamed(KEY, "track_id")
+    elbow = settle(P.dominant_track(sided, "handedness", "elbow")).withColumnRenamed(KEY, "track_id")
     found = T.analysis_window(wrist, elbow).withColumnRenamed("track_id", KEY).drop("skill")
     windows = W.clamp_window(meta.join(found, KEY, "left"), "n").withColumnRenamed("error", "_window_error")
     windows = windows.withColumn(
@@ -55,14 +57,15 @@ def prepare_clips(
         .when(F.col("start").isNull() | F.col("end").isNull(), "dominant wrist or elbow tracking is insufficient")
         .otherwise(F.col("_window_error")),
     ).drop("_hand_error", "_window_error")
-    if durable:
-        windows = settle(windows)
+    windows = settle(windows)
     bounds = windows.where("error = ''").select(
         KEY, "handedness", "skill", "label", F.col("start").alias("_low"), F.col("end").alias("_high"), "peak"
     )
     merged = P.merge_confidence(joints3, joints2)
-    inside = rows_in_interval(merged, bounds, [KEY], "_low", "_high").withColumn(
-        "frame", F.col("frame") - F.col("_low")
+    inside = settle(
+        rows_in_interval(merged, bounds, [KEY], "_low", "_high").withColumn(
+            "frame", F.col("frame") - F.col("_low")
+        )
     )
     ratio = P.missing_joint_ratio(inside)
     torso = P.missing_torso(inside)
@@ -83,7 +86,7 @@ def prepare_clips(
     )
     good = status.where("status = 'success'").select(KEY)
     usable = inside.join(good, KEY, "left_semi").select(KEY, "frame", "joint", "x", "y", "z", "conf", "handedness", "skill", "label")
-    normal = P.normalize_pose(usable).join(bounds.select(KEY, "skill", "label"), KEY)
+    normal = settle(P.normalize_pose(usable)).join(bounds.select(KEY, "skill", "label"), KEY)
     sequence = W.resample(normal.select(KEY, "frame", "p", "c", "handedness", "skill", "label")).join(anchors, KEY)
     summary = status.select(
         KEY, "filename", "label", "skill", "handedness", "handedness_source",
