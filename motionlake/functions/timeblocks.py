@@ -21,12 +21,13 @@ def with_halo(
     order: str = "frame",
     before: int = 0,
     after: int = 0,
-    size: int = BLOCK_FRAMES,
+    size: int | None = None,
 ) -> DataFrame:
     """Add ``_block`` and copies of the rows neighbouring blocks look at.
 
     ``before``/``after`` are how many frames a row's window reaches back/ahead.
     """
+    size = size or BLOCK_FRAMES
     if max(before, after) >= size:
         raise ValueError("the halo must be smaller than a block")
     f = F.col(order)
@@ -41,8 +42,9 @@ def with_halo(
     return df.withColumn("_block", F.explode(blocks))
 
 
-def own_rows(df: DataFrame, order: str = "frame", size: int = BLOCK_FRAMES) -> DataFrame:
+def own_rows(df: DataFrame, order: str = "frame", size: int | None = None) -> DataFrame:
     """Drop the halo copies again."""
+    size = size or BLOCK_FRAMES
     return df.where(F.floor(F.col(order) / size) == F.col("_block")).drop("_block")
 
 
@@ -72,12 +74,13 @@ def neighbours(
     valid: Column,
     payload: Sequence[str],
     order: str = "frame",
-    size: int = BLOCK_FRAMES,
+    size: int | None = None,
 ) -> DataFrame:
     """Add structs ``_prev``/``_next``: nearest valid row at or before/after each row.
 
     ``order`` must be non-negative and unique per key for deterministic answers.
     """
+    size = size or BLOCK_FRAMES
     item = F.when(valid, F.struct(F.col(order).alias("at"), *[F.col(c) for c in payload]))
     rows = df.withColumn("_block", F.floor(F.col(order) / size)).withColumn("_item", item)
     w = block_window(keys, order)
@@ -117,13 +120,14 @@ def rows_in_interval(
     low: str,
     high: str,
     order: str = "frame",
-    size: int = BLOCK_FRAMES,
+    size: int | None = None,
 ) -> DataFrame:
     """Rows whose ``order`` lies in [low, high], joined on (keys, block).
 
     An interval is copied once per block it touches, so a long track is spread over
     its blocks instead of meeting its interval in one task.
     """
+    size = size or BLOCK_FRAMES
     wide = intervals.where(F.col(low) <= F.col(high)).withColumn(
         "_block",
         F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))),
@@ -142,7 +146,7 @@ def join_per_key(
     keys: Sequence[str],
     last: str,
     order: str = "frame",
-    size: int = BLOCK_FRAMES,
+    size: int | None = None,
     how: str = "inner",
 ) -> DataFrame:
     """Join one parameter row per key to that key's rows, block by block.
@@ -150,6 +154,7 @@ def join_per_key(
     ``last`` names the column of ``params`` with the key's largest frame; the column
     is consumed. Same idea as salting, with the block of frames as the salt.
     """
+    size = size or BLOCK_FRAMES
     wide = params.withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col(last) / size)))
     ).drop(last)
