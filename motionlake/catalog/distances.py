@@ -21,7 +21,7 @@ from motionlake.catalog.views import POSE_SQL
 from motionlake.operators import distance as D
 from motionlake.operators import grading as G
 from motionlake.operators import matching as M
-from motionlake.session import inline_table
+from motionlake.session import inline_table, settle
 
 WEIGHT_SQL = "jw AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{s}',{j},{w}::DOUBLE)" for s in spec.SKILLS for j, w in enumerate(spec.JOINT_WEIGHTS[s])
@@ -39,6 +39,11 @@ def pairs64(spark, sf_dir):
     return D.pairs(a, b, merge="product")
 
 
+def stored_pairs(spark, sf_dir):
+    """The same pairs, written out once for queries that read them several times."""
+    return settle(pairs64(spark, sf_dir))
+
+
 def _len(p: str, q: str, n: str) -> str:
     return "sqrt(" + "+".join(f"({p}.{n}{d}-{q}.{n}{d})**2" for d in "xyz") + ")"
 
@@ -144,7 +149,7 @@ def a06(spark, sf_dir):
     sql="SELECT clip_id, round(support,6) support_transition_distance, round(torso,6) torso_lean_transition_distance, round(trans,6) transition_distance FROM trans",
 )
 def a07(spark, sf_dir):
-    out = D.transition_components(pairs64(spark, sf_dir))
+    out = D.transition_components(stored_pairs(spark, sf_dir))
     return out.select("clip_id", *R6("support_transition_distance", "torso_lean_transition_distance", "transition_distance"))
 
 
@@ -159,7 +164,7 @@ tot AS (SELECT c.clip_id, c.skill, pos, ang, vel, bone, CASE WHEN c.skill='serve
     sql="SELECT clip_id, skill, round(total,6) correction_distance, round(trans,6) transition_distance FROM tot",
 )
 def a08(spark, sf_dir):
-    out = D.correction_distance(pairs64(spark, sf_dir))
+    out = D.correction_distance(stored_pairs(spark, sf_dir))
     return out.select("clip_id", "skill", *R6("correction_distance", "transition_distance"))
 
 
@@ -199,7 +204,7 @@ bo AS (SELECT a.clip_id, avg(ch) m, quantile_cont(ch, 0.95) p FROM (SELECT a.cli
 round(coalesce(p,0),6) p95_relative_bone_change, round(cv,6) mean_correction_velocity, round(ca,6) mean_correction_acceleration FROM mo LEFT JOIN bo USING (clip_id)""",
 )
 def a10(spark, sf_dir):
-    out = D.quality_metrics(pairs64(spark, sf_dir))
+    out = D.quality_metrics(stored_pairs(spark, sf_dir))
     return out.select("clip_id", *R6("mean_joint_correction", "max_joint_correction", "mean_relative_bone_change", "p95_relative_bone_change", "mean_correction_velocity", "mean_correction_acceleration"))
 
 
@@ -231,7 +236,7 @@ bl AS (SELECT c.*, CASE WHEN skill='serve' THEN 0.65::DOUBLE*support+0.35::DOUBL
     sql="SELECT skill, round(avg(pos + 0.5::DOUBLE*vel + 0.25::DOUBLE*ang + bone + trans),6) loss, round(avg(trans),6) transition_distance, count(*) batches FROM bl GROUP BY 1",
 )
 def a23(spark, sf_dir):
-    rows = pairs64(spark, sf_dir).withColumn("batch", F.expr("(clip_id div 1000) % 3"))
+    rows = stored_pairs(spark, sf_dir).withColumn("batch", F.expr("(clip_id div 1000) % 3"))
     out = D.epoch_loss(D.batch_losses(rows, "batch"))
     return out.select("skill", *R6("loss", "transition_distance"), "batches")
 
@@ -240,7 +245,7 @@ def a23(spark, sf_dir):
 
 
 def cohorts(spark, sf_dir):
-    clips = aligned(spark, sf_dir)
+    clips = settle(aligned(spark, sf_dir))
     return clips.where("label = 'beginners'"), clips.where("label = 'experts'")
 
 
@@ -352,7 +357,7 @@ def c04(spark, sf_dir):
 
 def corrected(spark, sf_dir):
     """Anchored 64-frame clips, corrected towards the experts of their hand."""
-    clips = clips64(spark, sf_dir).withColumn("anchors", F.expr(ANCHOR_EXPR))
+    clips = settle(clips64(spark, sf_dir).withColumn("anchors", F.expr(ANCHOR_EXPR)))
     _, experts = cohorts(spark, sf_dir)
     return M.correct_clips(clips, experts)
 
@@ -409,7 +414,7 @@ GRADED = (*BASE, TERM_SQL, COMP_SQL, TRANS_SQL, A08_SQL, CAL_SQL, CRITERIA_SQL,
     sql="SELECT clip_id, skill, CAST(k AS INT) k, rule_id, mx maximum, round(dist,6) distance FROM cd JOIN crit USING (skill, k)",
 )
 def p23(spark, sf_dir):
-    out = G.criterion_distances(pairs64(spark, sf_dir))
+    out = G.criterion_distances(stored_pairs(spark, sf_dir))
     return out.select("clip_id", "skill", "k", "rule_id", "maximum", *R6("distance"))
 
 
@@ -419,7 +424,7 @@ def p23(spark, sf_dir):
     sql="SELECT clip_id, CAST(k AS INT) k, rule_id, round(dist,6) distance, round(grade,6) grade, round(tg,6) total_grade FROM g2",
 )
 def c08(spark, sf_dir):
-    _, criteria = G.grade_clips(pairs64(spark, sf_dir), calibration(spark))
+    _, criteria = G.grade_clips(stored_pairs(spark, sf_dir), calibration(spark))
     return criteria.select("clip_id", "k", "rule_id", *R6("distance", "grade", "total_grade"))
 
 
@@ -429,7 +434,7 @@ def c08(spark, sf_dir):
     sql="SELECT clip_id, round(any_value(tg),6) total_grade, " + ", ".join(f"round(max(grade) FILTER (k={k}),6) detail_{k+1}_grade, round(max(dist) FILTER (k={k}),6) detail_{k+1}_distance" for k in range(6)) + " FROM g2 GROUP BY 1",
 )
 def s08(spark, sf_dir):
-    totals, criteria = G.grade_clips(pairs64(spark, sf_dir), calibration(spark))
+    totals, criteria = G.grade_clips(stored_pairs(spark, sf_dir), calibration(spark))
     wide = G.wide_grades(totals, criteria)
     names = ["total_grade"] + [f"detail_{k}_{n}" for k in range(1, 7) for n in ("grade", "distance")]
     return wide.select("clip_id", *R6(*names))
@@ -458,7 +463,7 @@ EVIDENCE = (*BASE, TERM_SQL, CAL_SQL, EVIDENCE_SQL)
 
 
 def evidence(spark, sf_dir):
-    return G.keypoint_evidence(pairs64(spark, sf_dir), calibration(spark))
+    return G.keypoint_evidence(stored_pairs(spark, sf_dir), calibration(spark))
 
 
 @query(

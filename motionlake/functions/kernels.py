@@ -16,22 +16,21 @@ def relax_bones(source: np.ndarray, target: np.ndarray, iterations: int) -> np.n
     Every sweep visits the bones in order and shares a length error between both ends,
     then puts the pelvis back where the source has it. Frames are independent.
     """
-    pose = target.copy()
-    wanted = np.linalg.norm(
-        source[:, _BONE_ENDS[:, 1]] - source[:, _BONE_ENDS[:, 0]], axis=-1
-    )
-    pelvis = 0.5 * (source[:, 11] + source[:, 12])
+    # joints first: every step then works on contiguous (3, F) slices
+    own = np.ascontiguousarray(source.transpose(1, 2, 0))
+    pose = np.ascontiguousarray(target.transpose(1, 2, 0))
+    gap = own[_BONE_ENDS[:, 1]] - own[_BONE_ENDS[:, 0]]
+    wanted = np.sqrt((gap * gap).sum(axis=1))
+    pelvis = 0.5 * (own[11] + own[12])
     for _ in range(iterations):
         for bone, (a, b) in enumerate(spec.BONES):
-            along = pose[:, b] - pose[:, a]
-            size = np.sqrt(np.einsum("fd,fd->f", along, along))
-            usable = size > 1e-8
-            gain = np.where(usable, 0.5 * (size - wanted[:, bone]) / np.where(usable, size, 1.0), 0.0)
-            shift = gain[:, None] * along
-            pose[:, a] += shift
-            pose[:, b] -= shift
-        pose += (pelvis - 0.5 * (pose[:, 11] + pose[:, 12]))[:, None, :]
-    return pose
+            along = pose[b] - pose[a]
+            size = np.sqrt(along[0] * along[0] + along[1] * along[1] + along[2] * along[2])
+            shift = np.where(size > 1e-8, 0.5 - 0.5 * wanted[bone] / np.maximum(size, 1e-8), 0.0) * along
+            pose[a] += shift
+            pose[b] -= shift
+        pose += pelvis - 0.5 * (pose[11] + pose[12])
+    return pose.transpose(2, 0, 1)
 
 
 def _mean(values: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -132,7 +132,12 @@ def nearest_expert(
     experts = clip_rows(bank, group)
     n_experts = bank.select(KEY).distinct().count()
     chunks = bank_chunks(experts, n_experts, group=group)
-    rows = join_chunks(clip_rows(students, group), chunks, n_experts, group)
+    # the kernel is bound by CPU, not bytes: keep small inputs on all cores
+    spread = students.sparkSession.sparkContext.defaultParallelism
+    own = clip_rows(students, group)
+    if students.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
+        own = own.repartition(max(spread, int(students.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = join_chunks(own, chunks, n_experts, group)
     id_type = students.schema[KEY].dataType
     schema = T.StructType(
         [

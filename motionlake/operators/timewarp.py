@@ -47,7 +47,8 @@ def warp(
     rows = rows.where(F.expr(f"_k >= 1 AND frame <= {source}[size({source}) - 1]")).selectExpr(
         "*", *[k.strip() for k in knots.split(",")]
     )
-    rows = rows.selectExpr("*", "_s1 - _s0 AS _ds", "_t1 - _t0 AS _dt")
+    # a one-frame clip has equal source knots; it is all "at the end" and never divides
+    rows = rows.selectExpr("*", "greatest(_s1 - _s0, 1) AS _ds", "_t1 - _t0 AS _dt")
     # target g belongs to this frame f when f <= s0 + (g - t0) ds / dt < f + 1
     first = "_t0 + ((frame - _s0) * _dt + _ds - 1) div _ds"
     last = "_t0 + ((frame + 1 - _s0) * _dt + _ds - 1) div _ds - 1"
@@ -85,20 +86,12 @@ def resample(
     if length < 2:
         raise ValueError("the target needs at least two frames")
     ends = frames.groupBy(key).agg(F.max("frame").alias("_end"))
-    params = ends.withColumn("_last", F.col("_end"))
-    rows = join_per_key(frames, params, [key], "_last")
-    many = warp(
-        rows.where("_end > 0")
-        .withColumn("_source", F.expr("array(0, _end)"))
-        .withColumn("_target", F.expr(f"array(0, {length - 1})")),
-        "_source", "_target", length, values, key,
-    ).drop("_source", "_target", "_end")
-    single = (
-        rows.where("_end = 0")
-        .withColumn("frame", F.explode(F.array(*[F.lit(g) for g in range(length)])))
-        .drop("_end")
+    params = ends.select(
+        key, F.expr("array(0, _end)").alias("_source"), F.expr(f"array(0, {length - 1})").alias("_target"),
+        F.col("_end").alias("_last"),
     )
-    return many.unionByName(single.select(many.columns))
+    rows = join_per_key(frames, params, [key], "_last")
+    return warp(rows, "_source", "_target", length, values, key).drop("_source", "_target")
 
 
 def _anchored(frames: DataFrame, anchors: str) -> DataFrame:
