@@ -10,7 +10,7 @@ from motionlake import spec
 from motionlake.catalog.distances import BASE, TERM_SQL, pairs64
 from motionlake.catalog.poses import ANCHOR_EXPR, FILL_SQL, R6, clips64
 from motionlake.catalog.registry import query
-from motionlake.catalog.views import CANDIDATE_SQL, GRADED_SQL, POSE_SQL, graded, pose_frames, pose_joints, track2d
+from motionlake.catalog.views import CANDIDATE_SQL, GRADED_SQL, POSE_SQL, graded, pose_frames, pose_joints
 from motionlake.operators import evaluate as E
 from motionlake.operators import grading as G
 from motionlake.operators import matching as M
@@ -178,11 +178,13 @@ def c14(spark, sf_dir):
 
 @query("w20_dynamic_time_warping")
 def w20(spark, sf_dir):
-    points = track2d(spark, sf_dir).groupBy("track_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("frame", F.array("x", "y").alias("p")))), lambda r: r["p"]).alias("pts")
+    """Dominant wrist of every 64-frame clip against the next clip of its label."""
+    wrist = F.slice("p", 31, 3)
+    points = clips64(spark, sf_dir).groupBy("clip_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("frame", wrist.alias("p")))), lambda r: r["p"]).alias("pts")
     )
-    other = points.select((F.col("track_id") - 1).alias("track_id"), F.col("pts").alias("b"))
-    return M.dtw(points.withColumnRenamed("pts", "a").join(other, "track_id"), ["track_id"])
+    other = points.select((F.col("clip_id") - 1).alias("clip_id"), F.col("pts").alias("b"))
+    return M.dtw(points.withColumnRenamed("pts", "a").join(other, "clip_id"), ["clip_id"])
 
 
 @query("c18_overlay_coordinates")

@@ -293,11 +293,8 @@ def j10(spark, sf_dir):
 
 
 def _compared(spark, sf_dir):
-    from motionlake.session import inline_table
-
     found = candidates(spark, sf_dir).select("clip_id", "candidate", F.col("total_grade").alias("own"), "shift")
-    names = inline_table(spark, [(1,), (2,), (3,)], "candidate int")
-    return E.with_status(graded(spark, sf_dir), found, ["clip_id"], names)
+    return E.with_status(graded(spark, sf_dir), found, ["clip_id"], (1, 2, 3))
 
 
 ANCHOR_AGREE_SQL = """

@@ -248,11 +248,11 @@ def w21(spark, sf_dir):
 @query(
     "w21_footwork_pattern",
     ctes=(TRACK_SQL, FOOT_SQL),
-    sql="SELECT track_id, string_agg(side, '' ORDER BY frame, seq) pattern FROM steps GROUP BY track_id",
+    sql="SELECT track_id, CAST(frame // 16384 AS INT) part, string_agg(side, '' ORDER BY frame, seq) pattern FROM steps GROUP BY 1, 2",
 )
 def w21_pattern(spark, sf_dir):
     return T.step_sequences(_steps(spark, sf_dir)).select(
-        "track_id", F.array_join("pattern", "").alias("pattern")
+        "track_id", "part", F.array_join("pattern", "").alias("pattern")
     )
 
 

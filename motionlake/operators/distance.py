@@ -301,8 +301,10 @@ def quality_metrics(pairs_: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFram
 
 def anchor_distances(pairs_: DataFrame, reach: int = 2, key: str = KEY, skill: str = "skill") -> DataFrame:
     """Correction distance within +-reach frames of each of the five anchors."""
-    terms = frame_terms(pairs_.where(F.col("frame").isNotNull()), [key, skill])
-    anchors = pairs_.select(key, F.posexplode("anchors").alias("phase", "anchor")).distinct()
+    terms = frame_terms(pairs_, [key, skill])
+    anchors = pairs_.groupBy(key).agg(F.first("anchors").alias("anchors")).select(
+        key, F.posexplode("anchors").alias("phase", "anchor")
+    )
     near = terms.join(anchors, key).where(
         (F.col("frame") >= F.col("anchor") - reach) & (F.col("frame") <= F.col("anchor") + reach)
     )

@@ -57,15 +57,10 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
 
 
 def with_status(
-    manifest: DataFrame, candidates: DataFrame, on: Sequence[str], names: DataFrame
+    manifest: DataFrame, candidates: DataFrame, on: Sequence[str], names: Sequence[object]
 ) -> DataFrame:
-    """Every manifest row per candidate name; rows a candidate lacks are 'missing'.
-
-    ``names`` is the short list of candidate names and is broadcast.
-    """
-    wanted = manifest.withColumn("_one", F.lit(1)).join(
-        F.broadcast(names.withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one")
+    """Every manifest row once per candidate name; rows a candidate lacks are 'missing'."""
+    wanted = manifest.withColumn("candidate", F.explode(F.array(*[F.lit(n) for n in names])))
     found = candidates.withColumn("_found", F.lit(True))
     return wanted.join(found, [*on, "candidate"], "left").withColumn(
         "status", F.when(F.col("_found"), "success").otherwise("missing")

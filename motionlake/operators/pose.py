@@ -367,14 +367,16 @@ def normalize_pose(
     dims: int = 3,
     basis: str = "first_valid",
     key: str = KEY,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Body-frame coordinates: fill gaps, canonical side, pelvis origin, body axes, unit scale.
 
     ``basis='first_valid'`` takes the axes of the earliest non-degenerate frame (identity
-    when there is none), ``'first'`` those of frame 0 with floored norms.
+    when there is none), ``'first'`` those of frame 0 with floored norms. ``keep`` names
+    per-clip columns to carry along.
     """
     filled = fill_joints(joints, key)
-    frames = pack(mirror_left_right(filled, handedness), (key, "frame"), keep=[handedness])
+    frames = pack(mirror_left_right(filled, handedness), (key, "frame"), keep=[handedness, *keep])
     search = basis == "first_valid"
     marked = _basis(frames, dims, search)
     if not search:

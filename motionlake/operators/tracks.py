@@ -16,6 +16,7 @@ from motionlake.functions.ordered import exact_percentiles, first_by
 from motionlake.functions.timeblocks import (
     block_window,
     box_mean,
+    join_per_key,
     neighbours,
     own_rows,
     rows_in_interval,
@@ -278,11 +279,10 @@ def interpolate_gaps(
     result = filled.withColumns(columns).drop("_prev", "_next")
     if min_valid <= 1:
         return result
-    enough = (
-        track.where(valid).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= min_valid).select(*keys)
+    enough = track.groupBy(*keys).agg(
+        F.sum(valid.cast("int")).alias("_n"), F.max("frame").alias("_last")
     )
-    return result.join(enough, keys, "left_semi")
+    return join_per_key(result, enough.where(F.col("_n") >= min_valid).drop("_n"), keys, "_last")
 
 
 def motion_score(
@@ -335,9 +335,9 @@ def footwork_pattern(
         .select(*by, (F.col("frame") - 1).alias("frame"), (10.0 * F.col("speed")).alias("v"))
     )
     limits = speed.groupBy(*by).agg(
-        (F.avg("v") - F.stddev_pop("v")).alias("_limit")
+        (F.avg("v") - F.stddev_pop("v")).alias("_limit"), F.max("frame").alias("_last")
     )
-    moving = speed.join(limits, by).withColumn("_moving", F.col("v") > F.col("_limit"))
+    moving = join_per_key(speed, limits, by, "_last").withColumn("_moving", F.col("v") > F.col("_limit"))
     held = with_halo(moving, before=1).withColumn(
         "_was", F.lag("_moving").over(block_window(by))
     )
@@ -348,10 +348,15 @@ def footwork_pattern(
     )
 
 
-def step_sequences(steps: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
-    """The ordered list of sides per track, for tracks that fit one row."""
+def step_sequences(steps: DataFrame, keys: Sequence[str] = (KEY,), part_frames: int = 16384) -> DataFrame:
+    """Ordered list of sides per track, in parts of ``part_frames`` frames each.
+
+    A list holds at most two steps per frame, so a row stays bounded however long the
+    track is; the parts in order are the whole sequence.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("frame", "seq", "side")))
-    return steps.groupBy(*keys).agg(
+    part = F.floor(F.col("frame") / part_frames).cast("int")
+    return steps.groupBy(*keys, part.alias("part")).agg(
         F.transform(ordered, lambda s: s["side"]).alias("pattern")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionlake import spec
-from motionlake.functions.timeblocks import rows_in_interval
+from motionlake.functions.timeblocks import join_per_key, rows_in_interval
 from motionlake.operators import pose as P
 from motionlake.operators import timewarp as W
 from motionlake.operators import tracks as T
@@ -45,7 +45,9 @@ def prepare_clips(
     meta = settle(
         base.withColumns({"handedness": hand, "handedness_source": source, "_hand_error": hand_error})
     )
-    sided = joints2.where(F.col("joint").isin(7, 8, 9, 10)).join(meta.select(KEY, "handedness", "skill"), KEY)
+    sided = joints2.where(F.col("joint").isin(7, 8, 9, 10))
+    side = meta.select(KEY, "handedness", "skill", F.greatest(F.col("n") - 1, F.lit(0)).alias("_last"))
+    sided = join_per_key(sided, side, [KEY], "_last")
     wrist = settle(P.dominant_track(sided, "handedness", "wrist")).withColumnRenamed(KEY, "track_id")
     elbow = settle(P.dominant_track(sided, "handedness", "elbow")).withColumnRenamed(KEY, "track_id")
     found = T.analysis_window(wrist, elbow).withColumnRenamed("track_id", KEY).drop("skill")
@@ -84,9 +86,9 @@ def prepare_clips(
         )
         .withColumn("status", F.when(F.col("error") == "", "success").otherwise("error"))
     )
-    good = status.where("status = 'success'").select(KEY)
-    usable = inside.join(good, KEY, "left_semi").select(KEY, "frame", "joint", "x", "y", "z", "conf", "handedness", "skill", "label")
-    normal = settle(P.normalize_pose(usable)).join(bounds.select(KEY, "skill", "label"), KEY)
+    good = status.where("status = 'success'").select(KEY, (F.col("end") - F.col("start")).alias("_last"))
+    usable = join_per_key(inside, good, [KEY], "_last").select(KEY, "frame", "joint", "x", "y", "z", "conf", "handedness", "skill", "label")
+    normal = settle(P.normalize_pose(usable, keep=("skill", "label")))
     sequence = W.resample(normal.select(KEY, "frame", "p", "c", "handedness", "skill", "label")).join(anchors, KEY)
     summary = status.select(
         KEY, "filename", "label", "skill", "handedness", "handedness_source",

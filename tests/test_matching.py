@@ -264,3 +264,34 @@ def test_overlay_recovers_an_affine_camera(spark):
     want = np.array(rows[0][4]).reshape(17, 2) + np.array([100 * 0.1 + 10 * 0.1, 50 * 0.1])
     np.testing.assert_allclose(np.array(got[0].pixels).reshape(17, 2), want, atol=1e-6)
     assert got[3].pixels is None and got[3].error
+
+
+def test_predicted_pose_plugs_in(spark, bank):
+    """A model is any table function that adds ``m``; here it shifts every joint up."""
+    _, df = bank
+    anchors = F.array(*[F.lit(a) for a in spec.CANONICAL_ANCHORS])
+    students = df.where("label = 'beginners' AND skill = 'clear'").withColumn("anchors", anchors)
+    experts = df.where("label = 'experts'").withColumn("anchors", anchors)
+
+    def model(table):
+        def run(batches):
+            for batch in batches:
+                yield batch.assign(m=[np.asarray(s) + np.tile([0.3, 0.0, 0.0], 17) for s in batch["s"]])
+
+        schema = ", ".join(f"{n} {t}" for n, t in table.dtypes) + ", m array<double>"
+        return table.mapInPandas(run, schema)
+
+    out = M.correct_clips(students, experts, model=model, guidance=0.0)
+    row = out.selectExpr("abs(t[30] - s[30]) + abs(t[33] + t[36] - s[33] - s[36]) d").agg(F.max("d")).first()
+    # bone lengths and the pelvis belong to the student, so a pure shift is undone
+    assert row[0] < 1e-6
+
+
+def test_training_pairs_point_experts_at_themselves(spark, bank):
+    _, df = bank
+    out = M.build_training_pairs(df.where("label = 'beginners'"), df.where("label = 'experts'"))
+    assert out.select("clip_id").distinct().count() == 23
+    assert out.where("size(features) <> 119").count() == 0
+    own = out.where("clip_id = expert_id")
+    assert own.select("clip_id").distinct().count() == 20
+    assert own.where("s <> t").count() == 0
