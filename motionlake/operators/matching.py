@@ -21,6 +21,7 @@ from motionlake import spec
 from motionlake.functions import kernels
 from motionlake.operators import timewarp
 from motionlake.operators.distance import pairs
+from motionlake.session import ship_package
 
 KEY = "clip_id"
 CHUNK = 16
@@ -49,6 +50,7 @@ def adapt_bone_lengths(
                 moved = kernels.relax_bones(s, t, iterations).reshape(len(batch), -1)
                 yield batch.assign(**{target: list(moved)})
 
+    ship_package(pairs_.sparkSession)
     return pairs_.mapInPandas(run, pairs_.schema)
 
 
@@ -169,6 +171,7 @@ def nearest_expert(
             yield pd.DataFrame(out, columns=schema.names)
 
     # rows carry a whole chunk of experts; Spark bounds an Arrow batch by its bytes
+    ship_package(students.sparkSession)
     scored = rows.mapInPandas(run, schema)
     return scored.groupBy(KEY).agg(
         F.min(F.struct("distance", "expert_id")).alias("_best"),
@@ -322,6 +325,7 @@ def dtw(pairs_: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", max_
                 out.append((*[row[k] for k in keys], cost, [{"i": int(i), "j": int(j)} for i, j in path]))
             yield pd.DataFrame(out, columns=schema.names)
 
+    ship_package(pairs_.sparkSession)
     return pairs_.select(*keys, a, b).mapInPandas(run, schema)
 
 
@@ -356,6 +360,7 @@ def overlay_coordinates(pairs_: DataFrame, keys: Sequence[str] = (KEY, "frame"))
             out["error"] = np.where(enough, "", "at least three visible joints are required")
             yield out
 
+    ship_package(pairs_.sparkSession)
     return pairs_.select(*keys, "s", "t", "px", "c").mapInPandas(run, schema)
 
 

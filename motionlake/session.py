@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: str = "*", app: str = "motionlake") -> SparkSession:
     """A session for tests and benchmarks on one machine; clusters bring their own."""
@@ -49,6 +53,27 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application.
+
+    Spark hands the archive from the driver to every executor, so Arrow kernels import
+    wherever they run and however the session was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="motionlake-package-"), "motionlake.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("motionlake", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def _literal(value: object) -> str:
     if value is None:
         return "NULL"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from motionlake import spec
 from motionlake.functions.columns import file_name, file_stem, file_suffix
+from motionlake.session import ship_package
 
 MEDIA_SUFFIXES = (".mp4", ".mov")
 
@@ -76,6 +77,7 @@ def load_archives(spark: SparkSession, path: str) -> DataFrame:
             rows = [_decode(p, c) for p, c in zip(batch["path"], batch["content"])]
             yield pd.DataFrame(rows, columns=names)
 
+    ship_package(spark)
     return files.mapInPandas(run, CLIP_SCHEMA)
 
 

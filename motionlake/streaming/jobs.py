@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from motionlake.operators.annotations import latest_annotations
+from motionlake.session import ship_package
 
 KEY = "clip_id"
 WATERMARK = "1 hour"
@@ -118,6 +119,7 @@ def carry_forward(stream: DataFrame, every: int = 7, key_type: str = "int") -> D
 
     ``detected_at`` -1 means the whole image. Needs the RocksDB state store.
     """
+    ship_package(stream.sparkSession)
     return stream.groupBy(KEY).transformWithStateInPandas(
         CarryForward(every), f"{KEY} {key_type}, frame bigint, detected_at bigint, boxes int", "Append", "None"
     )
