@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SETTLED: list[str] = []
 
 
 def local_session(cores: str = "*", app: str = "motionlake") -> SparkSession:
@@ -48,9 +50,26 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
-    scratch_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as Parquet to the shared scratch folder and read it back.
+
+    This cuts the lineage like a checkpoint, computes ``df`` once, survives the loss of
+    executors, and leaves a table with column pruning and sizes for adaptive planning.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _SETTLED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_settled(spark: SparkSession) -> int:
+    """Delete the tables that ``settle`` wrote in this process; returns how many."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SETTLED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def ship_package(spark: SparkSession) -> None:
