@@ -27,22 +27,24 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = "".join(chr(c) for c in (0x20, *range(0x09, 0x0E)))
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS = "!#$%&*/;<=>?[]^_{|}~"
 ITERATIONS = 12
 SMOOTHING = 1.0
 PRIOR_GOOD = 0.8
 #: Where EM starts: a bad vote is rare among good texts, a good vote less rare among bad.
-START_GOOD = (0.05, 0.15, 0.8)
+START_GOOD = (0.02, 0.18, 0.8)
 START_BAD = (0.4, 0.2, 0.4)
 
 #: name -> (SQL condition for a bad vote, SQL condition for a good vote)
 RULES = {
-    "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "exclamations": ("5 * n_marks > n_words", "20 * n_marks <= n_words"),
+    "symbols": ("10 * n_symbols > n_words", "FALSE"),
+    "marks": ("100 * n_marks > 6 * word_chars", "100 * n_marks <= 2 * word_chars"),
+    "exclamations": ("5 * n_exclamations > n_words", "FALSE"),
     "capitals": ("2 * n_capitals > word_chars", "5 * n_capitals <= word_chars"),
-    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
-    "lines": ("n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
-    "variety": ("n_words >= 20 AND 5 * n_distinct < n_words", "3 * n_distinct >= n_words"),
-    "word_length": ("word_chars > 14 * n_words", "word_chars >= 2 * n_words AND word_chars <= 10 * n_words"),
+    "repeats": ("100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+    "echoes": ("5 * n_echoes > n_words", "FALSE"),
+    "lines": ("n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines", "FALSE"),
+    "word_length": ("word_chars > 14 * n_words OR word_chars < 2 * n_words", "FALSE"),
 }
 
 
@@ -77,6 +79,11 @@ def repeated_words(words_of: Column, size: int = 3) -> Column:
     return let(words_of, of)
 
 
+def echoes(words_of: Column) -> Column:
+    """Words that equal the word before them."""
+    return let(words_of, lambda w: F.size(F.filter(w, lambda x, i: F.get(w, i - 1) == x)))
+
+
 def text_counts(docs: DataFrame) -> DataFrame:
     """Counts that the rules look at, one row per document, all from the whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -94,8 +101,9 @@ def text_counts(docs: DataFrame) -> DataFrame:
         as_long(F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         as_long(repeated_words(F.col("w"))).alias("n_repeat_words"),
         as_long(F.size("l")).alias("n_lines"),
-        as_long(F.size(F.array_distinct("w"))).alias("n_distinct"),
-        count_of(F.col("text"), "!").alias("n_marks"),
+        as_long(echoes(F.col("w"))).alias("n_echoes"),
+        count_of(F.col("text"), MARKS).alias("n_marks"),
+        count_of(F.col("text"), "!").alias("n_exclamations"),
         count_of(F.col("text"), CAPITALS).alias("n_capitals"),
     )
 
@@ -177,8 +185,9 @@ def oracle(docs: str = "documents") -> str:
         "cover AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r)",
         "f AS (SELECT d.r, doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT)"
         f" AS word_chars, {count.format('[#*$%&|<>]')} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,"
-        " coalesce(cover.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,"
-        f" {count.format('!')} AS n_marks, {count.format('[A-Z]')} AS n_capitals FROM d LEFT JOIN cover USING (r))",
+        " coalesce(cover.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i-1])) AS n_echoes,"
+        f" {count.format('[!#$%&*/;<=>?' + chr(92) + '[' + chr(92) + ']^_{|}~]')} AS n_marks,"
+        f" {count.format('!')} AS n_exclamations, {count.format('[A-Z]')} AS n_capitals FROM d LEFT JOIN cover USING (r))",
         "v AS (SELECT *, [" + ", ".join(
             f"CASE WHEN {bad} THEN {3 * j} WHEN {good} THEN {3 * j + 2} ELSE {3 * j + 1} END"
             for j, (bad, good) in enumerate(RULES.values())
