@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.catalog.registry import Entry
-from motionlake.llm import lines, mixing, quality
+from motionlake.llm import lines, mixing, quality, simhash
 from motionlake.llm.common import read
 
 
@@ -13,6 +13,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, radius=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read(spark, sf_dir, "documents"))
 
@@ -24,6 +29,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries() -> dict[str, Entry]:
     return {
         "op1_quality_rules": Entry(op1_quality_rules, quality.oracle()),
+        "op5_simhash": Entry(op5_simhash, None),
         "op6_line_dedup": Entry(op6_line_dedup, lines.oracle()),
         "op8_source_mixing": Entry(op8_source_mixing, mixing.oracle()),
     }
