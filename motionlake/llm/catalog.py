@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.catalog.registry import Entry
-from motionlake.llm import lines, mixing, quality, simhash
+from motionlake.llm import caps, lines, mixing, quality, simhash
 from motionlake.llm.common import read
 
 
@@ -26,10 +26,15 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def entries() -> dict[str, Entry]:
     return {
         "op1_quality_rules": Entry(op1_quality_rules, quality.oracle()),
         "op5_simhash": Entry(op5_simhash, None),
         "op6_line_dedup": Entry(op6_line_dedup, lines.oracle()),
         "op8_source_mixing": Entry(op8_source_mixing, mixing.oracle()),
+        "op10_embedding_caps": Entry(op10_embedding_caps, None),
     }
