@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.catalog.registry import Entry
-from motionlake.llm import caps, lines, mixing, quality, simhash
+from motionlake.llm import caps, lines, mixing, pieces, quality, simhash
 from motionlake.llm.common import read
 
 
@@ -14,8 +14,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, radius=2)
-    return found.select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, radius=2)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +25,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.coded_documents(read(spark, sf_dir, "documents"), pieces.public_model())
+
+
 def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -36,5 +39,6 @@ def entries() -> dict[str, Entry]:
         "op5_simhash": Entry(op5_simhash, None),
         "op6_line_dedup": Entry(op6_line_dedup, lines.oracle()),
         "op8_source_mixing": Entry(op8_source_mixing, mixing.oracle()),
+        "op9_piece_codec": Entry(op9_piece_codec, None),
         "op10_embedding_caps": Entry(op10_embedding_caps, None),
     }

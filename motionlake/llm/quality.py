@@ -84,17 +84,21 @@ def echoes(words_of: Column) -> Column:
     return let(words_of, lambda w: F.size(F.filter(w, lambda x, i: F.get(w, i - 1) == x)))
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """Counts that the rules look at, one row per document, all from the whole text."""
+def text_counts(docs: DataFrame, *carry: Column) -> DataFrame:
+    """Counts that the rules look at, one row per document, all from the whole text.
+
+    The columns ``carry`` of the input go along.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id"), text.alias("text"))
+    base = docs.select(*[c.alias(f"carry_{i}") for i, c in enumerate(carry)], text.alias("text"))
+    along = [f"carry_{i}" for i in range(len(carry))]
     lines = F.filter(
         F.split(F.col("text"), "\n", -1), lambda x: F.char_length(F.translate(x, SPACES, "")) > 0
     )
-    split = base.select("doc_id", "text", words(F.col("text")).alias("w"), lines.alias("l"))
+    split = base.select(*along, "text", words(F.col("text")).alias("w"), lines.alias("l"))
     as_long = lambda c: c.cast("bigint")
     return split.select(
-        "doc_id",
+        *along,
         as_long(F.size("w")).alias("n_words"),
         as_long(F.char_length(F.translate("text", SPACES, ""))).alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
@@ -149,15 +153,27 @@ def weigh_patterns(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFra
     return fitted.selectExpr("p.votes AS votes", "p.n AS n", f"{post.format(s='m')} AS posterior")
 
 
-def quality_rules(docs: DataFrame, threshold: float = 0.5, iterations: int = ITERATIONS) -> DataFrame:
-    """Counts, base rule, votes, posterior quality and verdict of every document."""
-    counts = settle(text_counts(docs).withColumn("votes", F.array(*votes())))
-    patterns = counts.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
-    # Bounded by construction: at most 3**rules patterns, never a function of the rows.
-    posterior = F.broadcast(weigh_patterns(patterns, iterations).select("votes", "posterior"))
+def verdict(threshold: float) -> tuple[Column, Column]:
+    """Whether the base rules fail, and whether the document stays."""
     failed = F.expr(
         f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
     )
+    return failed, ~failed & (F.col("posterior") >= threshold)
+
+
+def pattern_posteriors(voted: DataFrame, iterations: int) -> DataFrame:
+    patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    # Bounded by construction: at most 3**rules patterns, never a function of the rows.
+    return F.broadcast(weigh_patterns(patterns, iterations).select("votes", "posterior"))
+
+
+def quality_rules(docs: DataFrame, threshold: float = 0.5, iterations: int = ITERATIONS) -> DataFrame:
+    """Counts, base rule, votes, posterior quality and verdict of every document."""
+    counts = settle(
+        text_counts(docs, F.col("doc_id")).withColumnRenamed("carry_0", "doc_id").withColumn("votes", F.array(*votes()))
+    )
+    posterior = pattern_posteriors(counts, iterations)
+    failed, kept = verdict(threshold)
     return counts.join(posterior, "votes").select(
         "doc_id",
         "n_words",
@@ -166,11 +182,23 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, iterations: int = ITE
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (F.col("posterior") >= threshold)).alias("kept"),
+        kept.alias("kept"),
         F.round("posterior", 3).alias("posterior"),
     )
 
 
+def kept_documents(docs: DataFrame, threshold: float = 0.5, iterations: int = ITERATIONS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Votes are settled for the pattern table; the second pass counts again beside the whole
+    row instead of joining, so that no text is shuffled.
+    """
+    vote = F.array(*votes()).alias("votes")
+    posterior = pattern_posteriors(settle(text_counts(docs).select(vote)), iterations)
+    counted = text_counts(docs, F.struct("*")).withColumn("votes", vote)
+    return counted.join(posterior, "votes").where(verdict(threshold)[1]).select("carry_0.*")
+
+
 def oracle(docs: str = "documents") -> str:
     """The same rows as DuckDB SQL, with the EM iterations written out."""
     split = f"list_filter(string_split_regex(coalesce(text, ''), '{GAP}'), lambda x: x <> '')"
