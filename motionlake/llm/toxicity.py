@@ -56,11 +56,15 @@ LEET = {
 }
 SWAP_COST = 1.0
 MASK_COST = 3.0
-DROP_SIGN_COST = 8.0
+DROP_SIGN_COST = 12.0
 DROP_MARK_COST = 0.5
-DROP_REPEAT_COST = 0.7
+DROP_REPEAT_COST = 5.0
+DROP_AGAIN_COST = 0.5
 TRIM = ".,;:!?\"'()[]{}<>*#%&$|=+-_~/\\`^"
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
+EDGE_SIGN = re.compile(r"(?:(?<![$@!|+(])[$@!|+(](?=\w))?\w.*\w(?:[$@]{1,2}(?![$@]))?")
+#: A longer token is a link or a code, not a word.
+LONGEST = 32
 PLAIN = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"(.)\1\1")
 
@@ -110,7 +114,8 @@ def _lattice(token: str) -> list[tuple[list[tuple[str, float]], float | None]]:
     for i, c in enumerate(token):
         if c.isalpha():
             repeat = i > 0 and token[i - 1] == c
-            out.append(([(c, 0.0)], DROP_REPEAT_COST if repeat else None))
+            again = repeat and i > 1 and token[i - 2] == c
+            out.append(([(c, 0.0)], DROP_AGAIN_COST if again else DROP_REPEAT_COST if repeat else None))
         elif c == "*":
             out.append(([(chr(97 + k), MASK_COST) for k in range(LETTERS)], MASK_COST + 1))
         elif c in LEET:
@@ -155,24 +160,29 @@ def _suspicious(token: str) -> bool:
 
 
 def readings(token: str, model: np.ndarray) -> list[str]:
-    """Restored forms of one lower-case token without edge marks: itself, decoded."""
+    """Restored forms of one lower-case token: without its edge marks, and decoded."""
     bare = token.strip(TRIM)
-    forms = [bare] if bare else []
-    # Marks at the ends may be disguise too ("$tupid", "!diot").
-    for form in {token.strip(".,;:?\"'"), bare} - {""}:
-        if len(form) <= 40 and _suspicious(form):
+    if not bare:
+        return []
+    forms = [bare]
+    # A sign at an edge may stand for a letter too ("$tupid", "a$$"), unless it is a mark
+    # of its own, such as an exclamation mark at the end or a run of signs.
+    edged = EDGE_SIGN.search(token)
+    for form in dict.fromkeys([bare, edged.group() if edged else bare]):
+        if len(form) <= LONGEST and _suspicious(form):
             word = restore(form, model)
             if len(word) >= 3 and word not in forms:
                 forms.append(word)
     return forms
 
 
-def feature_places(word: str) -> list[int]:
+def word_place(word: str) -> int:
+    return zlib.crc32(b"w" + word.encode()) & (1 << FEATURE_BITS) - 1
+
+
+def prefix_places(word: str) -> list[int]:
     mask = (1 << FEATURE_BITS) - 1
-    raw = word.encode()
-    places = [zlib.crc32(b"w" + raw) & mask]
-    places += [zlib.crc32(b"p" + word[:k].encode()) & mask for k in PREFIXES if len(word) > k]
-    return places
+    return [zlib.crc32(b"p" + word[:k].encode()) & mask for k in PREFIXES if len(word) > k]
 
 
 def tokens(text: str) -> list[str]:
@@ -182,8 +192,15 @@ def tokens(text: str) -> list[str]:
     return low.split() + joined
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (toxic, text) to per-task counts (place, toxic documents, documents)."""
+def _sample_features(
+    batches: Iterator[pa.RecordBatch], model: np.ndarray, strong: np.ndarray | None
+) -> Iterator[pa.RecordBatch]:
+    """Rows (toxic, text) to per-task counts (place, toxic documents, documents).
+
+    Without ``strong`` words are counted; with it the prefixes of all other words, so that
+    one toxic word alone does not make its prefix toxic.
+    """
+    skip = None if strong is None else set(strong.tolist())
     bad = np.zeros(1 << FEATURE_BITS, dtype=np.int32)
     all_ = np.zeros(1 << FEATURE_BITS, dtype=np.int32)
     cache: dict[str, list[int]] = {}
@@ -193,7 +210,11 @@ def _sample_features(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> It
             for token in set(tokens(text)):
                 found = cache.get(token)
                 if found is None:
-                    found = [p for w in readings(token, model) for p in feature_places(w)]
+                    words = readings(token, model)
+                    if skip is None:
+                        found = [word_place(w) for w in words]
+                    else:
+                        found = [p for w in words if word_place(w) not in skip for p in prefix_places(w)]
                     cache[token] = found
                 places.update(found)
             at = np.fromiter(places, dtype=np.int64)
@@ -208,17 +229,20 @@ def _sample_features(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> It
 
 
 def _minhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest hash of the word pairs; near copies mostly agree in it."""
+    """Adds the smallest and largest hash of the word pairs, in which near copies mostly agree."""
     for batch in batches:
-        least = []
+        least, most = [], []
         for text in batch.column(1).to_pylist():
             w = text.lower().split()
-            least.append(min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:])), default=len(w) and zlib.crc32(w[0].encode())))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["toxic", "text", "least"])
+            pairs = [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:])] or [zlib.crc32(text.encode())]
+            least.append(min(pairs))
+            most.append(max(pairs))
+        arrays = [*batch.columns, pa.array(least, pa.int64()), pa.array(most, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "text", "least", "most"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature places with their toxic rates, and the base rate, from the training rows."""
+def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE):
+    """(places, rates) of words and of prefixes, and the base rate, from the training rows."""
     side = F.crc32(F.col("doc_id").cast("string")) % 3
     train = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(side != 1)
     train = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -229,28 +253,37 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAM
         .join(F.broadcast(chosen), "doc_id")  # at most `sample` ids and flags
         .select("toxic", "text")
     )
-    single = rows.mapInArrow(_minhash, "toxic int, text string, least bigint").groupBy("least").agg(F.max(F.struct("toxic", "text")).alias("r"))
-    single = settle(single.select("r.toxic", "r.text"))
+    single = rows.mapInArrow(_minhash, "toxic int, text string, least bigint, most bigint")
+    for key in ("least", "most"):
+        single = single.groupBy(key).agg(F.max(F.struct("toxic", "text", "least", "most")).alias("r")).select("r.*")
+    single = settle(single.select("toxic", "text"))
     base = single.agg(F.avg("toxic"), F.count(F.lit(1))).first()
     rate = (base[0] or 0.0) if base[1] else 0.0
-    counts = single.mapInArrow(partial(_sample_features, model=model), "place bigint, bad bigint, n bigint")
-    total = counts.groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    shrunk = (F.col("bad") + rate * SHRINK) / (F.col("n") + SHRINK)
-    strong = total.withColumn("rate", shrunk).where((F.col("bad") >= MIN_TOXIC) & (F.col("rate") >= max(MIN_RATE, 2 * rate)))
-    # At most 2**FEATURE_BITS rows by construction.
-    found = strong.select("place", "rate").orderBy("place").toArrow()
-    return found.column("place").to_numpy(), found.column("rate").to_numpy(), float(rate)
+
+    def strong(without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        count = partial(_sample_features, model=model, strong=without)
+        counts = single.mapInArrow(count, "place bigint, bad bigint, n bigint")
+        total = counts.groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+        shrunk = (F.col("bad") + rate * SHRINK) / (F.col("n") + SHRINK)
+        clear = total.withColumn("rate", shrunk).where((F.col("bad") >= MIN_TOXIC) & (F.col("rate") >= max(MIN_RATE, 2 * rate)))
+        # At most 2**FEATURE_BITS rows by construction.
+        found = clear.select("place", "rate").orderBy("place").toArrow()
+        return found.column("place").to_numpy(), found.column("rate").to_numpy()
+
+    words = strong(None)
+    prefixes = strong(words[0])
+    return words, prefixes, float(rate)
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray, places: np.ndarray, rates: np.ndarray, base: float) -> Iterator[pa.RecordBatch]:
-    weight = dict(zip(places.tolist(), rates.tolist()))
+def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray, words, prefixes, base: float) -> Iterator[pa.RecordBatch]:
+    word_rate, prefix_rate = (dict(zip(p.tolist(), r.tolist())) for p, r in (words, prefixes))
     cache: dict[str, tuple[float, str]] = {}
     none = (0.0, "")
 
     def strongest(token: str) -> tuple[float, str]:
         best = none
         for word in readings(token, model):
-            rate = max((weight.get(p, 0.0) for p in feature_places(word)), default=0.0)
+            rate = max([word_rate.get(word_place(word), 0.0), *(prefix_rate.get(p, 0.0) for p in prefix_places(word))])
             if rate > best[0]:
                 best = (rate, word)
         return best
@@ -286,10 +319,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """``doc_id, held_out, score, predicted`` of every document."""
     ship_package(docs.sparkSession)
     model = character_model(docs)
-    places, rates, base = fit(docs, labels, model, sample)
+    words, prefixes, base = fit(docs, labels, model, sample)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text")
     return plain.mapInArrow(
-        partial(_scores, model=model, places=places, rates=rates, base=base),
+        partial(_scores, model=model, words=words, prefixes=prefixes, base=base),
         "doc_id bigint, held_out boolean, score double, predicted int",
     )
