@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.catalog.registry import Entry
-from motionlake.llm import caps, lines, mixing, pieces, quality, simhash, toxicity
+from motionlake.llm import caps, lines, mixing, pages, pieces, quality, simhash, toxicity
 from motionlake.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries() -> dict[str, Entry]:
     return {
         "op1_quality_rules": Entry(op1_quality_rules, quality.oracle()),
+        "op3_page_text": Entry(op3_page_text, None),
         "op4_toxicity": Entry(op4_toxicity, None),
         "op5_simhash": Entry(op5_simhash, None),
         "op6_line_dedup": Entry(op6_line_dedup, lines.oracle()),
