@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.catalog.registry import Entry
-from motionlake.llm import caps, lines, mixing, pages, pieces, quality, simhash, toxicity
+from motionlake.llm import caps, lines, mixing, pages, phrases, pieces, quality, simhash, toxicity
 from motionlake.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read(spark, sf_dir, "documents"))
 
 
+def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -48,6 +52,7 @@ def entries() -> dict[str, Entry]:
         "op4_toxicity": Entry(op4_toxicity, None),
         "op5_simhash": Entry(op5_simhash, None),
         "op6_line_dedup": Entry(op6_line_dedup, lines.oracle()),
+        "op7_phrase_dedup": Entry(op7_phrase_dedup, None),
         "op8_source_mixing": Entry(op8_source_mixing, mixing.oracle()),
         "op9_piece_codec": Entry(op9_piece_codec, None),
         "op10_embedding_caps": Entry(op10_embedding_caps, None),
