@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.catalog.registry import Entry
-from motionlake.llm import caps, lines, mixing, pages, phrases, pieces, quality, simhash, toxicity
+from motionlake.llm import caps, lines, mixing, pages, phrases, pieces, quality, simhash, suffixes, toxicity
 from motionlake.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(read(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries() -> dict[str, Entry]:
     return {
         "op1_quality_rules": Entry(op1_quality_rules, quality.oracle()),
+        "op2_suffix_dedup": Entry(op2_suffix_dedup, None),
         "op3_page_text": Entry(op3_page_text, None),
         "op4_toxicity": Entry(op4_toxicity, None),
         "op5_simhash": Entry(op5_simhash, None),

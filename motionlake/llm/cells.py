@@ -60,7 +60,7 @@ class Cell:
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     power = np.full(n, BASE, dtype=np.uint64)
     power[0] = 1
     inverse = np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64)
@@ -78,7 +78,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Polynomial prefix sums mod 2**64, with a leading zero."""
-    power, _ = _powers(2 * SLAB)
+    power, _ = powers(2 * SLAB)
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=out[1:])
     return out
@@ -86,7 +86,7 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of every span of the summed values, the same wherever the span stands."""
-    _, inverse = _powers(2 * SLAB)
+    _, inverse = powers(2 * SLAB)
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
@@ -96,7 +96,7 @@ def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = np.empty(n, dtype=np.uint64)
-    _, inverse = _powers(2 * SLAB)
+    _, inverse = powers(2 * SLAB)
     for s in range(0, n, SLAB):
         part = values[s : s + SLAB + size - 1]
         sums = prefix_sums(part)
