@@ -39,7 +39,7 @@ from motionlake.session import settle, ship_package
 SAMPLE = 20_000
 FEATURE_BITS = 22
 PREFIXES = (4, 5, 6)
-SHRINK = 4.0
+SHRINK = 3.0
 MIN_TOXIC = 3
 MIN_RATE = 0.35
 STRONGEST = 3
@@ -114,8 +114,9 @@ def _lattice(token: str) -> list[tuple[list[tuple[str, float]], float | None]]:
     for i, c in enumerate(token):
         if c.isalpha():
             repeat = i > 0 and token[i - 1] == c
-            again = repeat and i > 1 and token[i - 2] == c
-            out.append(([(c, 0.0)], DROP_AGAIN_COST if again else DROP_REPEAT_COST if repeat else None))
+            # Two of a letter are common spelling; in a longer run each is likely surplus.
+            run = c * 3 in token[max(0, i - 2) : i + 3]
+            out.append(([(c, 0.0)], None if not repeat else DROP_AGAIN_COST if run else DROP_REPEAT_COST))
         elif c == "*":
             out.append(([(chr(97 + k), MASK_COST) for k in range(LETTERS)], MASK_COST + 1))
         elif c in LEET:
@@ -186,10 +187,15 @@ def prefix_places(word: str) -> list[int]:
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case tokens, with runs of single characters joined to one more token."""
+    """Lower-case tokens; a run of single characters also gives the words it may hold."""
     low = text.lower()
-    joined = ["".join(m.split()) for m in SPACED.findall(low)]
-    return low.split() + joined
+    found = low.split()
+    for run in SPACED.findall(low):
+        joined = "".join(run.split())
+        n = len(joined)
+        found.append(joined)
+        found += [joined[i:j] for i in range(n) for j in range(i + 4, min(i + 13, n + 1)) if j - i < n]
+    return found
 
 
 def _sample_features(
