@@ -81,8 +81,9 @@ def st5_batch(spark, sf_dir):
 
 
 CARRY_SQL = """
-fr AS (SELECT l_orderkey % 100 clip_id, l_orderkey // 100 frame, CAST(count(*) FILTER (l_discount < 0.03) AS INT) boxes FROM lineitem GROUP BY 1, 2),
-fi AS (SELECT clip_id, frame // 7 i, min(frame) f, arg_min(boxes, frame) b FROM fr WHERE boxes > 0 GROUP BY 1, 2)"""
+f0 AS (SELECT l_orderkey % 100 clip_id, l_orderkey // 100 frame, CAST(count(*) FILTER (l_discount < 0.03) AS INT) boxes FROM lineitem GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 n FROM f0),
+fi AS (SELECT clip_id, n // 7 i, min(frame) f, arg_min(boxes, frame) b FROM fr WHERE boxes > 0 GROUP BY 1, 2)"""
 
 
 def _detected(spark, sf_dir):
@@ -95,7 +96,7 @@ def _detected(spark, sf_dir):
 @query(
     "w28_detection_carry_forward",
     ctes=(CARRY_SQL,),
-    sql="SELECT fr.clip_id, fr.frame, CASE WHEN f <= frame THEN f ELSE -1 END detected_at, CASE WHEN f <= frame THEN b ELSE 0 END boxes FROM fr LEFT JOIN fi ON fi.clip_id = fr.clip_id AND fi.i = fr.frame // 7",
+    sql="SELECT fr.clip_id, fr.frame, CASE WHEN f <= frame THEN f ELSE -1 END detected_at, CASE WHEN f <= frame THEN b ELSE 0 END boxes FROM fr LEFT JOIN fi ON fi.clip_id = fr.clip_id AND fi.i = fr.n // 7",
 )
 def w28(spark, sf_dir):
     return D.carry_forward(_detected(spark, sf_dir))

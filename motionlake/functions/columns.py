@@ -60,14 +60,22 @@ def file_suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r".(\.[^.]+)$", 1))
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
+def natural_key(text: Column) -> Column:
     """Sort key in which digit runs compare as numbers and letters ignore case.
 
-    A control character before each padded number makes a text that ends there sort
-    before any longer text, as comparing the parts one by one would.
+    A run of digits becomes a control character, the count of its digits without leading
+    zeros, and those digits, so numbers of any length compare by size. The control
+    character makes a text that ends there sort before any longer text, as comparing the
+    parts one by one would.
     """
-    padded = F.regexp_replace(F.lower(text), r"(\d+)", "\u0001" + "0" * width + "$1")
-    return F.regexp_replace(padded, rf"0*(\d{{{width}}})(?!\d)", "$1")
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def part(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+", "")
+        number = F.concat(F.lit("\u0001"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+        return F.when(run.rlike(r"^\d"), number).otherwise(run)
+
+    return F.array_join(F.transform(runs, part), "")
 
 
 def direction(x: Column, y: Column, z: Column) -> Column:

@@ -67,7 +67,7 @@ def _transition(source: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> np
 
 
 def correction_distances(
-    source: np.ndarray, targets: np.ndarray, mask: np.ndarray, skill: str
+    source: np.ndarray, targets: np.ndarray, mask: np.ndarray, skill: str, transition: bool = True
 ) -> np.ndarray:
     """Weighted distance of one clip (T, 17, 3) to each of E targets (E, T, 17, 3)."""
     joint_weight = np.array(spec.JOINT_WEIGHTS[skill])
@@ -83,7 +83,7 @@ def correction_distances(
     seen = mask[..., _TRIPLET[:, 0]] * mask[..., _TRIPLET[:, 1]] * mask[..., _TRIPLET[:, 2]]
     turned = np.abs(_angles(source)[None] - _angles(targets)) / np.pi
     total += w["angle"] * _mean(turned, seen)
-    factor = spec.TRANSITION_WEIGHT[skill]
+    factor = spec.TRANSITION_WEIGHT[skill] if transition else 0.0
     if factor:
         total += factor * _transition(source, targets, mask)
     return total
@@ -96,24 +96,47 @@ def euclidean_distances(source: np.ndarray, targets: np.ndarray, mask: np.ndarra
     return np.where(total > 1e-8, (error * mask).sum(axis=(1, 2)) / np.where(total > 1e-8, total, 1.0), np.inf)
 
 
-def warping_path(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
-    """Cheapest monotone alignment of two tracks and its cost.
+#: Cells of the cost table kept at a time.
+WARP_CELLS = 1 << 22
 
-    The cost table is filled along anti-diagonals. Going back, a diagonal step wins
-    ties, then a step in ``a``, then one in ``b``.
-    """
+
+def _warp_rows(a: np.ndarray, b: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Cost rows below ``above`` for the points ``a`` against all of ``b``."""
     m, n = len(a), len(b)
-    local = np.linalg.norm(a[:, None] - b[None], axis=-1)
     cost = np.full((m + 1, n + 1), np.inf)
-    cost[0, 0] = 0.0
+    cost[0] = above
     for d in range(2, m + n + 1):
         i = np.arange(max(1, d - n), min(m, d - 1) + 1)
         j = d - i
         best = np.minimum(np.minimum(cost[i - 1, j - 1], cost[i - 1, j]), cost[i, j - 1])
-        cost[i, j] = local[i - 1, j - 1] + best
+        gap = a[i - 1] - b[j - 1]
+        cost[i, j] = np.sqrt((gap * gap).sum(axis=-1)) + best
+    return cost
+
+
+def warping_path(a: np.ndarray, b: np.ndarray, cells: int = WARP_CELLS) -> tuple[np.ndarray, float]:
+    """Cheapest monotone alignment of two tracks and its cost.
+
+    The cost table is filled along anti-diagonals, some rows at a time: only the last row
+    of every band is kept, and going back the bands are filled again one by one. So tracks
+    of any length need about ``cells`` cells and one row per band. Going back, a diagonal
+    step wins ties, then a step in ``a``, then one in ``b``.
+    """
+    m, n = len(a), len(b)
+    band = max(1, min(m, cells // (n + 1)))
+    edges = [np.full(n + 1, np.inf)]
+    edges[0][0] = 0.0
+    for s in range(0, m, band):
+        edges.append(_warp_rows(a[s : s + band], b, edges[-1])[-1].copy())
     steps, i, j = [], m, n
+    cost = np.zeros((0, 0))
+    base = m + 1
     while i > 0 and j > 0:
+        if i <= base:
+            base = (i - 1) // band * band
+            cost = _warp_rows(a[base : base + band], b, edges[base // band])
         steps.append((i - 1, j - 1))
-        move = int(np.argmin((cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])))
+        k = i - base
+        move = int(np.argmin((cost[k - 1, j - 1], cost[k - 1, j], cost[k, j - 1])))
         i, j = i - (move != 2), j - (move != 1)
-    return np.array(steps[::-1]), float(cost[m, n])
+    return np.array(steps[::-1]).reshape(-1, 2), float(edges[-1][n])

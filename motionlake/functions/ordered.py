@@ -22,15 +22,26 @@ BLOCK_BITS = 12
 def value_block(value: Column, bits: int = BLOCK_BITS) -> Column:
     """Log-linear block of a double: 2**bits equal steps per power of two.
 
-    Monotone over all finite doubles. A log2 rounded up at a power of two changes
-    nothing, because ``e*n + v/2**e*n`` is continuous there.
+    Monotone over all doubles in Spark's order: the infinities have outermost blocks of
+    their own and NaN comes last. A log2 rounded up at a power of two changes nothing,
+    because ``e*n + v/2**e*n`` is continuous there.
     """
     n = 1 << bits
-    size = F.abs(value)
+    value = value.cast("double")
+    endless = F.isnan(value) | (F.abs(value) == float("inf"))
+    # The arithmetic below never sees a value without a finite logarithm.
+    size = F.when(endless | (value == 0), F.lit(1.0)).otherwise(F.abs(value))
+    outermost = 4096 * n
     exponent = F.floor(F.log2(size))
     place = (exponent + 1100) * n + F.floor(size / F.pow(F.lit(2.0), exponent) * n)
     return (
-        F.when(value > 0, place).when(value < 0, -place).otherwise(F.lit(0)).cast("bigint")
+        F.when(F.isnan(value), outermost + 1)
+        .when(value == float("inf"), outermost)
+        .when(value == float("-inf"), -outermost)
+        .when(value > 0, place)
+        .when(value < 0, -place)
+        .otherwise(F.lit(0))
+        .cast("bigint")
     )
 
 
@@ -107,8 +118,10 @@ def percentile_table(
         F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )
     fraction = F.col("_p") - F.floor("_p")
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * fraction
+    # Equal neighbours need no interpolation, which infinities could not stand.
     return edges.select(
-        *by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * fraction).alias("quantile")
+        *by, "q", F.when((F.col("_lo") == F.col("_hi")) | (fraction == 0), F.col("_lo")).otherwise(between).alias("quantile")
     )
 
 

@@ -28,18 +28,10 @@ def with_halo(
     ``before``/``after`` are how many frames a row's window reaches back/ahead.
     """
     size = size or BLOCK_FRAMES
-    if max(before, after) >= size:
-        raise ValueError("the halo must be smaller than a block")
     f = F.col(order)
-    home = F.floor(f / size)
-    blocks = F.array_distinct(
-        F.array(
-            home,
-            F.floor((f + before) / size),
-            F.floor(F.greatest(f - after, F.lit(0)) / size),
-        )
-    )
-    return df.withColumn("_block", F.explode(blocks))
+    # A halo longer than a block reaches several of them.
+    first, last = F.floor(F.greatest(f - after, F.lit(0)) / size), F.floor((f + before) / size)
+    return df.withColumn("_block", F.explode(F.sequence(first, last)))
 
 
 def own_rows(df: DataFrame, order: str = "frame", size: int | None = None) -> DataFrame:

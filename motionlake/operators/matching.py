@@ -1,10 +1,12 @@
 """Bone adaptation, expert matching and correction.
 
-A student meets the experts of its own (skill, handedness) as *chunks*: one row holds
-up to CHUNK experts, so a kernel scores a student against a chunk and returns only the
-best. The chunk table is broadcast while its measured size is small, else students and
-chunks are joined with a salt, so one hot group is spread over many tasks. Every expert
-is compared either way.
+Students and experts of one (skill, handedness, clip length) meet as *blocks*: a row holds
+up to BLOCK students or CHUNK experts as flat arrays, so what crosses into Python per
+student falls by the block size, and a kernel returns one best expert per student. The
+expert table is broadcast while its measured size is small, else blocks and chunks are
+joined under salts that follow the number of blocks, so one hot group is spread over many
+tasks. Every expert is compared either way, and clips that cannot be compared come back as
+error rows (:func:`match_errors`).
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from motionlake.session import ship_package
 
 KEY = "clip_id"
 CHUNK = 16
+BLOCK = 16
 BROADCAST_BYTES = 64 << 20
-SALTS = 64
+MAX_SALTS = 1024
 GROUP = ("skill", "handedness")
 # one aligned clip: 64 frames x 17 joints x (3 coordinates + confidence) doubles
 CLIP_BYTES = spec.CLIP_FRAMES * spec.JOINTS * 4 * 8
@@ -55,62 +58,64 @@ def adapt_bone_lengths(
 
 
 def clip_rows(frames: DataFrame, keep: Sequence[str] = GROUP, key: str = KEY) -> DataFrame:
-    """One row per aligned clip (64 frames at most): coordinates and confidences."""
+    """One row per aligned clip, whatever its length: flat coordinates and confidences."""
     ordered = F.array_sort(F.collect_list(F.struct("frame", "p", "c")))
     return (
-        frames.where(F.col("frame") < spec.CLIP_FRAMES)
-        .groupBy(key, *keep)
+        frames.groupBy(key, *keep)
         .agg(ordered.alias("_f"))
         .select(
             key,
             *keep,
-            F.transform("_f", lambda f: f["p"]).alias("seq"),
-            F.transform("_f", lambda f: f["c"]).alias("conf"),
+            F.flatten(F.transform("_f", lambda f: f["p"])).alias("seq"),
+            F.flatten(F.transform("_f", lambda f: f["c"])).alias("conf"),
             F.size("_f").alias("frames"),
         )
     )
 
 
-def bank_chunks(
-    bank_clips: DataFrame, experts: int, key: str = KEY, group: Sequence[str] = GROUP
-) -> DataFrame:
-    """Experts packed about CHUNK to a row by hash; a chunk holds clips of one length."""
-    parts = max(1, -(-experts // CHUNK))
+def packed(clips: DataFrame, size: int, count: int, group: Sequence[str], prefix: str, key: str = KEY) -> DataFrame:
+    """Clips packed about ``size`` to a row by hash; a row holds clips of one group and length."""
+    parts = max(1, -(-count // size))
     entry = F.struct(F.col(key).alias("id"), "seq", "conf")
     return (
-        bank_clips.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(parts)))
-        .groupBy(*group, "frames", "_chunk")
-        .agg(F.array_sort(F.collect_list(entry)).alias("experts"))
+        clips.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
+        .groupBy(*group, "frames", "_part")
+        .agg(F.array_sort(F.collect_list(entry)).alias("_e"))
         .select(
             *group,
             "frames",
-            F.transform("experts", lambda e: e["id"]).alias("ids"),
-            F.transform("experts", lambda e: e["seq"]).alias("seqs"),
-            F.transform("experts", lambda e: e["conf"]).alias("confs"),
+            "_part",
+            F.transform("_e", lambda e: e["id"]).alias(f"{prefix}_ids"),
+            F.flatten(F.transform("_e", lambda e: e["seq"])).alias(f"{prefix}_seq"),
+            F.flatten(F.transform("_e", lambda e: e["conf"])).alias(f"{prefix}_conf"),
         )
     )
 
 
-def join_chunks(students: DataFrame, chunks: DataFrame, experts: int, group: Sequence[str] = GROUP) -> DataFrame:
-    """Students x the chunks of their group; broadcast only below a measured size."""
+def join_blocks(blocks: DataFrame, chunks: DataFrame, experts: int, students: int, group: Sequence[str] = GROUP) -> DataFrame:
+    """Student blocks x the expert chunks of their group; broadcast only below a measured size."""
     on = [*group, "frames"]
+    chunks = chunks.drop("_part")
     if experts * CLIP_BYTES <= BROADCAST_BYTES:
-        return students.join(F.broadcast(chunks), on)
-    salted = chunks.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return students.withColumn("_salt", F.pmod(F.xxhash64(KEY), F.lit(SALTS)).cast("int")).join(
-        salted, [*on, "_salt"]
-    ).drop("_salt")
+        return blocks.join(F.broadcast(chunks), on).drop("_part")
+    salts = max(1, min(students // (BLOCK * BLOCK) + 1, MAX_SALTS))
+    salted = chunks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (
+        blocks.withColumn("_salt", F.pmod("_part", F.lit(salts)).cast("int"))
+        .join(salted, [*on, "_salt"])
+        .drop("_salt", "_part")
+    )
 
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, str], np.ndarray]
 
 
-def _adapted_kernel(iterations: int) -> Kernel:
+def _adapted_kernel(iterations: int, transition: bool = True) -> Kernel:
     def score(source: np.ndarray, experts: np.ndarray, mask: np.ndarray, skill: str) -> np.ndarray:
         e, t = experts.shape[:2]
         repeated = np.broadcast_to(source[None], experts.shape).reshape(e * t, spec.JOINTS, 3)
         moved = kernels.relax_bones(repeated, experts.reshape(e * t, spec.JOINTS, 3), iterations)
-        return kernels.correction_distances(source, moved.reshape(experts.shape), mask, skill)
+        return kernels.correction_distances(source, moved.reshape(experts.shape), mask, skill, transition)
 
     return score
 
@@ -129,17 +134,21 @@ def nearest_expert(
     """Best expert per student: (clip_id, expert_id, distance, mean_distance, experts).
 
     Both inputs are aligned frame tables. The lowest expert id wins ties. A student
-    without any same-group expert is absent; see :func:`without_expert`.
+    without any comparable expert is absent here and a row of :func:`match_errors`.
+    ``group`` must name ``skill``, whose weights the kernel uses.
     """
-    experts = clip_rows(bank, group)
+    if "skill" not in group:
+        raise ValueError("experts are matched within a skill: name it in group")
     n_experts = bank.select(KEY).distinct().count()
-    chunks = bank_chunks(experts, n_experts, group=group)
+    n_students = students.select(KEY).distinct().count()
+    chunks = packed(clip_rows(bank, group), CHUNK, n_experts, group, "e")
+    blocks = packed(clip_rows(students, group), BLOCK, n_students, group, "s")
     # the kernel is bound by CPU, not bytes: keep small inputs on all cores
-    spread = students.sparkSession.sparkContext.defaultParallelism
-    own = clip_rows(students, group)
-    if students.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
-        own = own.repartition(max(spread, int(students.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = join_chunks(own, chunks, n_experts, group)
+    session = students.sparkSession
+    if session.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
+        spread = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+        blocks = blocks.repartition(spread)
+    rows = join_blocks(blocks, chunks, n_experts, n_students, group)
     id_type = students.schema[KEY].dataType
     schema = T.StructType(
         [
@@ -151,27 +160,27 @@ def nearest_expert(
         ]
     )
 
-    skill_first = group[0] == "skill"
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                source = np.stack(row.seq).reshape(-1, spec.JOINTS, 3)
-                ids = np.asarray(row.ids)
-                use = ids != getattr(row, KEY) if exclude_self else np.ones(len(ids), dtype=bool)
-                if not use.any():
-                    continue
-                bank_seq = np.stack([np.stack(s) for s in row.seqs]).reshape(len(ids), *source.shape)[use]
-                bank_conf = np.stack([np.stack(c) for c in row.confs])[use]
-                mask = bank_conf * np.stack(row.conf)[None]
-                found = kernel(source, bank_seq, mask, row.skill if skill_first else "clear")
-                best = int(np.argmin(found))
-                out.append((getattr(row, KEY), ids[use][best], float(found[best]), float(found.sum()), int(use.sum())))
+                ids, expert_ids = np.asarray(row.s_ids), np.asarray(row.e_ids)
+                shape = (row.frames, spec.JOINTS, 3)
+                own = np.asarray(row.s_seq).reshape(len(ids), *shape)
+                own_conf = np.asarray(row.s_conf).reshape(len(ids), *shape[:2])
+                seq = np.asarray(row.e_seq).reshape(len(expert_ids), *shape)
+                conf = np.asarray(row.e_conf).reshape(len(expert_ids), *shape[:2])
+                for i, clip in enumerate(ids):
+                    use = expert_ids != clip if exclude_self else np.ones(len(expert_ids), dtype=bool)
+                    if not use.any():
+                        continue
+                    found = kernel(own[i], seq[use], conf[use] * own_conf[i], row.skill)
+                    best = int(np.argmin(found))
+                    out.append((clip, expert_ids[use][best], float(found[best]), float(found.sum()), int(use.sum())))
             yield pd.DataFrame(out, columns=schema.names)
 
-    # rows carry a whole chunk of experts; Spark bounds an Arrow batch by its bytes
-    ship_package(students.sparkSession)
+    # rows carry blocks of clips; Spark bounds an Arrow batch by its bytes
+    ship_package(session)
     scored = rows.mapInPandas(run, schema)
     return scored.groupBy(KEY).agg(
         F.min(F.struct("distance", "expert_id")).alias("_best"),
@@ -194,6 +203,32 @@ def without_expert(students: DataFrame, bank: DataFrame, group: Sequence[str] =
     )
 
 
+def match_errors(
+    students: DataFrame, bank: DataFrame, exclude_self: bool = False, group: Sequence[str] = GROUP
+) -> DataFrame:
+    """(clip_id, error) of every student that matching cannot compare with any expert.
+
+    Either its group has no (other) expert, or none with as many frames. Together with the
+    rows of :func:`nearest_expert` this covers every student.
+    """
+    lengths = lambda t: t.groupBy(KEY, *group).agg(F.count(F.lit(1)).alias("frames"))
+    own, experts = lengths(students), lengths(bank)
+    by_group = experts.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
+    by_length = experts.groupBy(*group, "frames").agg(F.count(F.lit(1)).alias("_same"))
+    rows = own.join(by_group, list(group), "left").join(by_length, [*group, "frames"], "left")
+    if exclude_self:
+        me = experts.select(KEY, *group, F.lit(1).alias("_me"))
+        rows = rows.join(me, [KEY, *group], "left")
+    else:
+        rows = rows.withColumn("_me", F.lit(0))
+    mine = F.coalesce("_me", F.lit(0))
+    error = F.when(F.coalesce("_all", F.lit(0)) - mine <= 0, "no same-handed expert is available").when(
+        F.coalesce("_same", F.lit(0)) - mine <= 0,
+        F.concat(F.lit("no expert clip has "), F.col("frames").cast("string"), F.lit(" frames")),
+    )
+    return rows.select(KEY, error.alias("error")).where("error IS NOT NULL")
+
+
 def match_expert_euclidean(
     students: DataFrame, bank: DataFrame, exclude_self: bool = False, group: Sequence[str] = GROUP
 ) -> DataFrame:
@@ -206,9 +241,13 @@ def match_expert(
     iterations: int = 20,
     exclude_self: bool = False,
     group: Sequence[str] = GROUP,
+    transition: bool = True,
 ) -> DataFrame:
-    """Nearest expert by correction distance, every expert adapted to the student first."""
-    return nearest_expert(students, bank, _adapted_kernel(iterations), exclude_self, group)
+    """Nearest expert by correction distance, every expert adapted to the student first.
+
+    Without ``transition`` the joint terms alone select.
+    """
+    return nearest_expert(students, bank, _adapted_kernel(iterations, transition), exclude_self, group)
 
 
 def with_expert(students: DataFrame, bank: DataFrame, matches: DataFrame) -> DataFrame:
@@ -223,8 +262,8 @@ def with_expert(students: DataFrame, bank: DataFrame, matches: DataFrame) -> Dat
     if n_experts * CLIP_BYTES <= BROADCAST_BYTES:
         joined = chosen.join(F.broadcast(experts), ["expert_id", "frame"])
     else:
-        salted = experts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = chosen.withColumn("_salt", F.pmod(F.xxhash64(KEY), F.lit(SALTS)).cast("int")).join(
+        salted = experts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))))
+        joined = chosen.withColumn("_salt", F.pmod(F.xxhash64(KEY), F.lit(BLOCK)).cast("int")).join(
             salted, ["expert_id", "frame", "_salt"]
         ).drop("_salt")
     return joined.withColumn("own_c", F.col("c")).withColumn(
@@ -273,6 +312,18 @@ def correct_clips(
     return adapt_bone_lengths(moved, iterations)
 
 
+def correction_errors(clips: DataFrame, bank: DataFrame) -> DataFrame:
+    """(clip_id, error) of every clip that :func:`correct_clips` has no rows for."""
+    bad = timewarp.anchor_errors(clips).distinct()
+    aligned = timewarp.phase_align(clips)
+    rest = clips.select(KEY).distinct().join(bad.select(KEY), KEY, "left_anti")
+    unmatched = match_errors(aligned, bank)
+    unaligned = rest.join(aligned.select(KEY).distinct(), KEY, "left_anti").select(
+        KEY, F.lit("the clip could not be phase aligned").alias("error")
+    )
+    return bad.unionByName(unmatched).unionByName(unaligned)
+
+
 def build_training_pairs(students: DataFrame, experts: DataFrame, iterations: int = 20) -> DataFrame:
     """Aligned training frames: students aim at their adapted expert, experts at themselves.
 
@@ -302,11 +353,11 @@ def match_pairs(students: DataFrame, bank: DataFrame, matches: DataFrame) -> Dat
     return with_expert(students, bank, matches).drop("own_c", "expert_c")
 
 
-def dtw(pairs_: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", max_cells: int = 1 << 24) -> DataFrame:
+def dtw(pairs_: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
     """Dynamic time warping of row pairs of tracks (arrays of points): path and cost.
 
-    One row holds one pair, so the work spreads over pairs. The cost table is
-    quadratic; a pair beyond ``max_cells`` raises instead of being cut.
+    One row holds one pair, so the work spreads over pairs. Time is quadratic in the track
+    length; memory is a band of the cost table and one row per band.
     """
     fields = [pairs_.schema[k] for k in keys] + [
         T.StructField("cost", T.DoubleType()),
@@ -319,8 +370,6 @@ def dtw(pairs_: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", max_
             out = []
             for row in batch.to_dict("records"):
                 x, y = np.stack(row[a]), np.stack(row[b])
-                if len(x) * len(y) > max_cells:
-                    raise ValueError(f"pair {[row[k] for k in keys]} needs {len(x) * len(y)} cells")
                 path, cost = kernels.warping_path(x, y)
                 out.append((*[row[k] for k in keys], cost, [{"i": int(i), "j": int(j)} for i, j in path]))
             yield pd.DataFrame(out, columns=schema.names)
@@ -368,8 +417,10 @@ __all__ = [
     "adapt_bone_lengths",
     "build_training_pairs",
     "correct_clips",
+    "correction_errors",
     "dtw",
     "match_expert",
+    "match_errors",
     "match_expert_euclidean",
     "match_pairs",
     "nearest_expert",

@@ -41,15 +41,30 @@ def unpack(frames: DataFrame, p: str = "p", c: str = "c") -> DataFrame:
     )
 
 
-def pack(joints: DataFrame, keys: Sequence[str] = (KEY, "frame"), keep: Sequence[str] = ()) -> DataFrame:
-    """Joints -> frames; a frame has at most 17 joints, absent ones become null."""
-    entry = F.struct("joint", "x", "y", "z", "conf")
-    by_joint = F.map_from_entries(
-        F.transform(F.collect_list(entry), lambda e: F.struct(e["joint"], e))
+def _by_joint(rows: DataFrame, keys: Sequence[str], entry: Column, ok: Column, first: Sequence[str] = ()) -> DataFrame:
+    """Per key a map ``_m`` of joint to its largest entry; copies of a joint count once.
+
+    Rows are dealt by key once, so both aggregations share one exchange, and the map has
+    at most 17 entries whatever the copies. Keys without a usable row get an empty map.
+    """
+    dealt = rows.select(*keys, *first, F.when(ok, F.col("joint").cast("int")).alias("_joint"), F.when(ok, entry).alias("_e"))
+    single = dealt.repartition(*keys).groupBy(*keys, "_joint").agg(
+        F.max("_e").alias("_e"), *[F.first(k).alias(k) for k in first]
     )
-    grouped = joints.where(F.col("joint").between(0, spec.JOINTS - 1)).groupBy(*keys).agg(
-        by_joint.alias("_m"), *[F.first(k).alias(k) for k in keep]
+    item = F.when(F.col("_joint").isNotNull(), F.struct("_joint", "_e"))
+    return single.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(item)).alias("_m"), *[F.first(k).alias(k) for k in first]
     )
+
+
+def pack(joints: DataFrame, keys: Sequence[str] = (KEY, "frame"), keep: Sequence[str] = ()) -> DataFrame:
+    """Joints -> frames; absent joints become null.
+
+    Of repeated rows of a joint the one with the largest (conf, x, y, z) counts.
+    """
+    entry = F.struct("conf", "x", "y", "z")
+    inside = F.col("joint").between(0, spec.JOINTS - 1)
+    grouped = _by_joint(joints.where(inside), keys, entry, inside, keep)
     return grouped.select(
         *keys,
         *keep,
@@ -63,14 +78,14 @@ def dense_joints(
 ) -> DataFrame:
     """All 17 joints of every frame; unusable observations become null with conf 0.
 
-    Joints outside 0..16 and rows with a missing or non-finite coordinate are ignored.
+    Joints outside 0..16 and rows with a missing or non-finite coordinate are ignored. Of
+    repeated usable rows of a joint the one with the largest coordinates counts.
     """
     axes = ("x", "y", "z")[:dims]
     ok = F.col("joint").between(0, spec.JOINTS - 1)
     for a in axes:
         ok = ok & F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < float("inf"))
-    entry = F.struct(F.col("joint").cast("int").alias("joint"), F.struct(*axes).alias("v"))
-    grouped = obs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(ok, entry))).alias("_m"))
+    grouped = _by_joint(obs, keys, F.struct(*axes), ok)
     return grouped.select(
         *keys, "_m", F.explode(F.array(*[F.lit(j) for j in range(spec.JOINTS)])).alias("joint")
     ).select(
