@@ -343,6 +343,27 @@ def c03(spark, sf_dir):
     return out.select("clip_id", "expert_id", *R6("distance"), "experts")
 
 
+CUT_SQL = """
+cu AS (SELECT clip_id, skill, handedness, label, CASE WHEN label = 'beginners' AND clip_id % 3 = 1 THEN 60 WHEN label = 'beginners' AND clip_id % 3 = 2 THEN 80 ELSE 64 END n
+  FROM (SELECT DISTINCT clip_id, skill, handedness, label FROM al))"""
+
+
+@query(
+    "c03_match_coverage",
+    ctes=(*ALIGNED, CUT_SQL),
+    sql="""SELECT clip_id, CASE WHEN NOT EXISTS (SELECT 1 FROM cu e WHERE e.label = 'experts' AND e.skill = s.skill AND e.handedness = s.handedness) THEN 'no same-handed expert is available'
+WHEN n <> 64 THEN 'no expert clip has ' || n || ' frames' ELSE 'matched' END outcome FROM cu s WHERE label = 'beginners'""",
+)
+def c03_coverage(spark, sf_dir):
+    """Clips of 60, 64 and 80 frames: every student is matched or named with its reason."""
+    students, experts = cohorts(spark, sf_dir)
+    kind = F.expr("clip_id % 3")
+    longer = students.where((kind == 2) & (F.col("frame") < 16)).withColumn("frame", F.col("frame") + 64)
+    cut = students.where((kind != 1) | (F.col("frame") < 60)).unionByName(longer)
+    matched = M.match_expert_euclidean(cut, experts).select("clip_id", F.lit("matched").alias("outcome"))
+    return matched.unionByName(M.match_errors(cut, experts).withColumnRenamed("error", "outcome"))
+
+
 @query("c02_adapt_bone_lengths")
 def c02(spark, sf_dir):
     return M.adapt_bone_lengths(pairs64(spark, sf_dir)).select("clip_id", "frame", "t")

@@ -10,6 +10,7 @@ from motionlake import spec
 from motionlake.catalog.distances import BASE, TERM_SQL, pairs64
 from motionlake.catalog.poses import ANCHOR_EXPR, FILL_SQL, R6, clips64
 from motionlake.catalog.registry import query
+from motionlake.catalog.scores import _calibrate_sql
 from motionlake.catalog.views import CANDIDATE_SQL, GRADED_SQL, POSE_SQL, graded, pose_frames, pose_joints
 from motionlake.operators import evaluate as E
 from motionlake.operators import grading as G
@@ -236,11 +237,19 @@ def s14(spark, sf_dir):
     return tables.read_manifest(spark, folder)
 
 
-@query("s11_calibration_json")
+@query(
+    "s11_calibration_json",
+    ctes=("RECURSIVE " + GRADED_SQL.strip(), _calibrate_sql("45", "99")),
+    sql="SELECT skill, round(b.o, 6) distance_offset, round(b.a, 5) alpha, 45.0::DOUBLE target_beginner_mean, 99.0::DOUBLE target_expert_mean, b.ok target_reachable FROM calib",
+)
 def s11(spark, sf_dir):
     folder = _folder(spark, "calibration")
     tables.write_calibration(G.fit_calibration(graded(spark, sf_dir)), folder)
-    return tables.read_calibration(spark, folder)
+    stored = tables.read_calibration(spark, folder)
+    return stored.select(
+        "skill", *R6("distance_offset"), F.round("alpha", 5).alias("alpha"),
+        "target_beginner_mean", "target_expert_mean", "target_reachable",
+    )
 
 
 @query("s03_media_listing")

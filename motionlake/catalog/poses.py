@@ -41,6 +41,21 @@ def s04(spark, sf_dir):
     return dense.select("clip_id", "frame", "joint", *[F.round(a, 9).alias(a) for a in ("x", "y", "z")], "conf")
 
 
+@query(
+    "s04_repeated_joints",
+    ctes=(JOINT7_SQL, "grid AS (SELECT DISTINCT clip_id, frame FROM joint7)"),
+    sql="""SELECT g.clip_id, g.frame, CAST(j AS INT) joint, round(x + 0.5::DOUBLE, 9) x, round(y, 9) y, round(z, 9) z,
+CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END conf
+FROM grid g CROSS JOIN (SELECT unnest(range(0,17)) j) q LEFT JOIN joint7 p ON p.clip_id = g.clip_id AND p.frame = g.frame AND p.joint = j""",
+)
+def s04_repeated(spark, sf_dir):
+    """Every observation three times; the copy with the largest coordinates counts."""
+    once = joint7(spark, sf_dir)
+    moved = once.withColumn("x", F.col("x") + 0.5)
+    dense = P.dense_joints(once.unionByName(moved).unionByName(moved))
+    return dense.select("clip_id", "frame", "joint", *[F.round(a, 9).alias(a) for a in ("x", "y", "z")], "conf")
+
+
 @query(
     "p01_confidence_filter",
     ctes=(DETECTION_SQL,),

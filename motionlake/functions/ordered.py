@@ -86,10 +86,13 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]
+    df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float], amount: Column | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, one column per name."""
-    long = percentile_table(df, by, value, sorted(set(quantiles.values())))
+    """Exact linear-interpolated quantiles per group, one column per name.
+
+    ``amount`` weighs rows that are counts already.
+    """
+    long = percentile_table(df, by, value, sorted(set(quantiles.values())), amount)
     picks = [
         F.max(F.when(F.col("q") == F.lit(float(q)), F.col("quantile"))).alias(name)
         for name, q in quantiles.items()
@@ -98,14 +101,14 @@ def exact_percentiles(
 
 
 def percentile_table(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float]
+    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], amount: Column | None = None
 ) -> DataFrame:
     """Exact quantiles in long form ``(by..., q, quantile)``; any number of them."""
     # A wanted 0-based position p lies between ranks floor(p) and ceil(p); a distinct
     # value covers the ranks [before, before + n).
     q_list = F.array(*[F.lit(float(q)) for q in quantiles])
     spread = (
-        running_totals(df, by, value)
+        running_totals(df, by, value, amount)
         .select(*by, value, "n", "before", "total", F.explode(q_list).alias("q"))
         .withColumn("_p", (F.col("total") - 1) * F.col("q"))
     )

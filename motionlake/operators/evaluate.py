@@ -116,28 +116,31 @@ def metric_summary(
 ) -> DataFrame:
     """Mean and exact p95 of every metric per part and over all, in long form.
 
-    NaN, infinite and null values are left out of a metric, not out of the counts.
+    NaN, infinite and null values are left out of a metric, not out of the counts. Details
+    are read once and compressed to counts per (group, metric, value); the rows of "all"
+    and the statistics come from the counts. Rows without a good value count as null ones.
     """
     keys = [*by, part]
-    both = details.withColumn(part, F.explode(F.array(F.col(part), F.lit("all"))))
-    counts = both.groupBy(*keys).agg(
-        F.sum((F.col("status") == "success").cast("int")).alias("samples"),
-        F.sum((F.col("status") != "success").cast("int")).alias("failures"),
+    success = F.col("status") == "success"
+    values = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), F.when(success, finite(F.col(m).cast("double"))).alias("v"))
+            for m in metrics
+        ]
     )
-    good = both.where(F.col("status") == "success").select(
-        *keys,
-        F.inline(
-            F.array(*[F.struct(F.lit(m).alias("metric"), finite(F.col(m).cast("double")).alias("v")) for m in metrics])
-        ),
+    counted = (
+        details.select(*keys, success.alias("_ok"), F.inline(values))
+        .groupBy(*keys, "metric", "v")
+        .agg(F.sum(F.col("_ok").cast("bigint")).alias("_good"), F.sum((~F.col("_ok")).cast("bigint")).alias("_bad"))
+        .withColumn(part, F.explode(F.array(F.col(part), F.lit("all"))))
     )
-    means = good.groupBy(*keys, "metric").agg(F.avg("v").alias("mean"))
-    p95 = exact_percentiles(good, [*keys, "metric"], "v", {"p95": 0.95})
-    names = F.explode(F.array(*[F.lit(m) for m in metrics]))
-    return (
-        counts.withColumn("metric", names)
-        .join(means, [*keys, "metric"], "left")
-        .join(p95, [*keys, "metric"], "left")
+    totals = counted.groupBy(*keys, "metric").agg(
+        F.sum("_good").alias("samples"),
+        F.sum("_bad").alias("failures"),
+        (F.sum(F.col("v") * F.col("_good")) / F.sum(F.when(F.col("v").isNotNull(), F.col("_good")))).alias("mean"),
     )
+    p95 = exact_percentiles(counted, [*keys, "metric"], "v", {"p95": 0.95}, F.col("_good"))
+    return totals.join(p95, [*keys, "metric"], "left")
 
 
 def criterion_errors(own: Column, reference: Column) -> Column:

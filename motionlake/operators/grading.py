@@ -17,6 +17,8 @@ from motionlake.session import inline_table
 KEY = "clip_id"
 ALPHA_LIMIT = float(1 << 20)
 GRID = 201
+#: Steepnesses of the first pass.
+RUNGS = (0.0, *(2.0**k for k in range(-2, 13)))
 
 
 # --- calibration ------------------------------------------------------------------
@@ -34,10 +36,11 @@ def fit_calibration(
 
     Candidate offsets are 0 and 201 expert quantiles. For every offset the steepness
     solves mean(100 exp(-alpha max(d - offset, 0))) = target over the beginners. All
-    candidates of all groups are refined together: one aggregation over the compressed
-    beginner distances per Newton step, and only (group, candidate) sums, a bounded
-    table, come back. The function is convex and falling, so Newton from 0 rises
-    monotonically to the root.
+    candidates of all groups are refined together over the compressed beginner distances:
+    one pass looks at a ladder of steepnesses, then every pass is one Newton step from the
+    last rung before the root. Only sums per (group, candidate) come back, 202 per group
+    and rung, so the driver's share grows with the number of groups alone. The function
+    is convex and falling, so Newton rises monotonically to the root.
     """
     experts = distances.where(F.col(label) == "experts").groupBy(by, value).count()
     beginners = distances.where(F.col(label) == "beginners").groupBy(by, value).count()
@@ -52,7 +55,8 @@ def fit_calibration(
             offsets.setdefault(row[by], {0.0}).add(float(row["quantile"]))
         state = {(g, o): 0.0 for g, values in offsets.items() for o in values}
         target = target_beginner / 100.0
-        sums = _moments(beginners, by, value, state)
+        ladder = _moments(beginners, by, value, [(g, o, a) for g, o in state for a in RUNGS])
+        sums = {k: ladder[(*k, 0.0)] for k in state if (*k, 0.0) in ladder}
         counts = {k: v[0] for k, v in sums.items()}
         state = {k: a for k, a in state.items() if counts.get(k)}
         reachable = {k: 100.0 * sums[k][3] / counts[k] <= target_beginner for k in state}
@@ -60,9 +64,10 @@ def fit_calibration(
         for k in state:
             if k not in open_:
                 state[k] = ALPHA_LIMIT if not reachable[k] else state[k]
-        for _ in range(200):
-            if not open_:
-                break
+        for k in open_:
+            state[k] = max(a for a in RUNGS if a == 0 or ladder[(*k, a)][1] >= target * counts[k])
+            sums[k] = ladder[(*k, state[k])]
+        while open_:
             moved = set()
             for k in open_:
                 n, e, ae, _ = sums[k]
@@ -73,9 +78,9 @@ def fit_calibration(
                 state[k] = new
             open_ = moved
             if open_:
-                sums.update(_moments(beginners, by, value, {k: state[k] for k in open_}))
-        low = _moments(beginners, by, value, state)
-        high = _moments(experts, by, value, state)
+                sums.update(_at(beginners, by, value, {k: state[k] for k in open_}))
+        low = _at(beginners, by, value, state)
+        high = _at(experts, by, value, state)
     finally:
         experts.unpersist()
         beginners.unpersist()
@@ -101,26 +106,35 @@ def fit_calibration(
     return inline_table(distances.sparkSession, rows, schema)
 
 
-def _moments(cohort: DataFrame, by: str, value: str, state: dict) -> dict:
-    """(n, sum e, sum a e, n at zero) per (group, offset); a = max(d - o, 0), e = exp(-alpha a)."""
+def _at(cohort: DataFrame, by: str, value: str, state: dict) -> dict:
+    """Moments at one steepness per (group, offset)."""
+    found = _moments(cohort, by, value, [(g, o, a) for (g, o), a in state.items()])
+    return {(g, o): v for (g, o, _), v in found.items()}
+
+
+def _moments(cohort: DataFrame, by: str, value: str, points: list[tuple]) -> dict:
+    """(n, sum e, sum a e, n at zero) per point (group, offset, alpha).
+
+    a = max(d - offset, 0), e = exp(-alpha a).
+    """
     spark = cohort.sparkSession
     kind = dict(cohort.dtypes)[by]
     params = inline_table(
         spark,
-        [(g, o, a) for (g, o), a in state.items()],
+        points,
         f"{by} {kind}, _offset double, _alpha double",
     )
     gap = F.greatest(F.col(value) - F.col("_offset"), F.lit(0.0))
     rows = cohort.join(F.broadcast(params), by).select(
-        by, "_offset", "count", gap.alias("a"), F.exp(-F.col("_alpha") * gap).alias("e")
+        by, "_offset", "_alpha", "count", gap.alias("a"), F.exp(-F.col("_alpha") * gap).alias("e")
     )
-    table = rows.groupBy(by, "_offset").agg(
+    table = rows.groupBy(by, "_offset", "_alpha").agg(
         F.sum("count").alias("n"),
         F.sum(F.col("count") * F.col("e")).alias("e"),
         F.sum(F.col("count") * F.col("a") * F.col("e")).alias("ae"),
         F.sum(F.when(F.col("a") == 0, F.col("count")).otherwise(0)).alias("z"),
     )
-    return {(r[by], r["_offset"]): (r["n"], r["e"], r["ae"], r["z"]) for r in table.collect()}
+    return {(r[by], r["_offset"], r["_alpha"]): (r["n"], r["e"], r["ae"], r["z"]) for r in table.collect()}
 
 
 def with_scores(

@@ -155,18 +155,15 @@ def augment_clips(frames: DataFrame, seed: int, kind: str = "pair", key: str = K
     sigma = noise0 + noise1 * seeded_unit(clip, "sigma")
     rate = mask0 + mask1 * seeded_unit(clip, "mask")
     shift = (F.floor(seeded_unit(clip, "shift") * 5) - 2).cast("int")
-    last = F.max("frame").over(Window.partitionBy(key))
-    drawn = frames.withColumns({"_sigma": sigma, "_rate": rate, "_shift": shift, "_last": last})
-    # output frame f shows source frame f - shift, held at the edges
-    shown = drawn.withColumn("_src", F.col("frame")).withColumn(
-        "frame",
-        F.explode(
-            F.filter(
-                F.sequence(F.lit(0), F.col("_last")),
-                lambda g: F.greatest(F.lit(0), F.least(F.col("_last"), g - F.col("_shift"))) == F.col("_src"),
-            )
-        ),
-    )
+    last = frames.groupBy(key).agg(F.max("frame").alias("_last"))
+    drawn = frames.join(last, key).withColumns({"_sigma": sigma, "_rate": rate, "_shift": shift})
+    # Output frame f shows source frame f - shift, held at the edges: a source frame is
+    # shown once, and the first and last one also fill what the shift leaves open.
+    moved = F.col("frame") + F.col("_shift")
+    low = F.greatest(F.lit(0), F.when(F.col("frame") == 0, F.lit(0)).otherwise(moved))
+    high = F.least(F.col("_last"), F.when(F.col("frame") == F.col("_last"), F.col("_last")).otherwise(moved))
+    span = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int")))
+    shown = drawn.withColumn("_src", F.col("frame")).withColumn("frame", F.explode(span))
     joints = F.array(*[F.lit(j) for j in range(17)])
     keep = [c for c in frames.columns if c not in ("p", "c", "frame")]
     long = shown.select(*keep, "frame", "_src", "_sigma", "_rate", "p", "c", F.explode(joints).alias("joint"))

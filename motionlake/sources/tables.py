@@ -78,14 +78,21 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
 
 
 def handedness_overrides(texts: DataFrame, text: str = "value") -> DataFrame:
-    """(filename, handedness, error) from JSON objects that map file names to a hand."""
+    """(filename, handedness, error) from JSON objects that map file names to a hand.
+
+    An object that cannot be read is one row without a name, with an error.
+    """
     parsed = texts.select(F.from_json(text, "map<string,string>").alias("m"))
-    rows = parsed.select(F.explode("m").alias("filename", "_h"))
+    rows = parsed.select(F.col("m").isNull().alias("_broken"), F.explode_outer("m").alias("filename", "_h"))
     hand = F.lower("_h")
-    return rows.select(
+    good = F.coalesce(hand.isin("left", "right"), F.lit(False))
+    return rows.where(F.col("_broken") | F.col("filename").isNotNull()).select(
         "filename",
-        F.when(hand.isin("left", "right"), hand).alias("handedness"),
-        F.when(hand.isin("left", "right"), "").otherwise("handedness must be left or right").alias("error"),
+        F.when(good, hand).alias("handedness"),
+        F.when(F.col("_broken"), "the overrides cannot be read")
+        .when(good, "")
+        .otherwise("handedness must be left or right")
+        .alias("error"),
     )
 
 
