@@ -583,11 +583,6 @@ def t12(spark, sf_dir):
     return S.page(graded(spark, sf_dir), ["clip_id"], 599).select("clip_id", "skill")
 
 
-@query("c07_augment_clips")
-def c07(spark, sf_dir):
-    return S.augment_clips(pose_frames(spark, sf_dir).select("clip_id", "frame", "p", "c"), 2718)
-
-
 _UNIT = "((('0x' || substr(md5({k} || '#{s}'), 1, 12))::UBIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE"
 AUGMENT_SQL = f"""
 cl AS (SELECT DISTINCT clip_id, '2718/' || clip_id key, max(frame) OVER (PARTITION BY clip_id) last FROM pose),
@@ -596,6 +591,33 @@ au AS (SELECT d.clip_id, CAST(g AS INT) frame, p.joint, CASE WHEN {_UNIT.format(
   FROM dr d, (SELECT unnest(range(0, 10)) g) q, pose p WHERE g <= last AND p.clip_id = d.clip_id AND p.frame = greatest(0, least(last, g - sh)))"""
 
 
+def _normal_sql(key: str, axis: str) -> str:
+    u, v = (_UNIT.format(k=key, s=axis + x) for x in "uv")
+    return f"sqrt(-2.0::DOUBLE * ln({u})) * cos(2.0::DOUBLE * 3.141592653589793::DOUBLE * {v})"
+
+
+_AT, _LIMB = "(key || '/' || p.frame || '/' || p.joint)", "(key || '/limb/' || p.joint)"
+_MOVED = ", ".join(
+    f"round(CASE WHEN {_UNIT.format(k=_AT, s='drop')} < rate THEN 0.0::DOUBLE ELSE p.{a} + {_normal_sql(_AT, a)} * sigma END"
+    f" + CASE WHEN p.joint IN (7,8,9,10,13,14,15,16) THEN {_normal_sql(_LIMB, a)} * sigma * 0.75::DOUBLE ELSE 0.0::DOUBLE END, 6) {a}"
+    for a in "xyz"
+)
+MOVED_SQL = f"""
+sg AS (SELECT *, 0.02::DOUBLE + 0.06::DOUBLE * {_UNIT.format(k='key', s='sigma')} sigma FROM dr),
+mv AS (SELECT d.clip_id, CAST(g AS INT) frame, p.joint, {_MOVED}, CASE WHEN {_UNIT.format(k=_AT, s='drop')} < rate THEN 0.0::DOUBLE ELSE p.conf END conf
+  FROM sg d, (SELECT unnest(range(0, 10)) g) q, pose p WHERE g <= last AND p.clip_id = d.clip_id AND p.frame = greatest(0, least(last, g - sh)))"""
+
+
+@query(
+    "c07_augment_clips",
+    ctes=(POSE_SQL, AUGMENT_SQL, MOVED_SQL),
+    sql="SELECT clip_id, frame, joint, x, y, z, conf FROM mv",
+)
+def c07(spark, sf_dir):
+    moved = S.augment_clips(pose_frames(spark, sf_dir).select("clip_id", "frame", "p", "c"), 2718)
+    return moved.select("clip_id", "frame", "joint", *R6("x", "y", "z"), "conf")
+
+
 @query("c07_augment_visibility", ctes=(POSE_SQL, AUGMENT_SQL), sql="SELECT clip_id, frame, joint, conf FROM au")
 def c07_visible(spark, sf_dir):
     return c07(spark, sf_dir).select("clip_id", "frame", "joint", "conf")
