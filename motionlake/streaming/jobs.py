@@ -49,58 +49,93 @@ def complete_clips(stream: DataFrame, key: str = KEY, gap: str = "1 hour", water
     ).select(key, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "frames")
 
 
+#: Versions between two full rewrites of the upsert state.
+FULL_EVERY = 8
+
+
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """Committed versions of the upsert state, oldest first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(target)
+    files = folder.getFileSystem(conf)
+    if not files.exists(folder):
+        return []
+    found = []
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name.startswith("version=") and files.exists(done):
+            found.append(int(name.removeprefix("version=")))
+    return sorted(found)
+
+
+def _drop_version(spark: SparkSession, target: str, version: int) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/version={version}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def latest_writer(target: str, order: list[str], key: str = "sample_id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that keeps the last write per key.
 
-    State is Parquet partitioned by a hash bucket of the key; a batch rewrites only the
-    buckets it touches. Each batch writes its own version folder and the reader takes
-    the highest version of a bucket, so a retried batch overwrites only itself.
+    State is Parquet partitioned by a hash bucket of the key. A batch rewrites the buckets
+    it touches into the next version after the newest committed one; the number comes from
+    the stored state, not from the batch, so a query that starts again with a new
+    checkpoint continues the state, and a retried batch changes nothing, because keeping
+    the last write is idempotent. Every ``FULL_EVERY``-th version holds all buckets, and
+    versions before the previous full one are deleted: at most twice that many exist.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = latest_annotations(batch, order, key).withColumn(
-            "bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        )
-        current = read_latest(batch.sparkSession, target, before=batch_id)
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        versions = _versions(spark, target)
+        version = versions[-1] + 1 if versions else 1
+        merged = latest_annotations(batch, order, key).withColumn("bucket", bucket)
+        current = read_latest(spark, target)
         if current is not None:
-            touched = fresh.select("bucket").distinct()
-            kept = current.join(F.broadcast(touched), "bucket", "left_semi")
-            merged = latest_annotations(fresh.unionByName(kept).drop("bucket"), order, key).withColumn(
-                "bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-            )
-        else:
-            merged = fresh
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={batch_id}")
+            if version % FULL_EVERY:
+                # At most `buckets` rows, a fixed parameter.
+                current = current.join(F.broadcast(merged.select("bucket").distinct()), "bucket", "left_semi")
+            merged = latest_annotations(merged.unionByName(current).drop("bucket"), order, key).withColumn("bucket", bucket)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={version}")
+        if version % FULL_EVERY == 0:
+            for old in versions:
+                if old < version - FULL_EVERY:
+                    _drop_version(spark, target, old)
 
     return write
 
 
-def read_latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """Current state: for every bucket the rows of its highest version."""
-    try:
-        rows = spark.read.option("basePath", target).parquet(target)
-    except AnalysisException:  # nothing has been written yet
+def read_latest(spark: SparkSession, target: str) -> DataFrame | None:
+    """Current state: for every bucket the rows of its highest committed version."""
+    versions = _versions(spark, target)
+    if not versions:  # nothing has been written yet
         return None
-    if before is not None:
-        rows = rows.where(F.col("version") < before)
+    rows = spark.read.option("basePath", target).parquet(*[f"{target}/version={v}" for v in versions])
     newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
     state = rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi")
     return state.drop("version")
 
 
 class CarryForward(StatefulProcessor):
-    """Boxes of the last detection per clip, refreshed every ``every`` frames or when empty."""
+    """Boxes of the last detection per clip, refreshed every ``every`` frames or when empty.
+
+    With ``idle_ms`` the state of a clip expires when none of its frames came for so long.
+    """
 
-    def __init__(self, every: int) -> None:
+    def __init__(self, every: int, idle_ms: int | None) -> None:
         self.every = every
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seen int, detected_at bigint, boxes int")
+        schema = "seen int, detected_at bigint, boxes int"
+        self.last = handle.getValueState("last", schema, **({"ttlDurationMs": self.idle_ms} if self.idle_ms else {}))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         state = self.last.get() if self.last.exists() else (0, None, 0)
         seen, detected_at, boxes = state
-        batch = pd.concat(list(rows)).sort_values("frame")
+        # Frames and counts of one clip and one micro-batch: two numbers a frame.
+        batch = pd.concat([r[["frame", "boxes"]] for r in rows]).sort_values("frame")
         out = []
         for frame, found in zip(batch["frame"], batch["boxes"]):
             if seen % self.every == 0 or not boxes:
@@ -114,12 +149,14 @@ class CarryForward(StatefulProcessor):
         pass
 
 
-def carry_forward(stream: DataFrame, every: int = 7, key_type: str = "int") -> DataFrame:
+def carry_forward(stream: DataFrame, every: int = 7, key_type: str = "int", idle_ms: int | None = None) -> DataFrame:
     """Frames (clip_id, frame, boxes found) -> the detection each frame uses.
 
-    ``detected_at`` -1 means the whole image. Needs the RocksDB state store.
+    ``detected_at`` -1 means the whole image. Needs the RocksDB state store. ``idle_ms``
+    bounds the state of a stream that runs on; a stream with an end (``availableNow``)
+    leaves it out, because processing-time expiry keeps such a query waiting for time.
     """
     ship_package(stream.sparkSession)
     return stream.groupBy(KEY).transformWithStateInPandas(
-        CarryForward(every), f"{KEY} {key_type}, frame bigint, detected_at bigint, boxes int", "Append", "None"
+        CarryForward(every, idle_ms), f"{KEY} {key_type}, frame bigint, detected_at bigint, boxes int", "Append", "ProcessingTime" if idle_ms else "None"
     )

@@ -112,3 +112,91 @@ def test_carry_forward_stream_equals_batch(spark, tmp_path):
         spark.conf.set(key, before)
     want = detections.carry_forward(df).collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+
+
+def test_upserts_survive_restarts_and_stay_few(spark, tmp_path, monkeypatch):
+    from motionlake.streaming import jobs as J
+
+    target = str(tmp_path / "state")
+    want = {}
+    monkeypatch.setattr(J, "FULL_EVERY", 3)
+    for run in range(2):  # every run starts again at batch 0, as with a new checkpoint
+        write = J.latest_writer(target, ["seq"], buckets=4)
+        for batch_id in range(4):
+            seq = 10 * run + batch_id
+            rows = [(k, seq, f"{run}.{batch_id}", "") for k in range(batch_id, batch_id + 5)]
+            batch = spark.createDataFrame(rows, "sample_id int, seq int, author string, feedback string")
+            write(batch, batch_id)
+            if batch_id == 2:  # a retry
+                write(batch, batch_id)
+            want |= {k: a for k, _, a, _ in rows}
+    assert {r.sample_id: r.author for r in J.read_latest(spark, target).collect()} == want
+    assert len(J._versions(spark, target)) <= 2 * J.FULL_EVERY
+
+
+def test_endless_values_have_ranks(spark):
+    from motionlake.functions import ordered
+
+    values = [1.0, 2.0, 3.0, float("nan"), float("inf"), float("-inf"), 0.0, -0.5]
+    table = spark.createDataFrame([(0, v) for v in values], "g int, v double")
+    got = {r.q: r.quantile for r in ordered.percentile_table(table, ["g"], "v", [i / 7 for i in range(8)]).collect()}
+    want = [float("-inf"), -0.5, 0.0, 1.0, 2.0, 3.0, float("inf"), float("nan")]
+    assert [repr(got[i / 7]) for i in range(8)] == [repr(w) for w in want]
+
+
+def test_natural_order_of_long_numbers(spark):
+    from motionlake.functions.columns import natural_key
+    from pyspark.sql import functions as F
+
+    names = ["a" + "9" * n for n in (1, 19, 20, 21, 40)] + ["a1" + "0" * 40, "a007", "A10", "a", "a10b", "b", ""]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_key(F.col("n")), "n").collect()
+    want = ["", "a", "a007", "a9", "A10", "a10b", *("a" + "9" * n for n in (19, 20, 21, 40)), "a1" + "0" * 40, "b"]
+    assert [r.n for r in rows] == want
+
+
+def test_warping_in_bands_equals_one_table():
+    import numpy as np
+
+    from motionlake.functions import kernels
+
+    rng = np.random.default_rng(3)
+    for m, n in ((1, 1), (7, 5), (60, 45), (33, 80)):
+        a, b = rng.integers(0, 4, (m, 2)).astype(float), rng.integers(0, 4, (n, 2)).astype(float)
+        path, cost = kernels.warping_path(a, b)
+        for cells in (1, 50, 400):
+            other, same = kernels.warping_path(a, b, cells)
+            assert same == cost and (other == path).all()
+
+
+def test_halo_longer_than_a_block(spark):
+    from motionlake.functions import timeblocks
+
+    track = spark.createDataFrame([(0, f) for f in range(100)], "track_id int, frame int")
+    seen = {}
+    for r in timeblocks.with_halo(track, before=25, after=25, size=10).collect():
+        seen.setdefault(r._block, set()).add(r.frame)
+    for f in range(100):
+        assert set(range(max(0, f - 25), min(100, f + 26))) <= seen[f // 10]
+
+
+def test_every_student_is_matched_or_named(spark):
+    from motionlake.operators import matching as M
+
+    def clip(i, n, hand):
+        return [(i, f, "clear", hand, [float(i)] * 51, [1.0] * 17) for f in range(n)]
+
+    schema = "clip_id int, frame int, skill string, handedness string, p array<double>, c array<double>"
+    bank = spark.createDataFrame([r for i in range(40) for r in clip(100 + i, 64, "right")], schema)
+    rows = clip(1, 64, "right") + clip(2, 60, "right") + clip(3, 80, "right") + clip(4, 64, "left")
+    students = spark.createDataFrame(rows, schema)
+    found = {r.clip_id: r.expert_id for r in M.match_expert_euclidean(students, bank).collect()}
+    errors = {r.clip_id: r.error for r in M.match_errors(students, bank).collect()}
+    assert found == {1: 100} and set(errors) == {2, 3, 4} and "60" in errors[2] and "80" in errors[3]
+    for block, chunk, limit in ((1, 3, 0), (2, 16, 0), (16, 7, 1 << 30)):
+        old = M.BLOCK, M.CHUNK, M.BROADCAST_BYTES
+        M.BLOCK, M.CHUNK, M.BROADCAST_BYTES = block, chunk, limit
+        try:
+            again = {r.clip_id: (r.expert_id, r.experts) for r in M.match_expert_euclidean(students, bank).collect()}
+        finally:
+            M.BLOCK, M.CHUNK, M.BROADCAST_BYTES = old
+        assert again == {1: (100, 40)}
