@@ -19,20 +19,23 @@ from pyspark.sql import functions as F
 
 from motionlake.llm.common import document_key, parts
 
-CELL_BYTES = 4 << 20
+CELL_BYTES = 2 << 20
+#: Text behind one bucket of questions; with cells it sets how many messages there are.
+BUCKET_BYTES = 32 << 20
 #: Positions hashed at a time, which bounds the arrays for very long texts.
 SLAB = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 
 
 def deal(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``cell, doc_id, key, version, text`` and the number of cells.
+    """``cell, doc_id, key, version, text`` and the number of buckets for questions.
 
-    The number of cells follows the size of the texts, and is at least twice the shuffle
+    Both numbers follow the size of the texts, and are at least twice the shuffle
     partitions, so that small inputs use all tasks too.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    cells = max(2 * parts(docs.sparkSession), -(-size // CELL_BYTES))
+    least = 2 * parts(docs.sparkSession)
+    cells, buckets = (max(least, -(-size // n)) for n in (CELL_BYTES, BUCKET_BYTES))
     doc_id = F.col("doc_id").cast("bigint")
     plain = docs.select(
         doc_id.alias("doc_id"),
@@ -41,7 +44,7 @@ def deal(docs: DataFrame) -> tuple[DataFrame, int]:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     cell = F.pmod(F.xxhash64("key", "version"), F.lit(cells)).alias("cell")
-    return plain.select(cell, "doc_id", "key", "version", "text"), cells
+    return plain.select(cell, "doc_id", "key", "version", "text"), buckets
 
 
 class Cell:

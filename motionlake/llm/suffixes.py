@@ -189,26 +189,62 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, i
         winner = player
 
 
+#: Merged entries decided at a time; a chunk ends where a group of one gram ends.
+CHUNK = 1 << 16
+
+
 def _decide(keys: tuple, table: pa.Table, size: int) -> pa.Table:
-    """Merge the runs of a bucket and answer, per cell, which strings stand earlier."""
-    back = size - SEED_BYTES
-    width = size + back
+    """Merge the runs of a bucket and answer, per cell, which strings stand earlier.
+
+    The merge is a stream: beside the front-coded runs only one chunk is held.
+    """
+    width = 2 * size - SEED_BYTES
     cells = table.column("cell").to_pylist()
     runs, run_keys = [], []
     for body in table.column("body").to_pylist():
         shared, rest, key = C.unpack(body, np.uint8, np.uint8, np.int64)
         runs.append(read_run(shared.tolist(), rest.tobytes(), width))
         run_keys.append(key)
-    who, prefix, entries = [], [], []
+    read = np.zeros(len(runs), dtype=np.int64)
+    answers: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in runs]
+
+    def flush():
+        order = np.argsort(who := np.array(chunk_who), kind="stable")
+        count = np.bincount(who, minlength=len(runs))
+        # A run's entries leave the tree in their own order, so its keys follow.
+        key = np.empty(len(who), dtype=np.int64)
+        key[order] = np.concatenate([run_keys[r][read[r] : read[r] + n] for r, n in enumerate(count.tolist())])
+        read[:] += count
+        late, hashed, mask = _chunk(np.array(chunk_prefix), key, chunk_entries, size)
+        by_run = np.argsort(who[late], kind="stable")
+        for r, s, e in C.runs_of(who[late][by_run]):
+            answers[r].append((hashed[by_run[s:e]], mask[by_run[s:e]]))
+
+    chunk_who: list[int] = []
+    chunk_prefix: list[int] = []
+    chunk_entries: list[bytes] = []
     for run, shared, entry in merge_runs(runs):
-        who.append(run)
-        prefix.append(shared)
-        entries.append(entry)
-    who, prefix = np.array(who), np.array(prefix)
-    # A run's entries leave the tree in their own order, so its keys follow.
-    key = np.empty(len(who), dtype=np.int64)
-    for run, own in enumerate(run_keys):
-        key[who == run] = own
+        if shared < SEED_BYTES and len(chunk_who) >= CHUNK:
+            flush()
+            chunk_who, chunk_prefix, chunk_entries = [], [], []
+        chunk_who.append(run)
+        chunk_prefix.append(shared)
+        chunk_entries.append(entry)
+    flush()
+    out = [(c, C.pack(*(np.concatenate(x) for x in zip(*a)))) for c, a in zip(cells, answers) if a]
+    return pa.table(
+        {
+            "cell": pa.array([c for c, _ in out], pa.int64()),
+            "bucket": pa.array([keys[0].as_py()] * len(out), pa.int64()),
+            "body": pa.array([b for _, b in out], pa.binary()),
+        }
+    )
+
+
+def _chunk(prefix: np.ndarray, key: np.ndarray, entries: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of merged neighbours: which have earlier strings, their context hashes and masks."""
+    back = size - SEED_BYTES
+    width = size + back
     rows = np.frombuffer(b"".join(entries), dtype=np.uint8).reshape(-1, width)
     prefix[:1] = 0
     new_context = prefix < width
@@ -245,16 +281,7 @@ def _decide(keys: tuple, table: pa.Table, size: int) -> pa.Table:
         hit = fits[context] & (key > first[context])
         mask[hit] |= np.uint32(1 << j)
     late = np.flatnonzero(mask)
-    late = late[np.argsort(who[late], kind="stable")]
-    hashed = _hashes(rows[late])
-    out = [(cells[w], C.pack(hashed[s:e], mask[late[s:e]])) for w, s, e in C.runs_of(who[late])]
-    return pa.table(
-        {
-            "cell": pa.array([c for c, _ in out], pa.int64()),
-            "bucket": pa.array([keys[0].as_py()] * len(out), pa.int64()),
-            "body": pa.array([b for _, b in out], pa.binary()),
-        }
-    )
+    return late, _hashes(rows[late]), mask[late]
 
 
 def _marked_starts(texts: C.Cell, answers: pa.Table, size: int) -> np.ndarray:
