@@ -128,24 +128,25 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def valid_starts(bounds: np.ndarray, size: int) -> np.ndarray:
     """Which places of the concatenation start a run of ``size`` inside one document."""
-    total = int(bounds[-1]) - size + 1
-    mask = np.zeros(max(total, 0), dtype=np.int32)
-    if total <= 0:
-        return mask.astype(bool)
-    lengths = np.diff(bounds)
-    long_enough = lengths >= size
-    step = np.zeros(total + 1, dtype=np.int32)
-    np.add.at(step, bounds[:-1][long_enough], 1)
-    np.add.at(step, (bounds[1:] - size + 1)[long_enough], -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def covered(starts: np.ndarray, size: int, total: int) -> np.ndarray:
-    """Places inside a run of ``size`` that begins at one of the marked starts."""
-    step = np.zeros(total + 1, dtype=np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + size, total), -1)
-    return np.cumsum(step[:-1]) > 0
+    mask = np.zeros(max(int(bounds[-1]) - size + 1, 0), dtype=bool)
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if end - start >= size:
+            mask[start : end - size + 1] = True
+    return mask
+
+
+def distinct_places(places: np.ndarray) -> np.ndarray:
+    """The places of successive windows, once each; they never go back."""
+    keep = np.ones(len(places), dtype=bool)
+    keep[1:] = places[1:] != places[:-1]
+    return places[keep]
+
+
+def covered(marked: np.ndarray, size: int) -> np.ndarray:
+    """Places inside a run of ``size`` that begins at a marked place."""
+    begun = np.cumsum(marked, dtype=np.int32)
+    begun[size:] -= begun[:-size].copy()
+    return begun > 0
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:

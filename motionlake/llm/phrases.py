@@ -150,7 +150,9 @@ def _cut(table: pa.Table, answers: pa.Table, size: int) -> pa.Table:
         hit = key > key[first][back]
         if len(late):
             hit |= np.isin(digest, late)
-        gone = C.covered(starts[hit], size, total)
+        marked = np.zeros(total, dtype=bool)
+        marked[starts[hit]] = True
+        gone = C.covered(marked, size)
     raw = texts.data.tobytes()
     rows = []
     removed = np.concatenate([[0], np.cumsum(gone)])

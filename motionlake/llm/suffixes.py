@@ -47,11 +47,11 @@ ROWS = 1 << 15
 
 def _seeds(texts: C.Cell, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct places of selected grams, their hashes and their documents."""
-    starts = np.flatnonzero(C.valid_starts(texts.bounds, size))
-    if not len(starts):
+    valid = C.valid_starts(texts.bounds, size)
+    if not valid.any():
         return (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
     grams = C.gram_hashes(texts.data, SEED_BYTES)
-    place = np.unique(C.winnow(grams, size - SEED_BYTES + 1)[starts])
+    place = C.distinct_places(C.winnow(grams, size - SEED_BYTES + 1)[valid])
     return place, grams[place], np.searchsorted(texts.bounds, place, side="right") - 1
 
 
@@ -285,11 +285,12 @@ def _chunk(prefix: np.ndarray, key: np.ndarray, entries: list[bytes], size: int)
 
 
 def _marked_starts(texts: C.Cell, answers: pa.Table, size: int) -> np.ndarray:
-    """Starts of the strings of the cell that also start in a smaller document."""
+    """Marks where a string of the cell starts that also starts in a smaller document."""
+    marked = np.zeros(len(texts.data), dtype=bool)
     place, _, document = _seeds(texts, size)
     if not len(place):
-        return place
-    hashed, ahead, before = (np.empty(len(place), dtype=t) for t in (np.uint64, np.int64, np.int64))
+        return marked
+    hashed = np.empty(len(place), dtype=np.uint64)
     for s in range(0, len(place), ROWS):
         hashed[s : s + ROWS] = _hashes(_contexts(texts, place[s : s + ROWS], document[s : s + ROWS], size))
     ahead = texts.bounds[document + 1] - place
@@ -306,11 +307,13 @@ def _marked_starts(texts: C.Cell, answers: pa.Table, size: int) -> np.ndarray:
     if len(late):
         at = np.minimum(np.searchsorted(late, hashed), len(late) - 1)
         mask = np.where(late[at] == hashed, bits[at], 0).astype(np.uint32)
-    starts = []
+    some = np.flatnonzero(everywhere | (mask != 0))
+    place, mask, everywhere, before, ahead = (x[some] for x in (place, mask, everywhere, before, ahead))
+    mask[everywhere] = np.uint32(0xFFFFFFFF)
     for j in range(size - SEED_BYTES + 1):
-        hit = (everywhere | (mask >> np.uint32(j) & np.uint32(1)).astype(bool)) & (before >= j) & (ahead >= size - j)
-        starts.append(place[hit] - j)
-    return np.unique(np.concatenate(starts))
+        hit = (mask >> np.uint32(j) & np.uint32(1)).astype(bool) & (before >= j) & (ahead >= size - j)
+        marked[place[hit] - j] = True
+    return marked
 
 
 def _cut(table: pa.Table, answers: pa.Table, size: int) -> pa.Table:
@@ -320,7 +323,7 @@ def _cut(table: pa.Table, answers: pa.Table, size: int) -> pa.Table:
     if not table.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
     texts = C.Cell(table)
-    gone = C.covered(_marked_starts(texts, answers, size), size, len(texts.data))
+    gone = C.covered(_marked_starts(texts, answers, size), size)
     rows = []
     for s, e in zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist()):
         lost, data = gone[s:e], texts.data[s:e]
