@@ -23,7 +23,7 @@ CELL_BYTES = 2 << 20
 #: Text behind one bucket of questions; with cells it sets how many messages there are.
 BUCKET_BYTES = 32 << 20
 #: Positions hashed at a time, which bounds the arrays for very long texts.
-SLAB = 1 << 19
+SLAB = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 
 

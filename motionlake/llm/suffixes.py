@@ -42,7 +42,7 @@ SIZE = 50
 SEED_BYTES = 24
 #: Stands for bytes outside the document; not a byte of UTF-8, as NUL's stand-in.
 OUTSIDE, NUL = 0xFF, 0xF8
-ROWS = 1 << 15
+ROWS = 1 << 12
 
 
 def _seeds(texts: C.Cell, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +190,7 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, i
 
 
 #: Merged entries decided at a time; a chunk ends where a group of one gram ends.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 
 
 def _decide(keys: tuple, table: pa.Table, size: int) -> pa.Table:
@@ -204,7 +204,7 @@ def _decide(keys: tuple, table: pa.Table, size: int) -> pa.Table:
     for body in table.column("body").to_pylist():
         shared, rest, key = C.unpack(body, np.uint8, np.uint8, np.int64)
         runs.append(read_run(shared.tolist(), rest.tobytes(), width))
-        run_keys.append(key)
+        run_keys.append(key.copy())  # lets go of the unpacked body
     read = np.zeros(len(runs), dtype=np.int64)
     answers: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in runs]
 
