@@ -9,10 +9,12 @@ the texts below it. What looks the same on page after page has an importance nea
 Pass 2 reads the pages again and drops branches of low importance, together with elements
 whose tag, role or class says that they are not content (menus, adverts, forms, reader
 comments and so on, a fixed vocabulary below). When a page marks its article or main
-element, text outside it is dropped too. Branches seen on fewer than ``MIN_PAGES`` pages of
-a host, and branches with more than half of the host's text, are never dropped by entropy.
+element, text outside it is dropped too. Text inside it, branches seen on fewer than
+``MIN_PAGES`` pages of a host, and branches with more than half of the host's text, are never
+dropped by entropy. Pages of a host whose text is the same by the vocabulary alone count as
+one page, so copies of an article do not pass for template.
 
-Counts are rows of (host, path, digest) with partial aggregation, so a host with a third of
+Counts are rows of (host, body, path), then of (host, path, digest), with partial aggregation, so a host with a third of
 all pages is spread over all tasks; only the paths to drop come back per host. They are
 broadcast when a measured bound allows, else joined under salts.
 
@@ -174,31 +176,36 @@ def _digest(text: str) -> int:
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, html) to counts (host, path, kind, digest, pages, characters)."""
+    """Rows (host, html) to (host, body, path, kind, digest, characters), one per body, path and kind."""
     for batch in batches:
-        counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+        rows: dict[tuple, tuple[int, int]] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             texts: dict[int, list[str]] = defaultdict(list)
             layouts: dict[int, list[int]] = defaultdict(list)
+            inside: list[str] = []
+            outside: list[str] = []
 
             def on_text(text, stack):
                 if text and not text.isspace():
                     for path in {e.path for e in stack}:
                         texts[path].append(text)
+                    if not stack[-1].noise:
+                        (inside if stack[-1].main else outside).append(text)
 
             walk(page, on_text, lambda path, label: layouts[path].append(label))
+            body = _digest(" ".join(" ".join(inside or outside).split()))
             for path, parts in texts.items():
                 text = " ".join("".join(parts).split())
-                row = counts[host, path, 0, _digest(text)]
-                row[0] += 1
-                row[1] += len(text)
                 # A layout is the set of child styles: repeated paragraphs are one style.
-                row = counts[host, path, 1, _digest(str(sorted(set(layouts.get(path, ())))))]
-                row[0] += 1
-        keys = list(zip(*counts)) or [()] * 4
-        n, chars = zip(*counts.values()) if counts else ((), ())
-        arrays = [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(n, pa.int64()), pa.array(chars, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "kind", "digest", "n", "chars"])
+                layout = _digest(str(sorted(set(layouts.get(path, ())))))
+                for kind, found in enumerate(((_digest(text), len(text)), (layout, 0))):
+                    key = host, body, path, kind
+                    rows[key] = min(found, rows.get(key, found))
+        keys = list(zip(*rows)) or [()] * 4
+        digests, chars = zip(*rows.values()) if rows else ((), ())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        arrays = [pa.array(x, kind) for x, kind in zip((*keys, digests, chars), kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["host", "body", "path", "kind", "digest", "chars"])
 
 
 def host_of(url: Column) -> Column:
@@ -209,9 +216,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """``host, path, pages, chars, importance`` of every node of every host's tree."""
     ship_package(pages.sparkSession)
     read = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' AND html <> ''")
-    schema = "host string, path bigint, kind int, digest bigint, n bigint, chars bigint"
+    schema = "host string, body bigint, path bigint, kind int, digest bigint, chars bigint"
     seen = read.mapInArrow(_style_rows, schema)
-    styles = seen.groupBy("host", "path", "kind", "digest").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    once = seen.groupBy("host", "body", "path", "kind").agg(F.min(F.struct("digest", "chars")).alias("d")).select("host", "path", "kind", "d.*")
+    styles = once.groupBy("host", "path", "kind", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     nodes = styles.groupBy("host", "path", "kind").agg(
         F.sum("n").alias("pages"), F.sum("chars").alias("chars"), F.sum(F.col("n") * F.log("n")).alias("s")
     )
@@ -257,7 +265,7 @@ def main_text(page: str | None, drop: set[int] | frozenset = frozenset()) -> str
             flush()
             return
         top = stack[-1]
-        if top.noise or drop and any(e.path in drop for e in stack):
+        if top.noise or drop and not top.main and any(e.path in drop for e in stack):
             return
         if top.main != state[0]:
             if part and not "".join(part).isspace():
