@@ -12,14 +12,17 @@ Scoring: features are the restored word and its prefixes of 4 to 6 letters, hash
 sample of at most ``SAMPLE`` labelled training rows, in which near copies (equal minimum
 hash of word pairs) count once. The score of a text is the noisy-or of its few strongest
 distinct features, so a single insult in a long text is enough and common words add
-nothing. The character model is counted over all documents.
+nothing. If more than ``MIN_RATE / 2`` of the labels are toxic, counts are weighed down to that
+share: a toxic row counts as much as its evidence against chance, log(1 / share), and clean
+rows keep the odds of a chance word at that of the share. Scores refer to the lower share. The character model is counted over all documents.
 
 Only labels of rows whose ``crc32(doc_id) mod 3`` is not 1 are read; doc_id, source, lang and
 labels never enter a score.
 
 Edge cases: null and empty texts get the score of a text without features; a row without
 an id counts as training side; repeated rows are scored alike; without labels every score
-is the base rate; an empty table gives an empty result.
+is the base rate; if all labels are toxic, nothing tells a word from
+chance and none is learned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -247,6 +250,15 @@ def _minhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "text", "least", "most"])
 
 
+def class_weights(rate: float) -> tuple[float, float, float]:
+    """Weights of a toxic and of a clean row, and the share of toxic rows they lead to."""
+    share = min(rate, MIN_RATE / 2)
+    if share == rate or rate >= 1:
+        return 1.0, 1.0, share
+    toxic = float(np.log(rate) / np.log(share))
+    return toxic, toxic * rate / (1 - rate) * (1 - share) / share, share
+
+
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE):
     """(places, rates) of words and of prefixes, and the base rate, from the training rows."""
     side = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -265,20 +277,25 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAM
     single = settle(single.select("toxic", "text"))
     base = single.agg(F.avg("toxic"), F.count(F.lit(1))).first()
     rate = (base[0] or 0.0) if base[1] else 0.0
+    if rate >= 1:
+        none = np.zeros(0, dtype=np.int64), np.zeros(0)
+        return none, none, MIN_RATE / 2
+    toxic, clean, share = class_weights(float(rate))
 
     def strong(without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         count = partial(_sample_features, model=model, strong=without)
         counts = single.mapInArrow(count, "place bigint, bad bigint, n bigint")
         total = counts.groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        shrunk = (F.col("bad") + rate * SHRINK) / (F.col("n") + SHRINK)
-        clear = total.withColumn("rate", shrunk).where((F.col("bad") >= MIN_TOXIC) & (F.col("rate") >= max(MIN_RATE, 2 * rate)))
+        bad = F.col("bad") * toxic
+        shrunk = (bad + share * SHRINK) / (bad + (F.col("n") - F.col("bad")) * clean + SHRINK)
+        clear = total.withColumn("rate", shrunk).where((F.col("bad") >= MIN_TOXIC) & (F.col("rate") >= MIN_RATE))
         # At most 2**FEATURE_BITS rows by construction.
         found = clear.select("place", "rate").orderBy("place").toArrow()
         return found.column("place").to_numpy(), found.column("rate").to_numpy()
 
     words = strong(None)
     prefixes = strong(words[0])
-    return words, prefixes, float(rate)
+    return words, prefixes, share
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray, words, prefixes, base: float) -> Iterator[pa.RecordBatch]:
