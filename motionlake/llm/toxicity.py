@@ -9,8 +9,8 @@ token is decoded once per task.
 
 Scoring: features are the restored word and its prefixes of 4 to 6 letters, hashed to
 ``2**FEATURE_BITS`` places, which bounds the model. Each has a shrunk toxic rate from a
-sample of at most ``SAMPLE`` labelled training rows, in which near copies (equal minimum
-hash of word pairs) count once. The score of a text is the noisy-or of its few strongest
+sample of at most ``SAMPLE`` labelled training rows, in which near copies with
+the same label (equal ``ALIKE`` minimum hashes of word pairs, twice) count once. The score of a text is the noisy-or of its few strongest
 distinct features, so a single insult in a long text is enough and common words add
 nothing. If more than ``MIN_RATE / 2`` of the labels are toxic, counts are weighed down to that
 share: a toxic row counts as much as its evidence against chance, log(1 / share), and clean
@@ -48,6 +48,8 @@ MIN_RATE = 0.35
 STRONGEST = 3
 CUT = 0.7
 REMEMBERED = 400_000
+#: Minimum hashes of a signature: texts of similarity 0.5 agree once in 256, of 0.95 twice in three.
+ALIKE = 8
 
 LETTERS = 26
 OTHER, EDGE, SYMBOLS = 26, 27, 28
@@ -238,16 +240,40 @@ def _sample_features(
 
 
 def _minhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest and largest hash of the word pairs, in which near copies mostly agree."""
+    """Adds two signatures of minimum hashes of the word pairs, in which near copies mostly agree."""
+    rng = np.random.default_rng(2)
+    flips, factors = (rng.integers(0, 2**64, 2 * ALIKE, dtype=np.uint64) | np.uint64(1) for _ in range(2))
     for batch in batches:
-        least, most = [], []
+        signatures = []
         for text in batch.column(1).to_pylist():
             w = text.lower().split()
             pairs = [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:])] or [zlib.crc32(text.encode())]
-            least.append(min(pairs))
-            most.append(max(pairs))
-        arrays = [*batch.columns, pa.array(least, pa.int64()), pa.array(most, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "text", "least", "most"])
+            hashes = np.unique(np.array(pairs, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            least = np.full(2 * ALIKE, 2**64 - 1, dtype=np.uint64)
+            for start in range(0, len(hashes), 4096):
+                np.minimum(least, ((hashes[start : start + 4096, None] ^ flips) * factors).min(axis=0), out=least)
+            signatures.append((least[:ALIKE].tobytes(), least[ALIKE:].tobytes()))
+        first, second = zip(*signatures) if signatures else ((), ())
+        arrays = [*batch.columns, pa.array(first, pa.binary()), pa.array(second, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "text", "first", "second"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``toxic, text`` of the sample; near copies with the same label are one row."""
+    side = F.crc32(F.col("doc_id").cast("string")) % 3
+    train = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(side != 1)
+    train = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = (
+        docs.where("text IS NOT NULL")
+        .select("doc_id", "text")
+        .join(F.broadcast(chosen), "doc_id")  # at most `sample` ids and flags
+        .select("toxic", "text")
+    )
+    single = rows.mapInArrow(_minhash, "toxic int, text string, first binary, second binary")
+    for key in ("first", "second"):
+        single = single.groupBy("toxic", key).agg(F.max(F.struct("text", "first", "second")).alias("r")).select("toxic", "r.*")
+    return single.select("toxic", "text")
 
 
 def class_weights(rate: float) -> tuple[float, float, float]:
@@ -261,20 +287,7 @@ def class_weights(rate: float) -> tuple[float, float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE):
     """(places, rates) of words and of prefixes, and the base rate, from the training rows."""
-    side = F.crc32(F.col("doc_id").cast("string")) % 3
-    train = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(side != 1)
-    train = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = (
-        docs.where("text IS NOT NULL")
-        .select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # at most `sample` ids and flags
-        .select("toxic", "text")
-    )
-    single = rows.mapInArrow(_minhash, "toxic int, text string, least bigint, most bigint")
-    for key in ("least", "most"):
-        single = single.groupBy(key).agg(F.max(F.struct("toxic", "text", "least", "most")).alias("r")).select("r.*")
-    single = settle(single.select("toxic", "text"))
+    single = settle(training_rows(docs, labels, sample))
     base = single.agg(F.avg("toxic"), F.count(F.lit(1))).first()
     rate = (base[0] or 0.0) if base[1] else 0.0
     if rate >= 1:

@@ -24,3 +24,17 @@ def test_weights_change_nothing_at_a_low_share():
     assert toxicity.class_weights(0.12) == (1.0, 1.0, 0.12)
     toxic, clean, share = toxicity.class_weights(0.5)
     assert abs(toxic / (toxic + clean) - share) < 1e-9  # a chance word keeps the lower share
+
+
+def test_only_near_copies_of_one_label_are_one_row(spark):
+    """Every text starts and ends with the same frequent pairs, which hold the least hashes of some."""
+    rng = np.random.default_rng(9)
+    frequent = " ".join(f"the{k} of{k}" for k in range(30))
+    rows = [(i, frequent + " " + " ".join(f"w{w}" for w in rng.integers(0, 10**6, 30)), i % 2) for i in range(200)]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(50)]  # copies
+    rows += [(2000 + i, rows[i][1], 1 - rows[i][2]) for i in range(50)]  # copies with another label
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    train = table.where("crc32(cast(doc_id AS string)) % 3 <> 1")
+    got = toxicity.training_rows(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert got.count() >= 0.97 * train.select("text", "toxic").distinct().count()
+    assert got.count() <= train.select("text", "toxic").distinct().count() < train.count()
