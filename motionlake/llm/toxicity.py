@@ -68,8 +68,9 @@ DROP_AGAIN_COST = 0.5
 TRIM = ".,;:!?\"'()[]{}<>*#%&$|=+-_~/\\`^"
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
 EDGE_SIGN = re.compile(r"(?:(?<![$@!|+(])[$@!|+(](?=\w))?\w.*\w(?:[$@]{1,2}(?![$@]))?")
-#: A longer token is a link or a code, not a word.
-LONGEST = 32
+#: Links and hex codes are not words; a letter four times in a row is no code.
+LINK = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)\S")
+CODE = re.compile(r"(?!.*(.)\1{3})(?=(?:\D*\d){4})(?:0x)?[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 PLAIN = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"(.)\1\1")
 
@@ -136,33 +137,63 @@ def _code(letter: str) -> int:
     return ord(letter) - 97 if "a" <= letter <= "z" else OTHER
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind one token: Viterbi over states (last two letters)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+def _masked(states: dict, model: np.ndarray, nxt: dict) -> None:
+    """Any letter after many states: the best last letter but one, for all pairs at once."""
+    table = np.full((SYMBOLS, SYMBOLS), -np.inf)
+    for (x, y), (score, _) in states.items():
+        table[x, y] = score
+    values = table[:, :, None] + model[:, :, :LETTERS] - MASK_COST
+    at = values.argmax(axis=0)
+    best = np.take_along_axis(values, at[None], axis=0)[0]
+    for y, c in zip(*(i.tolist() for i in np.nonzero(best > -np.inf))):
+        value, old = float(best[y, c]), nxt.get((y, c))
+        if old is None or value > old[0]:
+            nxt[y, c] = (value, (states[int(at[y, c]), y][1], chr(97 + c)))
+
+
+def restore(token: str, model: np.ndarray, gaps: bool = False) -> str:
+    """The likeliest letters behind one token: Viterbi over states (last two letters).
+
+    With ``gaps`` a space may stand before any character, so the result may be several words.
+    """
+    # Letters are kept as (all before, letter), so a step costs the same in a long token.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
     for options, drop in _lattice(token):
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        if gaps:
+            for (x, y), (score, word) in list(states.items()):
+                value = score + float(model[x, y, EDGE])
+                if y != EDGE and ((y, EDGE) not in states or value > states[y, EDGE][0]):
+                    states[y, EDGE] = (value, (word, " "))
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        many = len(options) == LETTERS and len(states) > 40
         for (x, y), (score, word) in states.items():
             if drop is not None:
                 old = nxt.get((x, y))
                 if old is None or score - drop > old[0]:
                     nxt[x, y] = (score - drop, word)
             row = model[x, y]
-            for letter, cost in options:
+            for letter, cost in () if many else options:
                 c = _code(letter)
                 value = score + float(row[c]) - cost
                 old = nxt.get((y, c))
                 if old is None or value > old[0]:
-                    nxt[y, c] = (value, word + letter)
+                    nxt[y, c] = (value, (word, letter))
+        if many:
+            _masked(states, model, nxt)
         states = nxt
-    best = max(states.items(), key=lambda s: s[1][0] + float(model[s[0][0], s[0][1], EDGE]))
-    return best[1][1]
+    word = max(states.items(), key=lambda s: s[1][0] + float(model[s[0][0], s[0][1], EDGE]))[1][1]
+    letters = []
+    while word is not None:
+        word, letter = word
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def _suspicious(token: str) -> bool:
     """Letters mixed with signs, or a letter three times in a row."""
     if PLAIN.fullmatch(token):
         return bool(TRIPLE.search(token))
-    return sum(c.isalpha() for c in token) >= 1 and len(token) > 1
+    return any(c.isalpha() for c in token) and len(token) > 1
 
 
 def readings(token: str, model: np.ndarray) -> list[str]:
@@ -175,7 +206,7 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     # of its own, such as an exclamation mark at the end or a run of signs.
     edged = EDGE_SIGN.search(token)
     for form in dict.fromkeys([bare, edged.group() if edged else bare]):
-        if len(form) <= LONGEST and _suspicious(form):
+        if _suspicious(form) and not LINK.match(form) and not CODE.fullmatch(form):
             word = restore(form, model)
             if len(word) >= 3 and word not in forms:
                 forms.append(word)
@@ -191,15 +222,24 @@ def prefix_places(word: str) -> list[int]:
     return [zlib.crc32(b"p" + word[:k].encode()) & mask for k in PREFIXES if len(word) > k]
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case tokens; a run of single characters also gives the words it may hold."""
+def tokens(text: str, model: np.ndarray | None = None) -> list[str]:
+    """Lower-case tokens; a run of single characters also gives the words it may hold.
+
+    Those are its pieces of 4 to 12 characters and, with ``model``, the words of the likeliest
+    letters and gaps and the pieces of the likeliest letters, in which no letter is stretched.
+    """
     low = text.lower()
     found = low.split()
     for run in SPACED.findall(low):
         joined = "".join(run.split())
-        n = len(joined)
         found.append(joined)
-        found += [joined[i:j] for i in range(n) for j in range(i + 4, min(i + 13, n + 1)) if j - i < n]
+        pieces = [joined]
+        if model is not None:
+            found += restore(joined, model, gaps=True).split()
+            pieces.append(restore(joined, model))
+        for piece in dict.fromkeys(pieces):
+            n = len(piece)
+            found += [piece[i:j] for i in range(n) for j in range(i + 4, min(i + 13, n + 1)) if j - i < n or piece != joined]
     return found
 
 
@@ -218,7 +258,7 @@ def _sample_features(
     for batch in batches:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             places: set[int] = set()
-            for token in set(tokens(text)):
+            for token in set(tokens(text, model)):
                 found = cache.get(token)
                 if found is None:
                     words = readings(token, model)
@@ -328,7 +368,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray, words, prefixe
         out = []
         for text in batch.column(2).to_pylist():
             hits: dict[str, float] = {}
-            for token in set(tokens(text)) if text else ():
+            for token in set(tokens(text, model)) if text else ():
                 found = cache.get(token)
                 if found is None:
                     found = cache[token] = strongest(token)

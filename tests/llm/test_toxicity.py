@@ -38,3 +38,15 @@ def test_only_near_copies_of_one_label_are_one_row(spark):
     got = toxicity.training_rows(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
     assert got.count() >= 0.97 * train.select("text", "toxic").distinct().count()
     assert got.count() <= train.select("text", "toxic").distinct().count() < train.count()
+
+
+def test_disguises_of_any_length(spark):
+    text = "the stupid idiot is a moron and a clown and they are worthless trash " * 3
+    model = toxicity.character_model(spark.createDataFrame([(text,)], "text string"))
+    assert "stupid" in toxicity.readings("st" + "u" * 60 + "pid", model)
+    assert "idiot" in toxicity.readings("i" + "." * 40 + "d.i.o.t", model)
+    stretched = " ".join("they are i" + "d" * 40 + "i0t").replace("   ", " ")
+    assert "idiot" in [w for t in toxicity.tokens(stretched, model) for w in toxicity.readings(t, model)]
+    assert len(toxicity.restore("a" + "*" * 3000 + "b", model)) >= 2
+    assert toxicity.readings("https://example.org/a1b2/" + "c3d4" * 10, model) == ["https://example.org/a1b2/" + "c3d4" * 10]
+    assert toxicity.readings("0123456789abcdef" * 4, model) == ["0123456789abcdef" * 4]
