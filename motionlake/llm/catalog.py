@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.catalog.registry import Entry
-from motionlake.llm import caps, lines, mixing, pages, phrases, pieces, quality, simhash, suffixes, toxicity
+from motionlake.llm import blockmax, caps, lines, mixing, negatives, pages, phrases, pieces, quality, simhash, suffixes, toxicity, whitening
 from motionlake.llm.common import read
 
 
@@ -49,6 +49,18 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def entries() -> dict[str, Entry]:
     return {
         "op1_quality_rules": Entry(op1_quality_rules, quality.oracle()),
@@ -61,4 +73,7 @@ def entries() -> dict[str, Entry]:
         "op8_source_mixing": Entry(op8_source_mixing, mixing.oracle()),
         "op9_piece_codec": Entry(op9_piece_codec, None),
         "op10_embedding_caps": Entry(op10_embedding_caps, None),
+        "op11_exact_topk": Entry(op11_exact_topk, blockmax.oracle()),
+        "op12_hard_negatives": Entry(op12_hard_negatives, negatives.oracle()),
+        "op13_whitening": Entry(op13_whitening, None),
     }
