@@ -112,3 +112,18 @@ def cosine_links(vectors, threshold=0.98):
                 n[j] += 1
                 sets.join(i, j)
     return [(i, n[i], sets.find(i), sets.find(i) == i) for i in n]
+
+
+def similar_groups(docs):
+    """Smallest id of every group of texts linked by a five-word Jaccard of 0.8 or more."""
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in docs]
+    up = Sets(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                up.join(i, j)
+    return sorted({min(d for j, (d, _) in enumerate(docs) if up.find(j) == up.find(i)) for i in range(len(docs))})
