@@ -8,7 +8,10 @@ the texts below it. What looks the same on page after page has an importance nea
 
 Pass 2 reads the pages again and drops branches of low importance, together with elements
 whose tag, role or class says that they are not content (menus, adverts, forms, reader
-comments and so on, a fixed vocabulary below). When a page marks its article or main
+comments and so on, a fixed vocabulary below). Names that deny or lay out (``no-comments``,
+``has-sidebar``, ``alert-free``) say nothing, and an element with at least ``MOST`` of the page's
+text that holds the headline, the article mark, or is itself named as content is its
+container, whatever its other names. When a page marks its article or main
 element, text outside it is dropped too. Text inside it, branches seen on fewer than
 ``MIN_PAGES`` pages of a host, and branches with more than half of the host's text, are never
 dropped by entropy. Pages of a host whose text is the same by the vocabulary alone count as
@@ -43,6 +46,8 @@ from motionlake.session import settle, ship_package
 PRESENTATION = 0.1
 LOW_IMPORTANCE = 0.3
 MIN_PAGES = 8
+#: Share of a page's text that makes an element its container.
+MOST = 0.5
 #: Paths to drop, over all hosts, up to which they are broadcast (8 bytes each).
 BROADCAST_PATHS = 1_000_000
 SALTS = 32
@@ -78,36 +83,89 @@ NOISE_WORDS = set(
     " disclaimer taboola outbrain teaser teasers alert".split()
 )
 HEADER_WORDS = {"header", "masthead", "topbar", "siteheader"}
+#: Names of containers, and parts of a name that deny it or speak of layout.
+CONTENT_WORDS = {"article", "body", "content", "entry", "main", "page", "post", "story", "text", "wrapper", "container"}
+DENYING_FIRST = {"no", "not", "non", "has", "have", "with", "without", "hide", "hides"}
+DENYING_LAST = {"free", "less", "off", "none", "disabled", "closed"}
 MAIN_TAGS = {"article", "main"}
 
 
-class _Element:
-    __slots__ = ("tag", "path", "noise", "main")
+#: What names say against an element: nothing, a header unless inside the article, not content, not shown.
+FINE, HEADER, NAMED, HIDDEN = range(4)
 
-    def __init__(self, tag, path, noise, main):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
 
+class _Page:
+    """Elements of a page in order of opening, and its texts and block ends.
 
-def _is_noise(tag: str, names: list[str], role: str, hidden: bool, main: bool) -> bool:
-    if hidden or tag in NOISE_TAGS or role in NOISE_ROLES:
-        return True
-    if (tag == "header" or not HEADER_WORDS.isdisjoint(names)) and not main:
-        return True
-    return tag not in ("body", "html") and not NOISE_WORDS.isdisjoint(names)
+    Per element: parent, path, what its names say against it, whether it marks the article,
+    whether it is named as content, and whether it is a headline. ``events`` are pairs of an
+    element and a text, or None where a block ends.
+    """
 
+    def __init__(self):
+        self.parent, self.path, self.flag = [-1], [1], [FINE]
+        self.mark, self.good, self.head = [False], [False], [False]
+        self.layouts: list[tuple[int, int]] = []
+        self.events: list[tuple[int, str | None]] = []
+
+    def roles(self) -> tuple[list[bool], list[bool]]:
+        """Per element: is it noise, is it part of the marked article."""
+        n = len(self.parent)
+        held, headed = [0] * n, list(self.head)
+        for e, text in self.events:
+            if text:
+                held[e] += len(text) - text.count(" ")
+        for e in range(n - 1, 0, -1):
+            held[self.parent[e]] += held[e]
+            # A headline or an article mark speaks for all elements around it.
+            if headed[e] or self.mark[e] and self.flag[e] == FINE:
+                headed[self.parent[e]] = True
+        noise, main = [False] * n, [False] * n
+        for e in range(1, n):
+            above, flag = self.parent[e], self.flag[e]
+            against = flag >= NAMED or flag == HEADER and not main[above]
+            if against and flag != HIDDEN and (headed[e] or self.good[e] or self.mark[e]) and held[e] >= MOST * held[0]:
+                against = False
+            noise[e] = noise[above] or against
+            main[e] = main[above] or self.mark[e] and not noise[e]
+        return noise, main
+
+
+def _says_noise(compounds: list[list[str]]) -> bool:
+    for parts in compounds:
+        if not NOISE_WORDS.isdisjoint(parts) and parts[0] not in DENYING_FIRST and parts[-1] not in DENYING_LAST:
+            return True
+    return False
+
+
+def _flag(tag: str, compounds: list[list[str]], role: str, hidden: bool) -> int:
+    """What the names of an element say against it."""
+    if hidden:
+        return HIDDEN
+    if tag in NOISE_TAGS or role in NOISE_ROLES or tag not in ("body", "html") and _says_noise(compounds):
+        return NAMED
+    if tag == "header" or any(not HEADER_WORDS.isdisjoint(c) for c in compounds):
+        return HEADER
+    return FINE
+
+
+def walk(page: str) -> _Page:
+    """Elements, texts and block ends of a page."""
+    out = _Page()
+    stack: list[tuple[str, int]] = [("", 0)]
+
+    def on_text(text):
+        out.events.append((stack[-1][1], text))
 
-def walk(page: str, on_text, on_open=None) -> None:
-    """Calls ``on_text(text, stack)`` for texts, ``on_text(None, stack)`` at block ends."""
-    stack = [_Element("", 1, False, False)]
     at, end = 0, len(page)
     find = TAG.search
     while at < end:
         tag = find(page, at)
         stop = tag.start() if tag else end
         if stop > at:
-            on_text(page[at:stop], stack)
+            on_text(page[at:stop])
         if not tag:
-            return
+            return out
         at = tag.end()
         closing, name, rest = (tag[1], tag[2], tag[3]) if tag[2] else (tag[4], tag[5], tag[6])
         if not name:
@@ -116,9 +174,9 @@ def walk(page: str, on_text, on_open=None) -> None:
         block = name in BLOCKS
         if closing:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    if block or any(e.tag in BLOCKS for e in stack[k:]):
-                        on_text(None, stack)
+                if stack[k][0] == name:
+                    if block or any(t in BLOCKS for t, _ in stack[k:]):
+                        on_text(None)
                     del stack[k:]
                     break
             continue
@@ -127,29 +185,30 @@ def walk(page: str, on_text, on_open=None) -> None:
             at = close.end() if close else end
             continue
         if block:
-            on_text(None, stack)
+            on_text(None)
         if name in ENDS_PARAGRAPH:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
+                if stack[k][0] == "p":
                     del stack[k:]
                     break
-                if stack[k].tag in SCOPES:
+                if stack[k][0] in SCOPES:
                     break
         if name in SIBLINGS:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SIBLINGS[name]:
+                if stack[k][0] in SIBLINGS[name]:
                     del stack[k:]
                     break
-                if stack[k].tag in SCOPES:
+                if stack[k][0] in SCOPES:
                     break
         if name in VOID or rest.endswith("/") and not block:
             continue
-        names, role, hidden, main_role = [], "", False, False
+        compounds, role, hidden, main_role = [], "", False, False
         if rest:
             for key, value in ATTRIBUTE.findall(rest):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id"):
-                    names += [w for w in SPLIT.split(value.lower()) if w]
+                    found = ([w for w in SPLIT.split(c.lower()) if w] for c in value.split())
+                    compounds += [c for c in found if c]
                 elif key == "role":
                     role = value.lower()
                 elif key == "itemprop":
@@ -160,14 +219,17 @@ def walk(page: str, on_text, on_open=None) -> None:
                     hidden |= value.lower() == "true"
                 else:
                     hidden |= "display:none" in value.replace(" ", "").lower()
-        top = stack[-1]
-        label = zlib.crc32(" ".join([name, *[w for w in names if not w.isdigit()]]).encode())
-        path = (top.path * 1000003 ^ label) & 0x7FFFFFFFFFFFFFFF
-        noise = top.noise or _is_noise(name, names, role, hidden, top.main)
-        main = top.main or (name in MAIN_TAGS or role == "main" or main_role) and not noise
-        if on_open:
-            on_open(top.path, label)
-        stack.append(_Element(name, path, noise, main))
+        above = stack[-1][1]
+        label = zlib.crc32(" ".join([name, *[w for c in compounds for w in c if not w.isdigit()]]).encode())
+        out.layouts.append((above, label))
+        stack.append((name, len(out.parent)))
+        out.parent.append(above)
+        out.path.append((out.path[above] * 1000003 ^ label) & 0x7FFFFFFFFFFFFFFF)
+        out.flag.append(_flag(name, compounds, role, hidden))
+        out.mark.append(name in MAIN_TAGS or role == "main" or main_role)
+        out.good.append(any(not CONTENT_WORDS.isdisjoint(c) and NOISE_WORDS.isdisjoint(c) for c in compounds))
+        out.head.append(name == "h1")
+    return out
 
 
 def _digest(text: str) -> int:
@@ -184,15 +246,20 @@ def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             layouts: dict[int, list[int]] = defaultdict(list)
             inside: list[str] = []
             outside: list[str] = []
-
-            def on_text(text, stack):
+            tree = walk(page)
+            noise, main = tree.roles()
+            lines: list[tuple[int, ...]] = [(tree.path[0],)]
+            for e in range(1, len(tree.parent)):
+                up = lines[tree.parent[e]]
+                lines.append(up if tree.path[e] in up else (*up, tree.path[e]))
+            for above, label in tree.layouts:
+                layouts[tree.path[above]].append(label)
+            for e, text in tree.events:
                 if text and not text.isspace():
-                    for path in {e.path for e in stack}:
+                    for path in lines[e]:
                         texts[path].append(text)
-                    if not stack[-1].noise:
-                        (inside if stack[-1].main else outside).append(text)
-
-            walk(page, on_text, lambda path, label: layouts[path].append(label))
+                    if not noise[e]:
+                        (inside if main[e] else outside).append(text)
             body = _digest(" ".join(" ".join(inside or outside).split()))
             for path, parts in texts.items():
                 text = " ".join("".join(parts).split())
@@ -249,7 +316,7 @@ def main_text(page: str | None, drop: set[int] | frozenset = frozenset()) -> str
     inside: list[str] = []
     outside: list[str] = []
     part: list[str] = []
-    state = [False]
+    in_main = False
 
     def flush():
         if part:
@@ -257,24 +324,26 @@ def main_text(page: str | None, drop: set[int] | frozenset = frozenset()) -> str
             part.clear()
             if text:
                 outside.append(text)
-                if state[0]:
+                if in_main:
                     inside.append(text)
 
-    def on_text(text, stack):
+    tree = walk(page)
+    noise, main = tree.roles()
+    dropped = [False] * len(tree.parent)
+    for e in range(1, len(tree.parent)):
+        dropped[e] = dropped[tree.parent[e]] or tree.path[e] in drop
+    for e, text in tree.events:
         if text is None:
             flush()
-            return
-        top = stack[-1]
-        if top.noise or drop and not top.main and any(e.path in drop for e in stack):
-            return
-        if top.main != state[0]:
+            continue
+        if noise[e] or dropped[e] and not main[e]:
+            continue
+        if main[e] != in_main:
             if part and not "".join(part).isspace():
                 flush()
             part.clear()
-            state[0] = top.main
+            in_main = main[e]
         part.append(text)
-
-    walk(page, on_text)
     flush()
     return "\n".join(inside or outside)
 

@@ -1,6 +1,9 @@
 """Plain Python versions of the corpus operators, for small tables."""
 
+import collections
 import hashlib
+import html.parser
+import math
 import re
 
 import numpy as np
@@ -127,3 +130,50 @@ def similar_groups(docs):
             if len(a & b) >= 0.8 * len(a | b):
                 up.join(i, j)
     return sorted({min(d for j, (d, _) in enumerate(docs) if up.find(j) == up.find(i)) for i in range(len(docs))})
+
+
+class _Nodes(html.parser.HTMLParser):
+    """Texts and child styles per path of a well-formed page."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.texts, self.layouts = [()], collections.defaultdict(list), collections.defaultdict(set)
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        label = (tag, *(w for k, v in attrs if k in ("class", "id") for w in v.split()))
+        self.layouts[self.stack[-1]].add(label)
+        self.stack.append((*self.stack[-1], label))
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            for path in set(self.stack):
+                self.texts[path].append(data)
+
+
+def style_tree(rows, presentation):
+    """(pages, chars, importance) of every path with text; equal bodies count once."""
+    seen = {}
+    for page in rows:
+        nodes = _Nodes(page)
+        body = " ".join(" ".join(nodes.texts[()]).split())
+        seen.setdefault(body, nodes)
+    found = collections.defaultdict(list)
+    for nodes in seen.values():
+        for path, parts in nodes.texts.items():
+            found[path].append((" ".join("".join(parts).split()), frozenset(nodes.layouts[path])))
+
+    def entropy(values):
+        n = len(values)
+        counts = collections.Counter(values).values()
+        return 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in counts) / math.log(n)
+
+    out = []
+    for values in found.values():
+        text, layout = zip(*values)
+        out.append((len(values), sum(map(len, text)), (1 - presentation) * entropy(text) + presentation * entropy(layout)))
+    return out
