@@ -91,6 +91,18 @@ def test_lines(docs, none):
     assert lines.line_report(none).count() == 0
 
 
+def test_long_lines_go_and_short_pairs_stay(spark):
+    line = " ".join(f"long{i}" for i in range(25))
+    half = " ".join(f"half{i}" for i in range(13))
+    rows = [
+        (1, line), (2, "own\n" + line), (3, line + " more"), (4, "a b\nc d"), (5, "x\na b\n\nc d\ny"), (6, half + "\n" + half + " end"),
+        (7, half + "\nother"), (8, "start\n" + half + "\n\n" + half + " end\n"), (9, line + "\n" + line),
+    ]
+    got = {r.doc_id: r.text for r in lines.deduplicated_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == line and got[2] == "own" and got[3] == line + " more" and got[5] == rows[4][1] and got[7] == rows[6][1]
+    assert got[8] == "start\n\n" and got[9] == ""
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix_sources(docs)
     assert got.count() == len(TEXTS) and got.where("taken > 2 * size OR size = 0 AND taken > 0").count() == 0
