@@ -190,13 +190,14 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, iterations: int = ITE
 def kept_documents(docs: DataFrame, threshold: float = 0.5, iterations: int = ITERATIONS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Votes are settled for the pattern table; the second pass counts again beside the whole
-    row instead of joining, so that no text is shuffled.
+    Texts are counted once: the rows are settled with their votes, the pattern table reads
+    the votes alone, and no text is shuffled.
     """
-    vote = F.array(*votes()).alias("votes")
-    posterior = pattern_posteriors(settle(text_counts(docs).select(vote)), iterations)
-    counted = text_counts(docs, F.struct("*")).withColumn("votes", vote)
-    return counted.join(posterior, "votes").where(verdict(threshold)[1]).select("carry_0.*")
+    failed, _ = verdict(threshold)
+    counted = text_counts(docs, F.struct("*")).withColumn("votes", F.array(*votes()))
+    counted = settle(counted.select("carry_0", "votes", failed.alias("failed")))
+    judged = counted.join(pattern_posteriors(counted, iterations), "votes")
+    return judged.where(~F.col("failed") & (F.col("posterior") >= threshold)).select("carry_0.*")
 
 
 def oracle(docs: str = "documents") -> str:
