@@ -21,6 +21,7 @@ from motionlake.catalog.views import POSE_SQL
 from motionlake.operators import distance as D
 from motionlake.operators import grading as G
 from motionlake.operators import matching as M
+from motionlake.operators import models
 from motionlake.session import inline_table, settle
 
 WEIGHT_SQL = "jw AS (SELECT * FROM (VALUES " + ", ".join(
@@ -298,10 +299,25 @@ def a13(spark, sf_dir):
     from motionlake.operators.evaluate import expert_variability
 
     _, experts = cohorts(spark, sf_dir)
-    out = expert_variability(experts)
+    out = expert_variability(experts).where("error = ''")
     return out.select("skill", "count", *R6("mean_nearest", "p95_nearest", "max_nearest"))
 
 
+@query(
+    "a13_variability_errors",
+    ctes=(*ALIGNED, MATCH_SQL.format(where=LEAVE_ONE_OUT + " AND s.clip_id % 1000 < s.clip_id // 1000 * 2 AND e.clip_id % 1000 < e.clip_id // 1000 * 2"), "nd AS (SELECT clip_id, min(dist) d FROM ed GROUP BY 1)"),
+    sql="""SELECT skill, count(d) "count", CASE WHEN count(d) >= 2 THEN round(avg(d),6) END mean_nearest, CASE WHEN count(d) >= 2 THEN '' ELSE 'at least two experts are required to measure variability' END error
+FROM (SELECT DISTINCT clip_id, skill FROM al WHERE label = 'experts' AND clip_id % 1000 < clip_id // 1000 * 2) LEFT JOIN nd USING (clip_id) GROUP BY 1""",
+)
+def a13_errors(spark, sf_dir):
+    """A bank that holds 2, 4 and 6 clips of its labels: some skills lack a second expert."""
+    from motionlake.operators.evaluate import expert_variability
+
+    _, experts = cohorts(spark, sf_dir)
+    few = experts.where("clip_id % 1000 < floor(clip_id / 1000) * 2")
+    return expert_variability(few).select("skill", "count", *R6("mean_nearest"), "error")
+
+
 @query(
     "j01_candidate_counts",
     ctes=(*ALIGNED, MATCH_SQL.format(where=STUDENTS)),
@@ -393,6 +409,34 @@ def c06(spark, sf_dir):
     return M.build_training_pairs(*cohorts(spark, sf_dir)).select("clip_id", "frame", "expert_id", "features", "t", "c")
 
 
+class _Still:
+    """A session that predicts the source pose."""
+
+    name = "features"
+
+    def get_inputs(self):
+        return [self]
+
+    def run(self, outputs, feed):
+        return [feed[self.name][..., :3]]
+
+
+@query(
+    "ud1_session_model",
+    ctes=(POSE_SQL, RESAMPLE_SQL),
+    sql="SELECT clip_id, frame, joint, round(x,6) x, round(y,6) y, round(z,6) z, true near FROM rs",
+)
+def ud1(spark, sf_dir):
+    """Predictions of a session that every Python worker loads once; single precision."""
+    rows = clips64(spark, sf_dir).select("clip_id", "frame", F.col("p").alias("s"), F.col("p").alias("t"), F.col("c").alias("own_c"))
+    out = models.session_model("still", _Still)(rows)
+    joint = F.explode(F.array(*[F.lit(j) for j in range(spec.JOINTS)])).alias("joint")
+    near = " AND ".join(f"abs(m[3 * joint + {d}] - s[3 * joint + {d}]) < 1e-6" for d in range(3))
+    return out.select("clip_id", "frame", "s", "m", joint).selectExpr(
+        "clip_id", "frame", "joint", "round(s[3 * joint], 6) x", "round(s[3 * joint + 1], 6) y", "round(s[3 * joint + 2], 6) z", f"{near} near"
+    )
+
+
 # --- grades -----------------------------------------------------------------------
 
 CAL_ROWS = [("serve", 0.46083, 3.92212), ("lift", 0.27962, 3.38692), ("clear", 0.34778, 3.18732), ("smash", 0.31917, 3.43301)]

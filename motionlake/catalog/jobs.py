@@ -11,12 +11,14 @@ from motionlake.catalog.distances import BASE, TERM_SQL, pairs64
 from motionlake.catalog.poses import ANCHOR_EXPR, FILL_SQL, R6, clips64
 from motionlake.catalog.registry import query
 from motionlake.catalog.scores import _calibrate_sql
-from motionlake.catalog.views import CANDIDATE_SQL, GRADED_SQL, POSE_SQL, graded, pose_frames, pose_joints
+from motionlake.catalog.views import CANDIDATE_SQL, GRADED_SQL, POSE_SQL, graded, pose_frames, pose_joints, table
+from motionlake.functions.ordered import number_rows
 from motionlake.operators import evaluate as E
 from motionlake.operators import grading as G
 from motionlake.operators import matching as M
 from motionlake.operators import pose as P
 from motionlake.operators import timewarp as W
+from motionlake.operators import warping
 from motionlake.plans import clips as PC
 from motionlake.plans import evaluation as PE
 from motionlake.plans import scoring as PS
@@ -112,12 +114,17 @@ def j14(spark, sf_dir):
 # --- long jobs ------------------------------------------------------------------------
 
 
+def recordings(spark, sf_dir):
+    """What is known of every clip before its frames."""
+    return pose_joints(spark, sf_dir).select("clip_id", "skill", "label").distinct().withColumns(
+        {"filename": F.concat(F.lit("clip_"), F.col("clip_id").cast("string"), F.lit(".mp4")), "fps": F.lit(30.0)}
+    )
+
+
 def prepared(spark, sf_dir):
     """Extraction job over the observed joints of every clip."""
     rows = pose_joints(spark, sf_dir)
-    clips = rows.select("clip_id", "skill", "label").distinct().withColumns(
-        {"filename": F.concat(F.lit("clip_"), F.col("clip_id").cast("string"), F.lit(".mp4")), "fps": F.lit(30.0)}
-    )
+    clips = recordings(spark, sf_dir)
     seen = rows.where("conf > 0")
     return PC.prepare_clips(seen.select("clip_id", "frame", "joint", "x", "y", "z"), seen.select("clip_id", "frame", "joint", "x", "y"), clips)
 
@@ -188,6 +195,30 @@ def w20(spark, sf_dir):
     return M.dtw(points.withColumnRenamed("pts", "a").join(other, "clip_id"), ["clip_id"])
 
 
+@query("w20_nearest_track")
+def w20_nearest(spark, sf_dir):
+    """Dominant wrist of every beginner against all experts of its skill, whole recordings."""
+    wrist = F.slice("p", 31, 3)
+    points = pose_frames(spark, sf_dir).groupBy("clip_id", "skill", "label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("frame", wrist.alias("p")))), lambda r: r["p"]).alias("pts")
+    )
+    found = warping.nearest_track(points.where("label = 'beginners'"), points.where("label = 'experts'"), ["skill"])
+    return found.select("clip_id", "nearest", *R6("cost"), "candidates")
+
+
+@query("w20_long_pair")
+def w20_long(spark, sf_dir):
+    """Events of even users against those of odd users, each as one track in time order."""
+    events = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 2).alias("side"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("x"),
+        F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("y"),
+    )
+    numbered = settle(number_rows(events, ["side"], ["ts", "event_id"], F.floor(F.unix_seconds("ts") / 86400)))
+    sides = [numbered.where(F.col("side") == k).select("frame", "x", "y") for k in (0, 1)]
+    path, cost = warping.warp_long(*sides)
+    return path.withColumn("cost", F.round(F.lit(cost), 6))
+
+
 @query("c18_overlay_coordinates")
 def c18(spark, sf_dir):
     pairs = pairs64(spark, sf_dir).withColumn("px", F.expr("flatten(transform(sequence(0, 16), j -> array(100 * s[3*j] + 10 * s[3*j+2], 200 * s[3*j+1] + 5)))"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from motionlake import spec
@@ -11,7 +13,9 @@ from motionlake.catalog.views import CANDIDATE_SQL, GRADED_SQL, POSE_SQL, candid
 from motionlake.functions import columns as C
 from motionlake.operators import evaluate as E
 from motionlake.operators import grading as G
+from motionlake.operators import paging
 from motionlake.operators import sampling as S
+from motionlake.session import scratch_folder
 
 CALIBRATE_SQL = """
 be AS (SELECT skill, correction_distance d, count(*) n FROM graded WHERE label = 'beginners' GROUP BY 1, 2),
@@ -119,13 +123,17 @@ def a14(spark, sf_dir):
 
 @query(
     "a15_separation_auc",
-    ctes=(GRADED_SQL, SUMMARY_SQL),
-    sql="SELECT skill, round(auc,6) auc FROM auc",
+    ctes=(GRADED_SQL, """
+part AS (SELECT g.*, unnest(['all', split]) part FROM graded g),
+rk AS (SELECT skill, part, label, rank() OVER (PARTITION BY skill, part ORDER BY correction_distance) + (count(*) OVER (PARTITION BY skill, part, correction_distance) - 1) / 2.0::DOUBLE r FROM part)"""),
+    sql="""SELECT skill, part, round((sum(r) FILTER (label='beginners') - nb * (nb + 1) / 2.0::DOUBLE) / (nb * ne), 6) auc FROM (
+SELECT *, count(*) FILTER (label='beginners') OVER (PARTITION BY skill, part) nb, count(*) FILTER (label='experts') OVER (PARTITION BY skill, part) ne FROM rk) GROUP BY skill, part, nb, ne""",
 )
 def a15(spark, sf_dir):
-    rows = graded(spark, sf_dir).where("split = 'test'")
-    out = G.separation_auc(rows, "correction_distance", F.col("label") == "beginners", ["skill"])
-    return out.select("skill", *R6("auc"))
+    """Both cohorts whole, and every split of them."""
+    rows = graded(spark, sf_dir).withColumn("part", F.explode(F.array(F.lit("all"), F.col("split"))))
+    out = G.separation_auc(rows, "correction_distance", F.col("label") == "beginners", ["skill", "part"])
+    return out.select("skill", "part", *R6("auc"))
 
 
 @query(
@@ -583,6 +591,15 @@ def t12(spark, sf_dir):
     return S.page(graded(spark, sf_dir), ["clip_id"], 599).select("clip_id", "skill")
 
 
+@query("t12_stored_page", ctes=(GRADED_SQL,), sql="SELECT clip_id, skill, round(correction_distance, 9) d FROM graded ORDER BY correction_distance, clip_id LIMIT 200 OFFSET 600")
+def t12_stored(spark, sf_dir):
+    """The fourth page of the clips by distance, from an index with some thousand rows a partition."""
+    path = f"{scratch_folder(spark)}/pages-{uuid.uuid4().hex}"
+    rows = graded(spark, sf_dir).select("clip_id", "skill", "correction_distance")
+    paging.write_pages(rows, ["correction_distance", "clip_id"], path, 5000)
+    return paging.read_page(spark, path, 799).select("clip_id", "skill", F.round("correction_distance", 9).alias("d"))
+
+
 _UNIT = "((('0x' || substr(md5({k} || '#{s}'), 1, 12))::UBIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE"
 AUGMENT_SQL = f"""
 cl AS (SELECT DISTINCT clip_id, '2718/' || clip_id key, max(frame) OVER (PARTITION BY clip_id) last FROM pose),

@@ -6,12 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from motionlake.catalog.notes import STATE
+from motionlake.catalog.notes import _samples as annotated
 from motionlake.catalog.registry import query
-from motionlake.catalog.views import UPSERT_SQL, table, upserts
+from motionlake.catalog.views import ANNOTATION_SQL, JOINT7_SQL, UPSERT_SQL, joint7, pose_joints, table, upserts
 from motionlake.operators import annotations as A
 from motionlake.operators import detections as D
-from motionlake.session import scratch_folder
+from motionlake.session import scratch_folder, settle
+from motionlake.streaming import clips as C
 from motionlake.streaming import jobs as J
+from motionlake.streaming import progress
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -32,6 +36,52 @@ def _drain(spark, df):
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+ARRIVALS = 3
+
+
+def _arriving(spark, rows, arrival):
+    """``rows`` as a stream of ``ARRIVALS`` deliveries by the second ``arrival``, and its watermark.
+
+    Rows come in any order inside a delivery, so the watermark spans two of them. A last
+    observation, far later, lets it pass all others.
+    """
+    folder = f"{scratch_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    rows = settle(rows.withColumn("_at", arrival))
+    nulls = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("clip_id", "ts", "_at")]
+    step = ((rows.agg(F.max("_at")).first()[0] or 0) + 1) / ARRIVALS
+    last = rows.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast(rows.schema["clip_id"].dataType).alias("clip_id"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), *nulls
+    )
+    for k in range(ARRIVALS):
+        low, high = k * step, (k + 1) * step if k + 1 < ARRIVALS else float("inf")
+        part = rows.where((F.col("_at") >= low) & (F.col("_at") < high)).drop("_at")
+        part.write.mode("append").parquet(folder)
+    last.select(*[c for c in rows.columns if c != "_at"]).write.mode("append").parquet(folder)
+    return J.read_stream(spark, folder, rows.drop("_at").schema.toDDL(), 8), f"{int(2 * step) + 5} seconds"
+
+
+@query(
+    "st1_ordered_frames_stream",
+    ctes=(JOINT7_SQL, """
+obs AS (SELECT clip_id, frame, joint, x, y, z, 3 dims FROM joint7 WHERE x > 5::DOUBLE UNION ALL SELECT clip_id, frame, joint, x, y, z, 2 FROM joint7 WHERE x > 5::DOUBLE AND n = 1),
+kept AS (SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 nth FROM obs GROUP BY 1, 2
+  HAVING bool_or(dims = 3 AND joint = 1) AND bool_or(dims = 2 AND joint = 1))"""),
+    sql="""SELECT clip_id, CAST(nth AS INT) frame, CAST(frame AS BIGINT) source_frame, CAST(dims AS INT) dims, CAST(joint AS INT) joint, round(x, 9) x, round(y, 9) y, round(z, 9) z
+FROM obs JOIN kept USING (clip_id, frame)""",
+)
+def st1_ordered(spark, sf_dir):
+    """Joints of orders that arrive up to 3 s out of order, one frame a second."""
+    rows = joint7(spark, sf_dir).withColumn("score", F.col("x") / 10)
+    rows = rows.withColumn("dims", F.explode(F.when(F.col("n") == 1, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))))
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.col("frame") + 1_700_000_000))
+    late = F.pmod(F.xxhash64("clip_id", "frame", "joint", "dims"), F.lit(4))
+    columns = ["clip_id", "frame", "ts", "dims", "joint", "x", "y", "z", "score"]
+    stream, watermark = _arriving(spark, rows.select(*columns), F.col("frame") + late)
+    with C.state_store(spark):
+        out = _drain(spark, C.ordered_frames(stream, (1,), watermark=watermark))
+    return out.select("clip_id", "frame", "source_frame", "dims", "joint", *[F.round(a, 9).alias(a) for a in ("x", "y", "z")])
+
+
 @query("st1_observation_stream", sql="SELECT event_id, user_id, value FROM events")
 def st1(spark, sf_dir):
     return _drain(spark, J.observations(_events(spark, sf_dir), ("event_id",)).select("event_id", "user_id", "value"))
@@ -80,6 +130,42 @@ def st5_batch(spark, sf_dir):
     return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "frames")
 
 
+@query(
+    "st5_whole_clips_stream",
+    sql="""WITH b AS (SELECT *, epoch_us(ts) us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 43200000000 THEN 0 ELSE 1 END brk FROM events),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) s FROM b),
+e AS (SELECT *, min(us) OVER (PARTITION BY user_id, s) session, max(us) OVER (PARTITION BY user_id, s) last FROM s)
+SELECT user_id, session, event_id, value FROM e WHERE last + 43200000000 + 2000 <= (SELECT floor(epoch_us(max(ts)) / 1000) * 1000 - 3600000000 FROM events)""",
+)
+def st5_whole(spark, sf_dir):
+    """All events of every session that is over, half a day after its last one."""
+    stream = _events(spark, sf_dir).select("user_id", "ts", "event_id", "value")
+    with C.state_store(spark):
+        out = _drain(spark, C.whole_clips(stream, "user_id", 12 * 3600, "1 hour"))
+    return out.select("user_id", "session", "event_id", "value")
+
+
+@query("st5_scored_clips_stream")
+def st5_scored(spark, sf_dir):
+    """Poses as a stream, graded clip by clip once they are complete; equals c15_grade_batch."""
+    from motionlake.catalog.distances import calibration
+    from motionlake.catalog.jobs import prepared, recordings
+
+    bank = settle(prepared(spark, sf_dir)[0].where("label = 'experts'"))
+    seen = pose_joints(spark, sf_dir).where("conf > 0")
+    rows = seen.withColumn("dims", F.explode(F.array(F.lit(2), F.lit(3)))).withColumn("score", F.lit(1.0))
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.col("clip_id") % 1000 * 5 + F.col("frame") + 1_700_000_000))
+    late = F.pmod(F.xxhash64("clip_id", "frame", "joint", "dims"), F.lit(4))
+    columns = ["clip_id", "frame", "ts", "dims", "joint", "x", "y", "z", "score"]
+    stream, watermark = _arriving(spark, rows.select(*columns), F.unix_seconds("ts") - 1_700_000_000 + late)
+    folder = f"{scratch_folder(spark)}/graded-{uuid.uuid4().hex}"
+    sink = C.scorer(recordings(spark, sf_dir), bank, calibration(spark), f"{folder}/out")
+    with C.state_store(spark):
+        run = C.whole_clips(stream, gap_seconds=15, watermark=watermark).writeStream.foreachBatch(sink)
+        run.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return C.read_scores(spark, f"{folder}/out").drop("session")
+
+
 CARRY_SQL = """
 f0 AS (SELECT l_orderkey % 100 clip_id, l_orderkey // 100 frame, CAST(count(*) FILTER (l_discount < 0.03) AS INT) boxes FROM lineitem GROUP BY 1, 2),
 fr AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 n FROM f0),
@@ -118,3 +204,22 @@ def st4(spark, sf_dir):
 @query("st4_latest_batch", ctes=(UPSERT_SQL,), sql="SELECT sample_id, max(seq) seq FROM ups GROUP BY 1")
 def st4_batch(spark, sf_dir):
     return A.latest_annotations(upserts(spark, sf_dir), ["seq"]).select("sample_id", "seq")
+
+
+@query(
+    "c17_progress_stream",
+    ctes=(ANNOTATION_SQL,),
+    sql=f"SELECT skill, key_frame, cohort, state, count(*) n FROM (SELECT *, {STATE} state FROM ann) GROUP BY 1, 2, 3, 4",
+)
+def c17_stream(spark, sf_dir):
+    """Progress kept by the writes themselves: drafts first, then the annotations."""
+    samples, saved = annotated(spark, sf_dir)
+    samples, saved = settle(samples), settle(saved)
+    folder = f"{scratch_folder(spark)}/progress-{uuid.uuid4().hex}"
+    blank = [F.lit(None).cast(saved.schema[c].dataType).alias(c) for c in saved.columns if c != "sample_id"]
+    for seq, part in enumerate((saved.where("sample_id % 3 = 0").select("sample_id", *blank), saved)):
+        part.withColumn("seq", F.lit(seq)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = J.read_stream(spark, f"{folder}/in", saved.withColumn("seq", F.lit(0)).schema.toDDL(), 1)
+    sink = stream.writeStream.foreachBatch(progress.progress_writer(f"{folder}/out", samples, ["seq"]))
+    sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return progress.read_progress(spark, f"{folder}/out")

@@ -107,16 +107,19 @@ def percentile_table(
     # A wanted 0-based position p lies between ranks floor(p) and ceil(p); a distinct
     # value covers the ranks [before, before + n).
     q_list = F.array(*[F.lit(float(q)) for q in quantiles])
-    spread = (
+    first, last = F.col("before"), F.col("before") + F.col("n")
+
+    def hit(q: Column) -> Column:
+        place = (F.col("total") - 1) * q
+        low, high = F.floor(place), F.ceil(place)
+        return ((low >= first) & (low < last)) | ((high >= first) & (high < last))
+
+    # Only the quantiles that a value takes part in become rows.
+    hits = (
         running_totals(df, by, value, amount)
-        .select(*by, value, "n", "before", "total", F.explode(q_list).alias("q"))
+        .select(*by, value, "total", F.explode(F.filter(q_list, hit)).alias("q"))
         .withColumn("_p", (F.col("total") - 1) * F.col("q"))
     )
-    low, high = F.floor("_p"), F.ceil("_p")
-    first, last = F.col("before"), F.col("before") + F.col("n")
-    hits = spread.where(
-        ((low >= first) & (low < last)) | ((high >= first) & (high < last))
-    )
     edges = hits.groupBy(*by, "q", "_p").agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )

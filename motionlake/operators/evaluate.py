@@ -16,9 +16,9 @@ KEY = "clip_id"
 
 
 def expert_variability(bank: DataFrame, quantile: float = 0.95, by: str = "skill") -> DataFrame:
-    """Nearest other expert of the same skill and hand: count, mean, quantile, max.
+    """Nearest other expert of the same skill and hand: count, mean, quantile, max, error.
 
-    Groups with fewer than two measured experts are left out.
+    A group with fewer than two measured experts keeps a row with its count and an error.
     """
     skills = bank.select(KEY, by).distinct()
     near = M.match_expert_euclidean(bank, bank, exclude_self=True).join(skills, KEY)
@@ -28,7 +28,12 @@ def expert_variability(bank: DataFrame, quantile: float = 0.95, by: str = "skill
         F.max("distance").alias("max_nearest"),
     )
     top = exact_percentiles(near, [by], "distance", {"p95_nearest": quantile})
-    return base.where(F.col("count") >= 2).join(top, by)
+    rows = skills.select(by).distinct().join(base.join(top, by), by, "left")
+    count = F.coalesce("count", F.lit(0)).cast("bigint")
+    enough = count >= 2
+    measured = [F.when(enough, F.col(c)).alias(c) for c in ("mean_nearest", "p95_nearest", "max_nearest")]
+    error = F.when(enough, "").otherwise("at least two experts are required to measure variability")
+    return rows.select(by, count.alias("count"), *measured, error.alias("error"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:

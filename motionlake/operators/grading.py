@@ -5,20 +5,28 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motionlake import spec
 from motionlake.functions.columns import TINY, direction, file_stem, score
 from motionlake.functions.ordered import exact_percentiles, percentile_table, running_totals
 from motionlake.operators import distance as D
-from motionlake.session import inline_table
+from motionlake.session import inline_table, settle, ship_package
 
 KEY = "clip_id"
 ALPHA_LIMIT = float(1 << 20)
 GRID = 201
-#: Steepnesses of the first pass.
-RUNGS = (0.0, *(2.0**k for k in range(-2, 13)))
+#: Steepnesses of the first pass, and steps between two of them in the second.
+RUNGS = (0.0, *(2.0**k for k in range(-2, 21)))
+STEPS = 16
+#: Powers of the distance that are summed beside the exponential.
+POWERS = 6
+#: Groups up to which their offsets are broadcast (some kilobytes each).
+BROADCAST_GROUPS = 4096
 
 
 # --- calibration ------------------------------------------------------------------
@@ -35,106 +43,175 @@ def fit_calibration(
     """Offset and steepness per group so that both cohorts reach their target means.
 
     Candidate offsets are 0 and 201 expert quantiles. For every offset the steepness
-    solves mean(100 exp(-alpha max(d - offset, 0))) = target over the beginners. All
-    candidates of all groups are refined together over the compressed beginner distances:
-    one pass looks at a ladder of steepnesses, then every pass is one Newton step from the
-    last rung before the root. Only sums per (group, candidate) come back, 202 per group
-    and rung, so the driver's share grows with the number of groups alone. The function
-    is convex and falling, so Newton rises monotonically to the root.
+    solves mean(100 exp(-alpha max(d - offset, 0))) = target over the beginners; the offset
+    with the smallest distance of both means from their targets wins, the smaller one on ties.
+
+    All offsets of a group share their sums: a distance counts once per steepness, in the
+    interval between two offsets it lies in, and running sums from the last interval down
+    give the mean of every offset. A first pass over a ladder of steepnesses finds the octave
+    of each root, a second one over ``STEPS`` steepnesses of the octaves found sums powers of
+    the distance as well, so that root and means follow from a short series around the
+    nearest step (off by less than 1e-10). Both passes are partial aggregations; the running
+    sums and roots of one group are one small task (202 offsets, some tens of steepnesses).
+    One row per group comes back.
     """
-    experts = distances.where(F.col(label) == "experts").groupBy(by, value).count()
-    beginners = distances.where(F.col(label) == "beginners").groupBy(by, value).count()
-    experts, beginners = experts.persist(), beginners.persist()
-    try:
-        grid = percentile_table(
-            distances.where(F.col(label) == "experts"), [by], value,
-            [i / (GRID - 1) for i in range(GRID)],
-        ).select(by, "quantile").distinct().collect()
-        offsets: dict[str, set[float]] = {}
-        for row in grid:
-            offsets.setdefault(row[by], {0.0}).add(float(row["quantile"]))
-        state = {(g, o): 0.0 for g, values in offsets.items() for o in values}
-        target = target_beginner / 100.0
-        ladder = _moments(beginners, by, value, [(g, o, a) for g, o in state for a in RUNGS])
-        sums = {k: ladder[(*k, 0.0)] for k in state if (*k, 0.0) in ladder}
-        counts = {k: v[0] for k, v in sums.items()}
-        state = {k: a for k, a in state.items() if counts.get(k)}
-        reachable = {k: 100.0 * sums[k][3] / counts[k] <= target_beginner for k in state}
-        open_ = {k for k in state if reachable[k] and sums[k][3] < counts[k]}
-        for k in state:
-            if k not in open_:
-                state[k] = ALPHA_LIMIT if not reachable[k] else state[k]
-        for k in open_:
-            state[k] = max(a for a in RUNGS if a == 0 or ladder[(*k, a)][1] >= target * counts[k])
-            sums[k] = ladder[(*k, state[k])]
-        while open_:
-            moved = set()
-            for k in open_:
-                n, e, ae, _ = sums[k]
-                step = (e / n - target) / (ae / n) if ae > 0 else math.inf
-                new = min(state[k] + max(step, 0.0), ALPHA_LIMIT)
-                if new - state[k] > 1e-14 * max(new, 1e-300) and state[k] < ALPHA_LIMIT:
-                    moved.add(k)
-                state[k] = new
-            open_ = moved
-            if open_:
-                sums.update(_at(beginners, by, value, {k: state[k] for k in open_}))
-        low = _at(beginners, by, value, state)
-        high = _at(experts, by, value, state)
-    finally:
-        experts.unpersist()
-        beginners.unpersist()
-    best: dict[str, tuple] = {}
-    for (g, o), alpha in sorted(state.items()):
-        achieved = 100.0 * low[(g, o)][1] / low[(g, o)][0]
-        expert_mean = 100.0 * high[(g, o)][1] / high[(g, o)][0]
-        objective = abs(expert_mean - target_expert) + abs(achieved - target_beginner)
-        objective += 0.0 if reachable[(g, o)] else 100.0
-        if g not in best or objective < best[g][0]:
-            best[g] = (objective, o, alpha, reachable[(g, o)])
-    kind = dict(distances.dtypes)[by]
-    schema = (
-        f"{by} {kind}, distance_offset double, alpha double, target_beginner_mean double, "
-        "target_expert_mean double, target_reachable boolean"
-    )
-    rows = [
-        (g, o, a, float(target_beginner), float(target_expert), ok)
-        for g, (_, o, a, ok) in sorted(best.items())
-    ]
+    ship_package(distances.sparkSession)
+    experts = distances.where(F.col(label) == "experts")
+    grid = percentile_table(experts, [by], value, [i / (GRID - 1) for i in range(GRID)]).select(by, F.col("quantile").alias("o"))
+    zero = experts.where(F.col(value).isNotNull()).select(by, F.lit(0.0).alias("o")).distinct()
+    grid = settle(grid.unionByName(zero).groupBy(by).agg(F.sort_array(F.collect_set("o")).alias("offsets")))
+    small = grid.count() <= BROADCAST_GROUPS
+    near = F.broadcast if small else (lambda t: t)
+
+    def placed(name: str) -> DataFrame:
+        counted = distances.where((F.col(label) == name) & F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+        rows = counted.join(near(grid), by)
+        j = F.size(F.filter("offsets", lambda o: o <= F.col("d"))) - 1
+        return rows.withColumn("j", j).select(by, "j", "n", F.when(F.col("j") >= 0, F.col("d") - F.get("offsets", F.col("j"))).otherwise(0.0).alias("a"))
+
+    sides = settle(placed("beginners").withColumn("side", F.lit(0)).unionByName(placed("experts").withColumn("side", F.lit(1))))
+    kind = distances.schema[by].dataType
+    found_schema = T.StructType([T.StructField(by, kind), *(T.StructField(n, t) for n, t in (("j", T.IntegerType()), ("low", T.DoubleType()), ("high", T.DoubleType())))])
+    target = target_beginner / 100.0
+
+    def first(offsets: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        return _octaves(offsets, sums, target, by)
+
+    def second(octaves: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        return _best_offset(octaves, sums, target_beginner, target_expert, by)
+
+    ladder = _interval_sums(sides.where("side = 0").withColumn("alphas", F.array(*map(F.lit, RUNGS))), by, 2)
+    octaves = settle(grid.groupBy(by).cogroup(ladder.groupBy(by)).applyInPandas(first, found_schema))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: F.when(
+        F.col("low") > 0, F.col("low") * F.pow(F.col("high") / F.col("low"), i / float(STEPS))).otherwise(F.col("high") * i / float(STEPS)))
+    wanted = octaves.select(by, "low", "high").distinct().groupBy(by).agg(F.array_distinct(F.flatten(F.collect_list(steps))).alias("alphas"))
+    fine = _interval_sums(sides.join(near(wanted), by), by, POWERS)
+    both = octaves.join(near(grid.select(by, F.posexplode("offsets").alias("j", "o"))), [by, "j"])
+    schema = T.StructType([
+        T.StructField(by, kind), *(T.StructField(n, T.DoubleType()) for n in ("distance_offset", "alpha", "target_beginner_mean", "target_expert_mean")),
+        T.StructField("target_reachable", T.BooleanType()),
+    ])
+    rows = [tuple(r) for r in both.groupBy(by).cogroup(fine.groupBy(by)).applyInPandas(second, schema).orderBy(by).collect()]
     if not rows:
         raise ValueError("expert and beginner distances are required for calibration")
-    return inline_table(distances.sparkSession, rows, schema)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    return inline_table(distances.sparkSession, rows, columns)
+
 
+def _interval_sums(rows: DataFrame, by: str, powers: int) -> DataFrame:
+    """(side, j, alpha, n, z, m0, m1, ...): sums of n a**k exp(-alpha a) per interval.
 
-def _at(cohort: DataFrame, by: str, value: str, state: dict) -> dict:
-    """Moments at one steepness per (group, offset)."""
-    found = _moments(cohort, by, value, [(g, o, a) for (g, o), a in state.items()])
-    return {(g, o): v for (g, o, _), v in found.items()}
+    ``a`` is the distance from the interval's offset, ``z`` counts what lies on it.
+    """
+    each = rows.select(by, "side", "j", "n", "a", F.explode("alphas").alias("alpha"))
+    e = F.col("n") * F.exp(-F.col("alpha") * F.col("a"))
+    terms = [e]
+    for _ in range(1, powers):
+        terms.append(terms[-1] * F.col("a"))
+    return each.groupBy(by, "side", "j", "alpha").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("a") == 0, F.col("n")).otherwise(0)).alias("z"),
+        *[F.sum(t).alias(f"m{k}") for k, t in enumerate(terms)],
+    )
 
 
-def _moments(cohort: DataFrame, by: str, value: str, points: list[tuple]) -> dict:
-    """(n, sum e, sum a e, n at zero) per point (group, offset, alpha).
+def _over_offsets(sums: pd.DataFrame, offsets: np.ndarray, powers: int) -> dict[float, np.ndarray]:
+    """Per steepness the sums of (max(d - o, 0))**k exp(...) for all offsets: (offsets, powers).
 
-    a = max(d - offset, 0), e = exp(-alpha a).
+    Distances at or below an offset count as e = 1 in the first sum.
     """
-    spark = cohort.sparkSession
-    kind = dict(cohort.dtypes)[by]
-    params = inline_table(
-        spark,
-        points,
-        f"{by} {kind}, _offset double, _alpha double",
-    )
-    gap = F.greatest(F.col(value) - F.col("_offset"), F.lit(0.0))
-    rows = cohort.join(F.broadcast(params), by).select(
-        by, "_offset", "_alpha", "count", gap.alias("a"), F.exp(-F.col("_alpha") * gap).alias("e")
-    )
-    table = rows.groupBy(by, "_offset", "_alpha").agg(
-        F.sum("count").alias("n"),
-        F.sum(F.col("count") * F.col("e")).alias("e"),
-        F.sum(F.col("count") * F.col("a") * F.col("e")).alias("ae"),
-        F.sum(F.when(F.col("a") == 0, F.col("count")).otherwise(0)).alias("z"),
-    )
-    return {(r[by], r["_offset"], r["_alpha"]): (r["n"], r["e"], r["ae"], r["z"]) for r in table.collect()}
+    out = {}
+    names = [f"m{k}" for k in range(powers)]
+    for alpha, part in sums.groupby("alpha"):
+        own, n = np.zeros((len(offsets), powers)), np.zeros(len(offsets) + 1)
+        n[part["j"].to_numpy() + 1] = part["n"]
+        inside = part["j"].to_numpy() >= 0
+        own[part["j"].to_numpy()[inside]] = part[names].to_numpy(dtype=float)[inside]
+        above = np.zeros((len(offsets), powers))
+        after = np.zeros(powers)
+        for j in range(len(offsets) - 1, -1, -1):
+            if j + 1 < len(offsets):
+                gap = offsets[j + 1] - offsets[j]
+                shifted = [sum(math.comb(k, i) * gap ** (k - i) * after[i] for i in range(k + 1)) for k in range(powers)]
+                after = math.exp(-alpha * gap) * np.array(shifted)
+            after = after + own[j]
+            above[j] = after
+        above[:, 0] += np.cumsum(n)[:-1]
+        out[float(alpha)] = above
+    return out
+
+
+def _octaves(offsets: pd.DataFrame, sums: pd.DataFrame, target: float, by: str) -> pd.DataFrame:
+    """Per offset the two rungs around its root; equal ones where there is none to look for."""
+    columns = [by, "j", "low", "high"]
+    if not len(offsets) or not len(sums):
+        return pd.DataFrame(columns=columns)
+    grid = np.asarray(offsets["offsets"].iloc[0], dtype=float)
+    total = float(sums.loc[sums["alpha"] == 0, "n"].sum())
+    means = _over_offsets(sums, grid, 2)
+    zero = sums[sums["alpha"] == 0].groupby("j")[["n", "z"]].sum()
+    n, z = np.zeros(len(grid) + 1), np.zeros(len(grid) + 1)
+    n[zero.index.to_numpy() + 1], z[zero.index.to_numpy() + 1] = zero["n"], zero["z"]
+    on = np.cumsum(n)[:-1] + z[1:]
+    rows = []
+    for j in range(len(grid)):
+        if on[j] > target * total:
+            low = high = ALPHA_LIMIT
+        elif on[j] >= total:
+            low = high = 0.0
+        else:
+            above = [r for r in RUNGS if means[r][j, 0] >= target * total]
+            low = max(above, default=0.0)
+            at = RUNGS.index(low)
+            high = RUNGS[min(at + 1, len(RUNGS) - 1)]
+        rows.append((offsets[by].iloc[0], j, low, high))
+    return pd.DataFrame(rows, columns=columns)
+
+
+def _series(moments: np.ndarray, step: float) -> tuple[float, float]:
+    """Value and slope at ``alpha + step`` from the sums at ``alpha``."""
+    value = sum(m * (-step) ** k / math.factorial(k) for k, m in enumerate(moments))
+    slope = -sum(m * (-step) ** (k - 1) / math.factorial(k - 1) for k, m in enumerate(moments) if k)
+    return value, slope
+
+
+def _best_offset(octaves: pd.DataFrame, sums: pd.DataFrame, target_beginner: float, target_expert: float, by: str) -> pd.DataFrame:
+    """The winning offset of a group with its steepness."""
+    columns = [by, "distance_offset", "alpha", "target_beginner_mean", "target_expert_mean", "target_reachable"]
+    if not len(octaves) or not len(sums) or sums["side"].nunique() < 2:
+        return pd.DataFrame(columns=columns)
+    octaves = octaves.sort_values("j")
+    grid = octaves["o"].to_numpy(dtype=float)
+    sides = [sums[sums["side"] == side] for side in (0, 1)]
+    total = [float(s.loc[s["alpha"] == s["alpha"].iloc[0], "n"].sum()) for s in sides]
+    low, high = (_over_offsets(s, grid, POWERS) for s in sides)
+    steps = np.array(sorted(low))
+    best = None
+    for j, (a, b) in enumerate(zip(octaves["low"], octaves["high"])):
+        ok = not (a == b == ALPHA_LIMIT)
+        alpha, near = float(a), float(a)
+        if a < b:
+            inside = steps[(steps >= a) & (steps <= b)]
+            want = target_beginner / 100.0 * total[0]
+            above = [s for s in inside if low[s][j, 0] >= want]
+            left = max(above, default=inside[0])
+            right = min((s for s in inside if s > left), default=left)
+            near = left if low[left][j, 0] - want <= want - low[right][j, 0] else right
+            alpha = float(near)
+            for _ in range(50):
+                value, slope = _series(low[near][j], alpha - near)
+                move = (want - value) / slope if slope else 0.0
+                alpha = min(max(alpha + move, 0.0), ALPHA_LIMIT)
+                if abs(move) <= 1e-15 * max(alpha, 1e-300):
+                    break
+        elif near not in low:
+            near = float(steps[np.abs(steps - near).argmin()])
+        achieved, mean = (100.0 * _series(m[near][j], alpha - near)[0] / n for m, n in ((low, total[0]), (high, total[1])))
+        objective = abs(mean - target_expert) + abs(achieved - target_beginner) + (0.0 if ok else 100.0)
+        if best is None or objective < best[0]:
+            best = objective, float(grid[j]), alpha, ok
+    _, offset, alpha, ok = best
+    return pd.DataFrame([(octaves[by].iloc[0], offset, alpha, float(target_beginner), float(target_expert), ok)], columns=columns)
 
 
 def with_scores(

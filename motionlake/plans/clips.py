@@ -51,14 +51,19 @@ def prepare_clips(
     wrist = settle(P.dominant_track(sided, "handedness", "wrist")).withColumnRenamed(KEY, "track_id")
     elbow = settle(P.dominant_track(sided, "handedness", "elbow")).withColumnRenamed(KEY, "track_id")
     found = T.analysis_window(wrist, elbow).withColumnRenamed("track_id", KEY).drop("skill")
-    windows = W.clamp_window(meta.join(found, KEY, "left"), "n").withColumnRenamed("error", "_window_error")
+    # Clamping fills in missing windows, so what was not found is marked before.
+    both = elbow.select(F.col("track_id").alias(KEY)).distinct().withColumn("_elbow", F.lit(True))
+    windows = meta.join(found, KEY, "left").join(both, KEY, "left")
+    lost = F.col("start").isNull() | F.col("end").isNull() | F.col("_elbow").isNull()
+    windows = W.clamp_window(windows.withColumn("_lost", lost).drop("_elbow"), "n").withColumnRenamed("error", "_window_error")
+    windows = windows.withColumns({c: F.when(~F.col("_lost") & (F.col("n") > 0), F.col(c)) for c in ("start", "peak", "end")})
     windows = windows.withColumn(
         "error",
         F.when(F.col("_hand_error") != "", F.col("_hand_error"))
         .when(F.col("n") < 5, "fewer than five tracked frames")
-        .when(F.col("start").isNull() | F.col("end").isNull(), "dominant wrist or elbow tracking is insufficient")
+        .when(F.col("_lost"), "dominant wrist or elbow tracking is insufficient")
         .otherwise(F.col("_window_error")),
-    ).drop("_hand_error", "_window_error")
+    ).drop("_hand_error", "_window_error", "_lost")
     windows = settle(windows)
     bounds = windows.where("error = ''").select(
         KEY, "handedness", "skill", "label", F.col("start").alias("_low"), F.col("end").alias("_high"), "peak"

@@ -70,6 +70,11 @@ def load_archives(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile").option("pathGlobFilter", "*.npz")
         .option("recursiveFileLookup", "true").load(path).select("path", "content")
     )
+    return decode(files)
+
+
+def decode(files: DataFrame) -> DataFrame:
+    """Archives as (path, content) to clip rows; a broken one is a row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split(" ")[0] for part in CLIP_SCHEMA.split(", ")]
@@ -77,7 +82,7 @@ def load_archives(spark: SparkSession, path: str) -> DataFrame:
             rows = [_decode(p, c) for p, c in zip(batch["path"], batch["content"])]
             yield pd.DataFrame(rows, columns=names)
 
-    ship_package(spark)
+    ship_package(files.sparkSession)
     return files.mapInPandas(run, CLIP_SCHEMA)
 
 

@@ -256,4 +256,63 @@ def contract_violations(spark: SparkSession) -> DataFrame:
         .where("NOT (c.name <=> r.name) OR NOT (c.maximum <=> r.maximum)")
         .select("skill", F.lit("rules and criteria are misaligned").alias("violation"))
     )
-    return weights.unionByName(totals).unionByName(names)
+    rule_totals = (
+        rules(spark).groupBy("skill").agg(F.sum("maximum").alias("total"))
+        .where("abs(total - 100) > 1e-8")
+        .select("skill", F.lit("rule maxima must total 100").alias("violation"))
+    )
+    contract = transitions(spark)
+    roles = contract.where("roles <> 5").select("skill", F.lit("needs five checkpoint roles").alias("violation"))
+    moving = contract.where("weight > 0 AND (size(joints) = 0 OR size(lean_joints) <> 4)").select(
+        "skill", F.lit("transition scoring needs support joints and four torso joints").alias("violation")
+    )
+    return weights.unionByName(totals).unionByName(rule_totals).unionByName(names).unionByName(roles).unionByName(moving)
+
+
+def transitions(spark: SparkSession) -> DataFrame:
+    """Per skill the full-body transition term and the number of checkpoint roles."""
+    rows = []
+    for skill in SKILLS:
+        used = TRANSITION_WEIGHT[skill] > 0
+        joints, lean = (TRANSITION_JOINTS, LEAN_JOINTS) if used else ((), ())
+        rows.append((skill, float(TRANSITION_WEIGHT[skill]), joints, lean, len(CHECKPOINT_ROLES[skill])))
+    return inline_table(spark, rows, "skill string, weight double, joints array<int>, lean_joints array<int>, roles int")
+
+
+def checkpoint_violations(spark: SparkSession, checkpoints: DataFrame) -> DataFrame:
+    """(checkpoint, violation) of stored models that do not fit the skill they are asked for.
+
+    ``checkpoints`` has checkpoint, requested_skill, skill, joint_weights, transition_weight,
+    transition_joints and transition_lean_joints; nulls mean that the model does not say. A
+    model without a skill is one of clear, and only those may lack joint weights. The first
+    thing that does not fit is named.
+    """
+    weights = joint_weights(spark).groupBy("skill").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("joint", "weight"))), lambda e: e["weight"]).alias("_w")
+    )
+    contract = weights.join(transitions(spark), "skill").withColumnsRenamed(
+        {"skill": "requested_skill", "weight": "_weight", "joints": "_joints", "lean_joints": "_lean"}
+    )
+    rows = checkpoints.join(F.broadcast(contract), "requested_skill", "left")
+    near = F.forall(
+        F.arrays_zip(F.col("joint_weights").alias("a"), F.col("_w").alias("b")),
+        lambda e: F.abs(e["a"] - e["b"]) <= 1e-8 + 1e-5 * F.abs(e["b"]),
+    )
+    fits = F.coalesce((F.size("joint_weights") == JOINTS) & near, F.lit(False))
+    none = F.array().cast("array<int>")
+    moving = (
+        (F.coalesce("transition_weight", F.lit(0.0)) == F.col("_weight"))
+        & (F.coalesce(F.col("transition_joints").cast("array<int>"), none) == F.col("_joints"))
+        & (F.coalesce(F.col("transition_lean_joints").cast("array<int>"), none) == F.col("_lean"))
+    )
+    clear = F.col("requested_skill") == "clear"
+    unsaid = F.col("joint_weights").isNull()
+    violation = (
+        F.when(F.col("_w").isNull(), "the requested skill is not supported")
+        .when(F.coalesce("skill", F.lit("clear")) != F.col("requested_skill"), "the model is of another skill")
+        .when(unsaid & clear, F.lit(None))
+        .when(unsaid, "the model does not contain joint weights")
+        .when(~fits, "joint weights do not match the contract")
+        .when(~F.coalesce(moving, F.lit(False)), "transition scoring does not match the contract")
+    )
+    return rows.select("checkpoint", violation.alias("violation")).where("violation IS NOT NULL")

@@ -73,7 +73,7 @@ def loop_relax(source, target, iterations=20):
     return out
 
 
-def loop_distance(source, target, mask, skill):
+def loop_distance(source, target, mask, skill, transition=True):
     def mean(v, m):
         return 0.0 if m.sum() < 1e-8 else float((v * m).sum() / m.sum())
 
@@ -90,7 +90,7 @@ def loop_distance(source, target, mask, skill):
     angles = np.array([[abs(angle(s, *q) - angle(t, *q)) / math.pi for q in spec.ANGLE_TRIPLETS] for s, t in zip(source, target)])
     amask = np.array([[m[a] * m[b] * m[c] for a, b, c in spec.ANGLE_TRIPLETS] for m in mask])
     total = pos + 0.5 * mean(angles, amask) + 0.5 * vel + 0.25 * mean(bones, bmask)
-    if skill == "serve":
+    if skill == "serve" and transition:
         j = list(spec.TRANSITION_JOINTS)
         d = (source - source[:1])[:, j] - (target - target[:1])[:, j]
         e, m = np.linalg.norm(d, axis=-1), mask[:, j] * mask[:1, j]
