@@ -31,8 +31,6 @@ BLOCK = 16
 BROADCAST_BYTES = 64 << 20
 MAX_SALTS = 1024
 GROUP = ("skill", "handedness")
-# one aligned clip: 64 frames x 17 joints x (3 coordinates + confidence) doubles
-CLIP_BYTES = spec.CLIP_FRAMES * spec.JOINTS * 4 * 8
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -92,11 +90,17 @@ def packed(clips: DataFrame, size: int, count: int, group: Sequence[str], prefix
     )
 
 
-def join_blocks(blocks: DataFrame, chunks: DataFrame, experts: int, students: int, group: Sequence[str] = GROUP) -> DataFrame:
+def bank_size(bank: DataFrame) -> tuple[int, int]:
+    """Clips of a bank and the bytes of their coordinates and confidences, whatever their length."""
+    row = bank.agg(F.count_distinct(KEY).alias("n"), F.sum((F.size("p") + F.size("c")).cast("bigint") * 8).alias("bytes")).first()
+    return row.n, row.bytes or 0
+
+
+def join_blocks(blocks: DataFrame, chunks: DataFrame, bank_bytes: int, students: int, group: Sequence[str] = GROUP) -> DataFrame:
     """Student blocks x the expert chunks of their group; broadcast only below a measured size."""
     on = [*group, "frames"]
     chunks = chunks.drop("_part")
-    if experts * CLIP_BYTES <= BROADCAST_BYTES:
+    if bank_bytes <= BROADCAST_BYTES:
         return blocks.join(F.broadcast(chunks), on).drop("_part")
     salts = max(1, min(students // (BLOCK * BLOCK) + 1, MAX_SALTS))
     salted = chunks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -139,7 +143,7 @@ def nearest_expert(
     """
     if "skill" not in group:
         raise ValueError("experts are matched within a skill: name it in group")
-    n_experts = bank.select(KEY).distinct().count()
+    n_experts, bank_bytes = bank_size(bank)
     n_students = students.select(KEY).distinct().count()
     chunks = packed(clip_rows(bank, group), CHUNK, n_experts, group, "e")
     blocks = packed(clip_rows(students, group), BLOCK, n_students, group, "s")
@@ -148,7 +152,7 @@ def nearest_expert(
     if session.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
         spread = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
         blocks = blocks.repartition(spread)
-    rows = join_blocks(blocks, chunks, n_experts, n_students, group)
+    rows = join_blocks(blocks, chunks, bank_bytes, n_students, group)
     id_type = students.schema[KEY].dataType
     schema = T.StructType(
         [
@@ -258,8 +262,8 @@ def with_expert(students: DataFrame, bank: DataFrame, matches: DataFrame) -> Dat
     """
     experts = bank.select(F.col(KEY).alias("expert_id"), "frame", F.col("p").alias("t"), F.col("c").alias("_ec"))
     chosen = students.withColumnRenamed("p", "s").join(matches.select(KEY, "expert_id"), KEY)
-    n_experts = bank.select(KEY).distinct().count()
-    if n_experts * CLIP_BYTES <= BROADCAST_BYTES:
+    _, bank_bytes = bank_size(bank)
+    if bank_bytes <= BROADCAST_BYTES:
         joined = chosen.join(F.broadcast(experts), ["expert_id", "frame"])
     else:
         salted = experts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))))
