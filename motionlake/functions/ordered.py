@@ -106,19 +106,22 @@ def percentile_table(
     """Exact quantiles in long form ``(by..., q, quantile)``; any number of them."""
     # A wanted 0-based position p lies between ranks floor(p) and ceil(p); a distinct
     # value covers the ranks [before, before + n).
-    q_list = F.array(*[F.lit(float(q)) for q in quantiles])
+    totals = running_totals(df, by, value, amount)
+    steps = len(quantiles) - 1
+    if steps > 0 and all(q == i / steps for i, q in enumerate(quantiles)):
+        # Even steps: the few that a value can take part in follow from its ranks.
+        span = F.greatest(F.col("total") - 1, F.lit(1))
+        low = F.when(F.col("total") > 1, F.greatest(F.floor((F.col("before") - 1) * steps / span), F.lit(0))).otherwise(0)
+        high = F.when(F.col("total") > 1, F.least(F.ceil((F.col("before") + F.col("n")) * steps / span), F.lit(steps))).otherwise(steps)
+        places = F.explode(F.sequence(low.cast("bigint"), high.cast("bigint")))
+        spread = totals.withColumn("_i", places).withColumn("q", F.col("_i") / float(steps)).drop("_i")
+    else:
+        spread = totals.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+    spread = spread.select(*by, value, "n", "before", "total", "q").withColumn("_p", (F.col("total") - 1) * F.col("q"))
+    low, high = F.floor("_p"), F.ceil("_p")
     first, last = F.col("before"), F.col("before") + F.col("n")
-
-    def hit(q: Column) -> Column:
-        place = (F.col("total") - 1) * q
-        low, high = F.floor(place), F.ceil(place)
-        return ((low >= first) & (low < last)) | ((high >= first) & (high < last))
-
-    # Only the quantiles that a value takes part in become rows.
-    hits = (
-        running_totals(df, by, value, amount)
-        .select(*by, value, "total", F.explode(F.filter(q_list, hit)).alias("q"))
-        .withColumn("_p", (F.col("total") - 1) * F.col("q"))
+    hits = spread.where(
+        ((low >= first) & (low < last)) | ((high >= first) & (high < last))
     )
     edges = hits.groupBy(*by, "q", "_p").agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi")

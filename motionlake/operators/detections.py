@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions.ordered import number_rows
@@ -22,11 +22,10 @@ def carry_forward(frames: DataFrame, every: int = 7, key: str = KEY) -> DataFram
     ``every`` frames look at each other.
     """
     frames = number_rows(frames, [key], ["frame"], F.floor(F.col("frame") / BLOCK_FRAMES), "_n")
-    interval = F.floor(F.col("_n") / every)
-    first = frames.where(F.col("boxes") > 0).groupBy(key, interval.alias("_i")).agg(
-        F.min(F.struct("frame", "boxes")).alias("_d")
-    )
-    joined = frames.withColumn("_i", interval).join(first, [key, "_i"], "left")
+    rows = frames.withColumn("_i", F.floor(F.col("_n") / every))
+    found = F.when(F.col("boxes") > 0, F.struct("frame", "boxes"))
+    # a window holds the `every` frames of one interval
+    joined = rows.withColumn("_d", F.min(found).over(Window.partitionBy(key, "_i")))
     ready = F.col("_d.frame") <= F.col("frame")
     return joined.select(
         key, "frame",

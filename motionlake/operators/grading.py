@@ -22,9 +22,9 @@ ALPHA_LIMIT = float(1 << 20)
 GRID = 201
 #: Steepnesses of the first pass, and steps between two of them in the second.
 RUNGS = (0.0, *(2.0**k for k in range(-2, 21)))
-STEPS = 16
+STEPS = 8
 #: Powers of the distance that are summed beside the exponential.
-POWERS = 6
+POWERS = 8
 #: Groups up to which their offsets are broadcast (some kilobytes each).
 BROADCAST_GROUPS = 4096
 
@@ -120,25 +120,26 @@ def _over_offsets(sums: pd.DataFrame, offsets: np.ndarray, powers: int) -> dict[
 
     Distances at or below an offset count as e = 1 in the first sum.
     """
-    out = {}
     names = [f"m{k}" for k in range(powers)]
-    for alpha, part in sums.groupby("alpha"):
-        own, n = np.zeros((len(offsets), powers)), np.zeros(len(offsets) + 1)
-        n[part["j"].to_numpy() + 1] = part["n"]
-        inside = part["j"].to_numpy() >= 0
-        own[part["j"].to_numpy()[inside]] = part[names].to_numpy(dtype=float)[inside]
-        above = np.zeros((len(offsets), powers))
-        after = np.zeros(powers)
-        for j in range(len(offsets) - 1, -1, -1):
-            if j + 1 < len(offsets):
-                gap = offsets[j + 1] - offsets[j]
-                shifted = [sum(math.comb(k, i) * gap ** (k - i) * after[i] for i in range(k + 1)) for k in range(powers)]
-                after = math.exp(-alpha * gap) * np.array(shifted)
-            after = after + own[j]
-            above[j] = after
-        above[:, 0] += np.cumsum(n)[:-1]
-        out[float(alpha)] = above
-    return out
+    alphas, row = np.unique(sums["alpha"].to_numpy(dtype=float), return_inverse=True)
+    j = sums["j"].to_numpy()
+    own, n = np.zeros((len(alphas), len(offsets), powers)), np.zeros((len(alphas), len(offsets) + 1))
+    n[row, j + 1] = sums["n"].to_numpy(dtype=float)
+    inside = j >= 0
+    own[row[inside], j[inside]] = sums[names].to_numpy(dtype=float)[inside]
+    # Binomial weights of (a + gap)**k in the powers of a.
+    weights = np.array([[math.comb(k, i) for i in range(powers)] for k in range(powers)], dtype=float)
+    lift = np.maximum(np.subtract.outer(np.arange(powers), np.arange(powers)), 0)
+    above = np.empty_like(own)
+    after = np.zeros((len(alphas), powers))
+    for at in range(len(offsets) - 1, -1, -1):
+        if at + 1 < len(offsets):
+            gap = offsets[at + 1] - offsets[at]
+            after = np.exp(-alphas * gap)[:, None] * (after @ (weights * gap**lift).T)
+        after = after + own[:, at]
+        above[:, at] = after
+    above[:, :, 0] += np.cumsum(n, axis=1)[:, :-1]
+    return {float(alpha): above[k] for k, alpha in enumerate(alphas)}
 
 
 def _octaves(offsets: pd.DataFrame, sums: pd.DataFrame, target: float, by: str) -> pd.DataFrame:

@@ -391,7 +391,8 @@ def normalize_pose(
     per-clip columns to carry along.
     """
     filled = fill_joints(joints, key)
-    frames = pack(mirror_left_right(filled, handedness), (key, "frame"), keep=[handedness, *keep])
+    # read three times below: for the axes, the bone lengths and the result
+    frames = settle(pack(mirror_left_right(filled, handedness), (key, "frame"), keep=[handedness, *keep]))
     search = basis == "first_valid"
     marked = _basis(frames, dims, search)
     if not search:
