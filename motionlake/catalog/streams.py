@@ -47,10 +47,10 @@ def _arriving(spark, rows, arrival):
     """
     folder = f"{scratch_folder(spark)}/arriving-{uuid.uuid4().hex}"
     rows = settle(rows.withColumn("_at", arrival))
-    nulls = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("clip_id", "ts", "_at")]
+    plain = [F.lit(1).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("clip_id", "ts", "_at")]
     step = ((rows.agg(F.max("_at")).first()[0] or 0) + 1) / ARRIVALS
     last = rows.agg(F.max("ts").alias("ts")).select(
-        F.lit(-1).cast(rows.schema["clip_id"].dataType).alias("clip_id"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), *nulls
+        F.lit(-1).cast(rows.schema["clip_id"].dataType).alias("clip_id"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), *plain
     )
     for k in range(ARRIVALS):
         low, high = k * step, (k + 1) * step if k + 1 < ARRIVALS else float("inf")

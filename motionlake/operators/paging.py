@@ -27,21 +27,17 @@ def write_pages(df: DataFrame, order: Sequence[str], path: str, rows: int = ROWS
     # An id counts on from a partition's start, which is a multiple of 2**33.
     placed = placed.withColumns({"_part": F.spark_partition_id(), "_at": F.pmod(F.monotonically_increasing_id(), F.lit(2**33))})
     placed.write.mode("overwrite").partitionBy("_part").parquet(f"{path}/rows")
+    # An empty table leaves no partition to read its columns from.
+    df.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
     spark = df.sparkSession
-    counts = _rows(spark, path, df).groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    schema = ", ".join([df.schema.toDDL(), "_at bigint", "_part int"])
+    counts = spark.read.schema(schema).parquet(f"{path}/rows").groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     # one row per partition of the stored table
     before = F.sum("n").over(Window.orderBy("_part")) - F.col("n")
     counts.withColumn("before", before).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
     return total
 
 
-def _rows(spark: SparkSession, path: str, df: DataFrame | None = None) -> DataFrame:
-    if df is None:
-        return spark.read.parquet(f"{path}/rows")
-    schema = ", ".join([df.schema.toDDL(), "_at bigint", "_part int"])
-    return spark.read.schema(schema).parquet(f"{path}/rows")
-
-
 def read_page(spark: SparkSession, path: str, offset: int, size: int = 200) -> DataFrame:
     """One page in order; the offset is clamped to the last row and floored to a page start."""
     index = spark.read.parquet(f"{path}/index")
@@ -49,10 +45,11 @@ def read_page(spark: SparkSession, path: str, offset: int, size: int = 200) -> D
     start = max(0, min(offset, max(0, total - 1))) // size * size
     # partitions of one page
     inside = index.where((F.col("before") < start + size) & (F.col("before") + F.col("n") > start)).collect()
-    rows = _rows(spark, path)
     if not inside:
-        return rows.limit(0).drop("_part", "_at")
+        return spark.read.parquet(f"{path}/columns")
+    folders = [f"{path}/rows/_part={r['_part']}" for r in inside]
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*folders)
     place = F.col("_at") + F.coalesce(*[F.when(F.col("_part") == r["_part"], r.before) for r in inside])
-    kept = rows.where(F.col("_part").isin(*[r["_part"] for r in inside])).withColumn("_place", place)
+    kept = rows.withColumn("_place", place)
     page = kept.where((F.col("_place") >= start) & (F.col("_place") < start + size))
     return page.orderBy("_place").drop("_part", "_at", "_place")
