@@ -20,8 +20,16 @@ from motionlake.streaming import progress
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def _table_stream(spark, sf_dir, name, schema):
+    """A table as a stream, whether it is one file or a folder of files.
+
+    A pattern in the last letter lets the source list either kind.
+    """
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def _events(spark, sf_dir):
-    stream = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = _table_stream(spark, sf_dir, "events", EVENT_SCHEMA)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -192,7 +200,7 @@ def w28(spark, sf_dir):
 @query("st4_annotation_upserts", ctes=(UPSERT_SQL,), sql="SELECT sample_id, seq, author, feedback FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY seq DESC, author DESC, feedback DESC) rn FROM ups) WHERE rn = 1")
 def st4(spark, sf_dir):
     folder = f"{scratch_folder(spark)}/upserts-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    stream = _table_stream(spark, sf_dir, "conversations", "conv_id bigint, turn bigint, role string, text string")
     writes = stream.select(F.col("conv_id").alias("sample_id"), F.col("turn").alias("seq"), F.col("role").alias("author"), F.col("text").alias("feedback"))
     run = (
         writes.writeStream.foreachBatch(J.latest_writer(f"{folder}/out", ["seq"]))

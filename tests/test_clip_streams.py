@@ -172,3 +172,22 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path, recordings):
     assert grades(both.where("batch = 5").select(want.columns)) == grades(want)
     twice = spark.read.parquet(target).where("batch = 6")
     assert sorted((r.clip_id, r.session) for r in twice.collect()) == [(3, 1), (3, 2), (4, 1)]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_table_streams_read_files_and_folders(spark, sf_dir, tmp_path, folder):
+    """A table may be one file or a folder of part files; both give all rows."""
+    from motionlake.catalog import entries
+
+    for name in ("conversations", "events"):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if folder:
+            rows.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    got = entries()["st4_annotation_upserts"].run(spark, str(tmp_path))
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    last = table.groupBy("conv_id").agg(F.max("turn").alias("seq")).collect()
+    assert sorted((r.sample_id, r.seq) for r in got.select("sample_id", "seq").collect()) == sorted(map(tuple, last))
+    events = entries()["st1_observation_stream"].run(spark, str(tmp_path))
+    assert events.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
