@@ -295,3 +295,26 @@ def test_training_pairs_point_experts_at_themselves(spark, bank):
     own = out.where("clip_id = expert_id")
     assert own.select("clip_id").distinct().count() == 20
     assert own.where("s <> t").count() == 0
+
+
+def test_bones_side_by_side_equal_one_after_the_other():
+    """Left and right bones that go together, and one clip against many, give the plain sweep."""
+    rng = np.random.default_rng(11)
+    source, targets = rng.normal(size=(T_, 17, 3)), rng.normal(size=(3, T_, 17, 3))
+    targets[1, 5, 7] = targets[1, 5, 5]  # a bone without length
+    moved = kernels.relax_to(kernels.joints_first(source[None]), kernels.joints_first(targets), 20)
+    for e in range(3):
+        assert np.allclose(np.moveaxis(moved[:, :, e], 2, 0), loop_relax(source, targets[e]), atol=1e-9)
+    assert sum(w for _, _, w in kernels._BONE_STEPS) == len(spec.BONES)
+
+
+def test_grid_meets_every_pair_once_with_few_copies(spark, monkeypatch):
+    """Above the broadcast limit the copies follow the cores, not the number of students."""
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    row = lambda name, n: spark.range(n).select(
+        F.lit("clear").alias("skill"), F.lit("left").alias("handedness"), F.lit(64).alias("frames"),
+        F.col("id").alias("_part"), F.col("id").alias(name),
+    )
+    met = M.join_blocks(row("s", 3000), row("e", 30), 1, 4)
+    assert met.count() == met.select("s", "e").distinct().count() == 3000 * 30
+    assert M.grid_side(spark) <= 4  # of 8 cores
