@@ -60,12 +60,14 @@ def _arriving(spark, rows, arrival):
     last = rows.agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast(rows.schema["clip_id"].dataType).alias("clip_id"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), *plain
     )
+    files = max(1, rows.sparkSession.sparkContext.defaultParallelism)
     for k in range(ARRIVALS):
         low, high = k * step, (k + 1) * step if k + 1 < ARRIVALS else float("inf")
         part = rows.where((F.col("_at") >= low) & (F.col("_at") < high)).drop("_at")
-        part.write.mode("append").parquet(folder)
+        part.repartition(files).write.mode("append").parquet(folder)
     last.select(*[c for c in rows.columns if c != "_at"]).write.mode("append").parquet(folder)
-    return J.read_stream(spark, folder, rows.drop("_at").schema.toDDL(), 8), f"{int(2 * step) + 5} seconds"
+    # a delivery is one batch: every batch visits the state of all clips
+    return J.read_stream(spark, folder, rows.drop("_at").schema.toDDL(), files), f"{int(2 * step) + 5} seconds"
 
 
 @query(

@@ -41,8 +41,12 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
-def _renew_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
-    for old in list(handle.listTimers()):
+def _bring_forward(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """One timer for the key, at ``at_ms`` or earlier; every call is a round trip, so none is spare."""
+    known = list(handle.listTimers())
+    if known and min(known) <= at_ms:
+        return
+    for old in known:
         handle.deleteTimer(old)
     handle.registerTimer(at_ms)
 
@@ -76,36 +80,42 @@ class OrderedFrames(StatefulProcessor):
                 self.buffer.appendList(list(part[self.COLUMNS].itertuples(index=False, name=None)))
                 first = min(int(part["us"].min()), first if first is not None else int(part["us"].min()))
         if first is not None:
-            known = [t for t in self.handle.listTimers()]
-            _renew_timer(self.handle, min([first // 1000 + 1, *known]))
+            _bring_forward(self.handle, first // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self.buffer.get()), columns=self.COLUMNS).drop_duplicates()
-        if held.empty:
+        # plain rows: a clip holds few of them, and data frame steps cost more than the rows
+        held = list({tuple(None if v != v else v for v in row): None for row in self.buffer.get()})
+        if not held:
             return
-        times = held.groupby("frame")["us"].max().sort_index()
-        open_frames = np.flatnonzero(times.to_numpy() // 1000 + 1 > watermark)
-        released = times.index[: open_frames[0]] if len(open_frames) else times.index
-        done = held["frame"].isin(released)
-        rest = held[~done]
+        times: dict[int, int] = {}
+        for frame, us, *_ in held:
+            times[frame] = max(us, times.get(frame, us))
+        order = sorted(times)
+        still = next((k for k, f in enumerate(order) if times[f] // 1000 + 1 > watermark), len(order))
+        released = set(order[:still])
+        rest = [row for row in held if row[0] not in released]
         self.buffer.clear()
-        if len(rest):
-            self.buffer.appendList(list(rest.itertuples(index=False, name=None)))
-            _renew_timer(self.handle, int(times.iloc[len(released)]) // 1000 + 1)
-        if not len(released):
+        if rest:
+            self.buffer.appendList(rest)
+            # the timer that fired was the only one, and the engine removes it
+            self.handle.registerTimer(times[order[still]] // 1000 + 1)
+        if not released:
             return
         number, _ = self.place.get() if self.place.exists() else (0, None)
-        out = held[done]
-        seen = {d: out[out["dims"] == d].groupby("frame")["joint"].agg(set) for d in (2, 3)}
-        kept = [f for f in released if all(f in seen[d].index and self.require <= seen[d][f] for d in (2, 3))]
-        self.place.update((number + len(kept), int(released[-1])))
+        done = [row for row in held if row[0] in released]
+        seen: dict[tuple[int, int], set[int]] = {}
+        for frame, _, dims, joint, *_ in done:
+            seen.setdefault((frame, dims), set()).add(joint)
+        kept = [f for f in order[:still] if all((f, d) in seen and self.require <= seen[f, d] for d in (2, 3))]
+        self.place.update((number + len(kept), int(order[still - 1])))
         numbers = dict(zip(kept, range(number, number + len(kept))))
-        out = out[out["frame"].isin(numbers.keys())].sort_values(["frame", "dims", "joint"])
-        if len(out):
-            new = out["frame"].map(numbers).astype("int32")
-            yield out.assign(**{KEY: key[0], "source_frame": out["frame"], "frame": new})[[KEY, "frame", "source_frame", *self.COLUMNS[2:]]]
+        out = [(key[0], numbers[r[0]], r[0], *r[2:]) for r in sorted(done, key=lambda r: (r[0], r[2], r[3])) if r[0] in numbers]
+        if out:
+            yield pd.DataFrame(out, columns=[KEY, "frame", "source_frame", *self.COLUMNS[2:]]).astype(
+                {"frame": "int32", **{c: "float64" for c in ("x", "y", "z", "score")}}
+            )
 
     def close(self) -> None:
         pass
@@ -154,8 +164,7 @@ class WholeClips(StatefulProcessor):
             self.buffer.appendList(list(clean.itertuples(index=False, name=None)))
             least = int(part["us"].min())
             first = least if first is None else min(first, least)
-        known = list(self.handle.listTimers())
-        _renew_timer(self.handle, min([self._due(first), *known]))
+        _bring_forward(self.handle, self._due(first))
         return iter([])
 
     def _due(self, us: int) -> int:
@@ -181,7 +190,7 @@ class WholeClips(StatefulProcessor):
         self.buffer.clear()
         if rest:
             self.buffer.appendList(rest)
-            _renew_timer(self.handle, self._due(int(end[~over][0])))
+            self.handle.registerTimer(self._due(int(end[~over][0])))
         if out:
             yield self._frame(out)
 

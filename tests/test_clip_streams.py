@@ -191,3 +191,25 @@ def test_table_streams_read_files_and_folders(spark, sf_dir, tmp_path, folder):
     assert sorted((r.sample_id, r.seq) for r in got.select("sample_id", "seq").collect()) == sorted(map(tuple, last))
     events = entries()["st1_observation_stream"].run(spark, str(tmp_path))
     assert events.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_a_timer_that_is_early_enough_costs_one_call():
+    calls = []
+
+    class Handle:
+        timers = [40]
+
+        def listTimers(self):
+            calls.append("list")
+            return iter(self.timers)
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+    C._bring_forward(Handle(), 50)
+    assert calls == ["list"]
+    C._bring_forward(Handle(), 30)
+    assert calls == ["list", "list", ("delete", 40), ("register", 30)]
