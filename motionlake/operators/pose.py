@@ -324,7 +324,8 @@ def _basis(frames: DataFrame, dims: int, search: bool) -> DataFrame:
     )
     base = base.selectExpr("*", "sqrt(_u0*_u0 + _u1*_u1 + _u2*_u2) AS _w")
     floor_ = "_w" if search else "greatest(_w, 1e-8D)"
-    base = base.selectExpr("*", *[f"_u{d} / {floor_} AS _x{d}" for d in range(3)])
+    # a degenerate frame has no axes: null, not an error, and never picked
+    base = base.selectExpr("*", *[f"try_divide(_u{d}, {floor_}) AS _x{d}" for d in range(3)])
     base = base.selectExpr("*", "_s0*_x0 + _s1*_x1 + _s2*_x2 AS _dot")
     base = base.selectExpr("*", *[f"_s{d} - _dot * _x{d} AS _t{d}" for d in range(3)])
     base = base.selectExpr("*", "sqrt(_t0*_t0 + _t1*_t1 + _t2*_t2) AS _h")
@@ -333,10 +334,10 @@ def _basis(frames: DataFrame, dims: int, search: bool) -> DataFrame:
         ok = "true"
     elif dims == 2:
         flat = ("-_x1", "_x0", "0.0D")
-        y = [f"CASE WHEN _h < 1e-8D THEN {flat[d]} ELSE _t{d} / _h END" for d in range(3)]
+        y = [f"CASE WHEN _h < 1e-8D THEN {flat[d]} ELSE try_divide(_t{d}, _h) END" for d in range(3)]
         ok = "_w >= 1e-8D"
     else:
-        y = [f"_t{d} / _h" for d in range(3)]
+        y = [f"try_divide(_t{d}, _h)" for d in range(3)]
         ok = "_w >= 1e-8D AND _h >= 1e-8D"
     base = base.selectExpr("*", *[f"{y[d]} AS _y{d}" for d in range(3)], f"({ok}) AS _ok")
     base = base.selectExpr(
