@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motionlake import spec
@@ -22,9 +21,6 @@ from motionlake.operators.matching import Model
 from motionlake.session import ship_package
 
 KEY = "clip_id"
-#: Source, target and source confidence of every joint.
-FEATURES = 7
-SHAPE = [spec.CLIP_FRAMES, spec.JOINTS, FEATURES]
 
 _SHARED: dict[str, Any] = {}
 
@@ -61,48 +57,98 @@ def map_shared(
     return df.mapInPandas(run, schema)
 
 
+def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole clips out of rows sorted by clip; a clip may span batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if rest is not None:
+            rows = pa.concat_tables([rest, rows])
+        if not rows.num_rows:
+            continue
+        keys = _codes(rows)
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield rows.slice(0, cut)
+        rest = rows.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def _codes(rows: pa.Table) -> np.ndarray:
+    """Number of the clip of every row, in order."""
+    keys = rows.column(KEY).combine_chunks().dictionary_encode("encode")
+    return keys.indices.to_numpy(zero_copy_only=False)
+
+
+def _places(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(take of every row, first row of every take): rows of a repeated frame are of further takes."""
+    clip, frame = _codes(rows), rows.column("frame").to_numpy()
+    if not len(clip):
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    new = np.concatenate([[True], (clip[1:] != clip[:-1]) | (frame[1:] != frame[:-1])])
+    at = np.arange(len(clip))
+    copy = at - np.maximum.accumulate(np.where(new, at, 0))
+    clips = int(clip[-1]) + 1
+    first = new & (np.bincount(clip[new], minlength=clips)[clip] == spec.CLIP_FRAMES) & (frame >= 0) & (frame < spec.CLIP_FRAMES)
+    short = np.flatnonzero(np.bincount(clip[first], minlength=clips) != spec.CLIP_FRAMES)
+    if len(short):
+        raise ValueError(f"clip {rows.column(KEY)[int(np.searchsorted(clip, short[0]))].as_py()} does not have {spec.CLIP_FRAMES} frames")
+    takes = np.zeros(clips, dtype=int)
+    np.maximum.at(takes, clip, copy + 1)
+    start = np.concatenate([[0], np.cumsum(takes)])
+    # frames that a further take lacks are those of the first
+    source = np.repeat(at[new].reshape(clips, -1), takes, axis=0)
+    take = start[clip] + copy
+    source[take, frame] = at
+    return take, source
+
+
+def _numbers(rows: pa.Table, name: str, size: int) -> np.ndarray:
+    values = rows.column(name).combine_chunks().flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    return values.astype(np.float32).reshape(len(rows), spec.JOINTS, size)
+
+
 def session_model(name: str, load: Callable[[], Session], clips_per_batch: int = 1) -> Model:
     """A correction model out of an inference session that every Python worker loads once.
 
     The session gets float32 features (clips, 64, 17, 7) under the name of its first input
     and returns (clips, 64, 17, 3); a session with a fixed batch of one clip is the default.
     Clips need 64 frames; confidences that are missing count as 0 and so do coordinates.
+    Rows of a repeated frame are further takes of the clip, each with its own prediction.
     The result is the table with the predicted pose ``m``, for ``correct_clips(model=...)``.
-    """
 
-    joint = "concat(slice(r.s, 3*j+1, 3), slice(r.t, 3*j+1, 3), array(r.own_c[j]))"
-    flat = f"flatten(flatten(transform(_f, r -> transform(sequence(0, {spec.JOINTS - 1}), j -> {joint}))))"
-    size = spec.JOINTS * 3
+    Frames reach the worker as rows sorted by clip, so a batch is bounded whatever a clip or
+    a partition holds.
+    """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for rows in _clips(batches):
             session = shared(name, load)
             first = session.get_inputs()[0].name
-            features = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, *SHAPE)
-            found = []
-            for at in range(0, len(features), clips_per_batch):
-                part = np.ascontiguousarray(features[at : at + clips_per_batch], dtype=np.float32)
+            take, source = _places(rows)
+            features = np.concatenate([_numbers(rows, "s", 3), _numbers(rows, "t", 3), _numbers(rows, "own_c", 1)], axis=2)
+            poses = np.empty((len(rows), spec.JOINTS * 3))
+            place = rows.column("frame").to_numpy()
+            order = np.argsort(take, kind="stable")
+            ends = np.searchsorted(take[order], np.arange(len(source) + 1))
+            for at in range(0, len(source), clips_per_batch):
+                part = np.ascontiguousarray(features[source[at : at + clips_per_batch]])
                 out = np.asarray(session.run(None, {first: part})[0], dtype=np.float32)
                 want = (len(part), spec.CLIP_FRAMES, spec.JOINTS, 3)
                 if out.shape != want:
                     raise ValueError(f"the model returned {out.shape} instead of {want}")
-                found.append(out.reshape(len(part), -1))
-            poses = pa.array(list(np.concatenate(found).astype(np.float64)), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("_f"), poses], names=[KEY, "_f", "_m"])
+                own = order[ends[at] : ends[min(at + clips_per_batch, len(source))]]
+                poses[own] = out[take[own] - at, place[own]].reshape(len(own), -1)
+            offsets = pa.array(np.arange(0, poses.size + 1, spec.JOINTS * 3, dtype=np.int32))
+            found = rows.append_column("m", pa.ListArray.from_arrays(offsets, pa.array(poses.ravel())))
+            yield from found.combine_chunks().to_batches()
 
     def model(rows: DataFrame) -> DataFrame:
         ship_package(rows.sparkSession)
-        # 64 frames of one clip
-        entry = F.struct("frame", *[c for c in rows.columns if c not in (KEY, "frame")])
-        clips = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(entry)).alias("_f"))
-        features = F.transform(F.expr(flat), lambda v: F.coalesce(v, F.lit(0.0)).cast("float"))
-        schema = T.StructType([*clips.schema.fields, T.StructField("_m", T.ArrayType(T.DoubleType()))])
-        predicted = clips.withColumn("features", features).mapInArrow(predict, schema)
-        each = predicted.select(KEY, "_m", F.posexplode("_f").alias("_i", "_r"))
-        m = F.slice("_m", F.col("_i") * size + 1, F.lit(size))
-        return each.select(KEY, "_r.*", m.alias("m")).select(*rows.columns, "m")
+        ordered = rows.repartition(KEY).sortWithinPartitions(KEY, "frame", "s", "t", "own_c")
+        schema = T.StructType([*rows.schema.fields, T.StructField("m", T.ArrayType(T.DoubleType()))])
+        return ordered.mapInArrow(predict, schema)
 
     return model
 

@@ -108,3 +108,29 @@ def test_any_object_is_shared_by_name(spark, tmp_path):
         out = models.map_shared(df, "id bigint", f"three-{folder}", load, lambda three, batch: batch * three)
         assert out.agg(F.sum("id")).first()[0] == 3 * 999 * 500
     assert set(lines(tmp_path, "load").values()) == {1}
+
+
+class Poses(Identity):
+    """Returns the target pose."""
+
+    def run(self, outputs, feed):
+        return [feed["features"][..., 3:6]]
+
+
+def test_clips_that_share_a_number_and_span_batches(spark, tmp_path):
+    """A number given to two recordings, the second a short one: every row gets a prediction."""
+    rng = np.random.default_rng(5)
+    rows = [(k, f, p.tolist(), (p + 1).tolist(), [1.0] * 17) for k, n in ((1, 64), (1, 20), (2, 64), (3, 64), (3, 64)) for f in range(n) for p in [rng.normal(size=51)]]
+    table = spark.createDataFrame(rows, "clip_id int, frame int, s array<double>, t array<double>, own_c array<double>").repartition(7)
+    folder = str(tmp_path)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for limit, per_batch in ((size, 2), (50, 1), (50, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+        try:
+            out = models.session_model(f"poses-{folder}-{per_batch}", lambda: Poses(folder), per_batch)(table).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert len(out) == len(rows) and all(np.allclose(np.array(r.s) + 1, r.m, atol=1e-5) for r in out)
+    short = models.session_model(f"short-{folder}", lambda: Poses(folder))(table.where("clip_id <> 2 OR frame <> 5"))
+    with pytest.raises(Exception, match="clip 2 does not have 64 frames"):
+        short.collect()
