@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from motionlake.llm import lines, mixing, overlap, pieces, quality  # noqa: E402
+from motionlake.llm import lines, mixing, overlap, pieces, quality, simhash  # noqa: E402
 from motionlake.session import settle  # noqa: E402
 
 #: Near duplicates: shingles of five words, similarity ``overlap.LEAST`` or more.
 SHINGLE_WORDS = 5
+#: Bits in which SimHash candidates differ at most.
+RADIUS = 2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    return overlap.distinct_documents(docs, SHINGLE_WORDS)
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    SimHash groups give the first candidates, minimum hashes those out of its reach; an
+    exact comparison of the shingles decides about both.
+    """
+    return overlap.distinct_documents(docs, SHINGLE_WORDS, simhash.grouped(docs, SHINGLE_WORDS, RADIUS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Candidates: ``BANDS`` keys of ``ROWS`` minimum hashes each. A pair of similarity s shares a
 key with probability ``1 - (1 - s**ROWS)**BANDS``: all but about 3 in a million at 0.8, and
-fewer above. No candidate counts by its key alone: the sets of 64-bit shingle hashes of both
-texts are compared, and a link is a similarity of ``LEAST`` or more.
+fewer above. SimHash groups, where given, come first: every member is a candidate with the
+least node of its group, and what they link is not asked again. No candidate counts by its
+key or group alone: the sets of 64-bit shingle hashes of both texts are compared, and a link
+is a similarity of ``LEAST`` or more.
 
 A bucket never yields its pairs. In ``HUB_ROUNDS`` rounds every node is compared with one other
 node, the smallest least member of its buckets that is not yet of its component; a hub meets
@@ -236,19 +238,34 @@ def _blocks(members: DataFrame) -> DataFrame:
     return rows.select("t", "v", block.alias("block"), "node", "label", "chunk")
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def _close(classes: DataFrame, similar: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the least node of a SimHash group and every other one."""
+    groups = similar.groupBy("key", "version").agg(F.first("group").alias("group"))
+    nodes = classes.select("node", "least.key", "least.version").join(groups, ["key", "version"])
+    hubs = nodes.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+    return nodes.join(hubs, "group").where("node <> a").select("a", F.col("node").alias("b"))
+
+
+def links(classes: DataFrame, docs: DataFrame, size: int, similar: DataFrame | None = None) -> DataFrame:
     """Edges ``a, b`` between distinct nodes that span every component."""
     rows = classes.select(F.posexplode("bands").alias("t", "v"), "node", "size")
     shared = rows.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = settle(rows.join(shared, ["t", "v"]).withColumn("label", F.col("node")))
-    needed = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "least.key", "least.version")
+    close = None if similar is None else settle(_close(classes, similar))
+    compared = buckets.select("node")
+    if close is not None:
+        compared = compared.unionByName(close.select(F.explode(F.array("a", "b")).alias("node")))
+    needed = classes.join(compared.distinct(), "node", "left_semi").select("node", "least.key", "least.version")
     texts = _keyed(docs).join(needed, ["key", "version"]).groupBy("node").agg(F.first("text").alias("text"))
     sets = settle(texts.mapInArrow(partial(_hash_sets, size=size), "node bigint, set array<bigint>"))
     edges = None
-    for _ in range(HUB_ROUNDS):
-        hubs = buckets.groupBy("t", "v").agg(F.min(F.struct("label", "node")).alias("hub"))
-        asked = buckets.join(hubs, ["t", "v"]).where("label <> hub.label")
-        pairs = asked.groupBy(F.col("node").alias("b")).agg(F.min("hub.node").alias("a"))
+    for given in [*([] if close is None else [close]), *[None] * HUB_ROUNDS]:
+        if given is not None:
+            pairs = given
+        else:
+            hubs = buckets.groupBy("t", "v").agg(F.min(F.struct("label", "node")).alias("hub"))
+            asked = buckets.join(hubs, ["t", "v"]).where("label <> hub.label")
+            pairs = asked.groupBy(F.col("node").alias("b")).agg(F.min("hub.node").alias("a"))
         found = _to_hubs(pairs, sets)
         edges = found if edges is None else edges.unionByName(found)
         labels = connected_components(edges).withColumnRenamed("component", "to")
@@ -261,8 +278,12 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return edges.unionByName(across)
 
 
-def distinct_documents(docs: DataFrame, size: int) -> DataFrame:
-    """One whole row of every group: the one with the smallest id (then text digest)."""
+def distinct_documents(docs: DataFrame, size: int, similar: DataFrame | None = None) -> DataFrame:
+    """One whole row of every group: the one with the smallest id (then text digest).
+
+    ``similar`` (key, version, group) are SimHash groups of the same rows, as
+    ``simhash.grouped`` gives them.
+    """
     ship_package(docs.sparkSession)
     schema = "key bigint, version bigint, node bigint, bands array<bigint>, size bigint"
     prints = _keyed(docs).mapInArrow(partial(_prints, size=size), schema)
@@ -271,7 +292,7 @@ def distinct_documents(docs: DataFrame, size: int) -> DataFrame:
             F.min(F.struct("key", "version")).alias("least"), F.first("bands").alias("bands"), F.first("size").alias("size")
         )
     )
-    found = connected_components(links(classes, docs, size))
+    found = connected_components(links(classes, docs, size, similar))
     group = F.coalesce("component", classes.node)
     winners = classes.join(found, classes.node == found.node, "left").groupBy(group.alias("group")).agg(F.min("least").alias("w"))
     winners = winners.select(F.col("w.key").alias("key"), F.col("w.version").alias("version"))

@@ -1,13 +1,19 @@
 """Near duplicates of the pipeline against all pairs in plain Python."""
 
 import random
+import sys
 
 import brute
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from motionlake.llm import overlap
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def test_near_dedup_takes_every_pair_from_a_similarity_of_0_8(spark):
     rng = random.Random(8)
@@ -75,3 +81,27 @@ def test_odd_rows(spark):
     rows = corpus_pipeline.near_dedup(spark, table, "/nowhere").collect()
     assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted([(1, None), (4, "one two"), (6, long), (8, docs[8][1]), (9, docs[11][1]), (10, docs[12][1]), (None, "other")], key=repr)
     assert corpus_pipeline.near_dedup(spark, table.limit(0), "/nowhere").count() == 0
+
+
+def test_simhash_groups_are_candidates_and_the_similarity_decides(spark, monkeypatch):
+    """Without minimum hashes the pairs within two bits are still found, and only similar ones."""
+    monkeypatch.setattr(overlap, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(overlap, "_in_blocks", _no_blocks)
+    rng = random.Random(3)
+    docs = []
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] + [f"x{k}"]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    near = [k for k in range(40) if (brute.print_of(docs[2 * k][1], 5) ^ brute.print_of(docs[2 * k + 1][1], 5)).bit_count() <= 2]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "/nowhere").collect()}
+    assert len(near) > 10 and got == set(range(80)) - {2 * k + 1 for k in near}
+    monkeypatch.undo()
+    version = table.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("version"), F.lit(0).alias("group"))
+    found = overlap.distinct_documents(table, 5, version)  # all of them one group: no link by that alone
+    assert sorted(r.doc_id for r in found.collect()) == brute.similar_groups(docs) == list(range(0, 80, 2))
+
+
+def _no_blocks(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
