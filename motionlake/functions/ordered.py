@@ -29,20 +29,20 @@ def value_block(value: Column, bits: int = BLOCK_BITS) -> Column:
     n = 1 << bits
     value = value.cast("double")
     endless = F.isnan(value) | (F.abs(value) == float("inf"))
-    # The arithmetic below never sees a value without a finite logarithm.
+    # The arithmetic below never sees a value without a finite logarithm. It stands outside
+    # the conditions so that Spark evaluates its repeated parts once a row.
     size = F.when(endless | (value == 0), F.lit(1.0)).otherwise(F.abs(value))
     outermost = 4096 * n
     exponent = F.floor(F.log2(size))
     place = (exponent + 1100) * n + F.floor(size / F.pow(F.lit(2.0), exponent) * n)
-    return (
+    sign = F.when(endless, 0).when(value > 0, 1).when(value < 0, -1).otherwise(0)
+    special = (
         F.when(F.isnan(value), outermost + 1)
         .when(value == float("inf"), outermost)
         .when(value == float("-inf"), -outermost)
-        .when(value > 0, place)
-        .when(value < 0, -place)
-        .otherwise(F.lit(0))
-        .cast("bigint")
+        .otherwise(0)
     )
+    return F.coalesce(special + sign * place, F.lit(0)).cast("bigint")
 
 
 def running_totals(
@@ -85,6 +85,43 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
+#: Rows of a value block up to which one task ranks them one by one.
+BLOCK_ROWS = 1 << 20
+#: Blocks over which rows without a value are spread.
+NULL_BLOCKS = 1 << 12
+
+
+def with_average_ranks(
+    df: DataFrame, by: Sequence[str], value: str, name: str, same_rows: DataFrame | None = None
+) -> DataFrame:
+    """``df`` with the 1-based average rank of ``value`` in its group; null without a value.
+
+    Rows move once, to the task of their (group, value block), and are ranked there. Larger
+    blocks than ``BLOCK_ROWS`` are compressed to counts per value instead, so copies of one value
+    never pile up in one task. ``same_rows`` is a table with the same groups and values that
+    costs less to read again.
+    """
+    by = list(by)
+    keys = [*by, "_block"]
+    has = F.col(value).isNotNull()
+    block = value_block(F.col(value))
+    values = (df if same_rows is None else same_rows).where(has).select(*by, value, block.alias("_block"))
+    blocks = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    order = Window.partitionBy(*by).orderBy("_block")
+    offsets = blocks.withColumn("_offset", F.sum("_size").over(order) - F.col("_size"))
+    large = F.broadcast(offsets.where(F.col("_size") > BLOCK_ROWS).drop("_size"))
+    outside = F.lit(1 << 40) + F.pmod(F.xxhash64(*df.columns), F.lit(NULL_BLOCKS))
+    rows = df.withColumn("_block", F.when(has, block).otherwise(outside))
+    inside = Window.partitionBy(*keys).orderBy(value)
+    # The default frame ends with the last copy of a value.
+    rank = (F.rank().over(inside) + F.count(F.lit(1)).over(inside)) / F.lit(2.0)
+    light = rows.join(large, keys, "left_anti").withColumn("_rank", rank).join(offsets.drop("_size"), keys, "left")
+    ranks = average_ranks(values.join(large.select(*keys), keys), keys, value).select(*keys, value, F.col("rank").alias("_rank"))
+    heavy = rows.join(large, keys).join(ranks, [*keys, value])
+    columns = [*df.columns, (F.col("_offset") + F.col("_rank")).alias(name)]
+    return light.select(*columns).unionByName(heavy.select(*columns))
+
+
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float], amount: Column | None = None
 ) -> DataFrame:

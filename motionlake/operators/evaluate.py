@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.functions.columns import finite
-from motionlake.functions.ordered import average_ranks, exact_percentiles
+from motionlake.functions.ordered import exact_percentiles, with_average_ranks
 from motionlake.operators import matching as M
 from motionlake.operators.grading import separation_auc
 
@@ -36,26 +36,32 @@ def expert_variability(bank: DataFrame, quantile: float = 0.95, by: str = "skill
     return rows.select(by, count.alias("count"), *measured, error.alias("error"))
 
 
+def _rank_sums() -> list[Column]:
+    """Sums over the ranks ``_ra`` and ``_rb`` of rows that have both."""
+    both = F.col("_ra").isNotNull() & F.col("_rb").isNotNull()
+    x, y = F.when(both, F.col("_ra")), F.when(both, F.col("_rb"))
+    products = {"_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y}
+    return [F.count(F.when(both, 1)).alias("_n"), *[F.sum(p).alias(name) for name, p in products.items()]]
+
+
+def _rank_correlation() -> Column:
+    n = F.col("_n")
+    vx = F.col("_xx") - F.col("_x") * F.col("_x") / n
+    vy = F.col("_yy") - F.col("_y") * F.col("_y") / n
+    cov = F.col("_xy") - F.col("_x") * F.col("_y") / n
+    return F.when((n >= 3) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+
+
+def _ranked(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
+    """Rows with the average ranks ``_ra`` and ``_rb`` of two values: two moves of the rows."""
+    return with_average_ranks(with_average_ranks(df, by, a, "_ra"), by, b, "_rb", df)
+
+
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     """Rank correlation per group; null below three rows or with a constant side."""
     by = list(by)
-    ra = average_ranks(df, by, a).select(*by, a, F.col("rank").alias("_ra"))
-    rb = average_ranks(df, by, b).select(*by, b, F.col("rank").alias("_rb"))
-    pairs_ = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = pairs_.join(ra, [*by, a]).join(rb, [*by, b])
-    n, x, y = F.col("_n"), F.col("_ra"), F.col("_rb")
-    s = ranked.groupBy(*by).agg(
-        F.sum(n).alias("n"),
-        F.sum(n * x).alias("sx"),
-        F.sum(n * y).alias("sy"),
-        F.sum(n * x * x).alias("sxx"),
-        F.sum(n * y * y).alias("syy"),
-        F.sum(n * x * y).alias("sxy"),
-    )
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    return s.select(*by, F.when((F.col("n") >= 3) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("spearman"))
+    sums = _ranked(df.select(*by, a, b), a, b, by).groupBy(*by).agg(*_rank_sums())
+    return sums.where("_n > 0").select(*by, _rank_correlation().alias("spearman"))
 
 
 # --- source comparison --------------------------------------------------------------
