@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motionlake.functions.columns import finite
 from motionlake.functions.ordered import exact_percentiles, with_average_ranks
 from motionlake.operators import matching as M
-from motionlake.operators.grading import separation_auc
+from motionlake.session import settle
 
 KEY = "clip_id"
 
@@ -168,32 +168,42 @@ def grading_summary(rows: DataFrame, by: Sequence[str] = ("candidate",), part: s
     """Agreement of candidate grades with the oracle per part and over all.
 
     Needs label, split, total_score, oracle_total_score and criterion_score_mae.
-    Calibration rows only feed the calibration mean.
+    Calibration rows only feed the calibration mean. The rows are written out once, because
+    means and ranks read them; one pair of ranks gives both the correlation and the AUC.
     """
     keys = [*by, part]
-    both = rows.withColumn(part, F.explode(F.array(F.col(part), F.lit("all"))))
-    calibrating = F.col("split") == "calibration"
-    test = both.where(~calibrating)
-    error = F.abs(F.col("total_score") - F.col("oracle_total_score"))
-    of = lambda label: F.when(F.col("label") == label, F.col("total_score"))
-    base = test.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("test_samples"),
-        F.sum((F.col("label") == "experts").cast("int")).alias("test_experts"),
-        F.sum((F.col("label") == "beginners").cast("int")).alias("test_beginners"),
-        F.avg(error).alias("total_score_mae"),
-        F.avg("criterion_score_mae").alias("criterion_score_mae"),
+    score, oracle = F.col("total_score"), F.col("oracle_total_score")
+    columns = [*keys, "label", "split", "total_score", "oracle_total_score", "criterion_score_mae"]
+    both = settle(rows.select(*columns)).withColumn(part, F.explode(F.array(F.col(part), F.lit("all"))))
+    tested = F.col("split") != "calibration"
+    in_test = lambda c: F.when(tested, c)
+    of = lambda label: F.when(tested & (F.col("label") == label), score)
+    base = both.groupBy(*keys).agg(
+        F.count(in_test(F.lit(1))).alias("test_samples"),
+        F.sum(in_test((F.col("label") == "experts").cast("int"))).alias("test_experts"),
+        F.sum(in_test((F.col("label") == "beginners").cast("int"))).alias("test_beginners"),
+        F.avg(in_test(F.abs(score - oracle))).alias("total_score_mae"),
+        F.avg(in_test(F.col("criterion_score_mae"))).alias("criterion_score_mae"),
         F.avg(of("experts")).alias("expert_score_mean"),
         F.avg(of("beginners")).alias("beginner_score_mean"),
+        F.avg(F.when(~tested, score)).alias("calibration_beginner_score_mean"),
+    ).where("test_samples > 0")
+    values = both.where(tested).select(*keys, "total_score", "oracle_total_score", (F.col("label") == "beginners").alias("_pos"))
+    # Lower scores come first in the AUC: ranks turn round, except those of NaN, which stays last.
+    seen, pos, nan = F.col("_ra").isNotNull(), F.col("_pos"), F.isnan("total_score")
+    sums = _ranked(values, "total_score", "oracle_total_score", keys).groupBy(*keys).agg(
+        *_rank_sums(),
+        F.count(F.when(seen & pos, 1)).alias("_np"),
+        F.count(F.when(seen & ~pos, 1)).alias("_nn"),
+        F.count(F.when(nan, 1)).alias("_nan"),
+        F.count(F.when(pos & seen & ~nan, 1)).alias("_turned"),
+        F.sum(F.when(pos, F.when(nan, F.col("_ra")).otherwise(-F.col("_ra")))).alias("_r"),
     )
-    calibration_mean = both.where(calibrating).groupBy(*keys).agg(
-        F.avg("total_score").alias("calibration_beginner_score_mean")
-    )
-    rank = spearman(test, "total_score", "oracle_total_score", keys).withColumnRenamed("spearman", "score_spearman")
-    lowered = test.withColumn("_v", -F.col("total_score"))
-    auc = separation_auc(lowered, "_v", F.col("label") == "beginners", keys).withColumnRenamed("auc", "expert_beginner_auc")
-    return (
-        base.join(rank, keys, "left").join(auc, keys, "left").join(calibration_mean, keys, "left")
-    )
+    np_, nn = F.col("_np"), F.col("_nn")
+    lowered = F.col("_turned") * (np_ + nn - F.col("_nan") + 1) + F.col("_r")
+    auc = F.when((np_ > 0) & (nn > 0), (lowered - np_ * (np_ + 1) / 2.0) / (np_ * nn))
+    ranks = sums.select(*keys, F.when(F.col("_n") > 0, _rank_correlation()).alias("score_spearman"), auc.alias("expert_beginner_auc"))
+    return base.join(ranks, keys, "left")
 
 
 def expected_counts(manifest: DataFrame, calibration_keys: DataFrame, on: Sequence[str], part: str = "skill") -> DataFrame:

@@ -40,6 +40,32 @@ def test_average_ranks_of_rows_whatever_the_blocks(spark, monkeypatch, block_row
         assert [got[g, i] for i in range(90)] == _ranks([v for h, _, v in rows if h == g])
 
 
+@pytest.mark.parametrize("block_rows", [3, 1 << 20])
+def test_grading_summary_equals_plain_ranks(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", block_rows)
+    a, b = _values(3, 80), _values(4, 80)
+    label = ["experts" if i % 3 else "beginners" for i in range(80)]
+    split = ["calibration" if i % 3 == 0 and i % 5 == 0 else "test" for i in range(80)]
+    a[6] = math.nan
+    rows = [(1, "lift" if i % 2 else "clear", label[i], split[i], a[i], b[i], 0.5) for i in range(80)]
+    df = spark.createDataFrame(rows, "candidate int, skill string, label string, split string, total_score double, oracle_total_score double, criterion_score_mae double")
+    got = {r.skill: r for r in E.grading_summary(df).collect()}
+    assert set(got) == {"lift", "clear", "all"}
+    for skill, row in got.items():
+        test = [r for r in rows if r[3] == "test" and skill in (r[1], "all")]
+        ra, rb = _ranks([r[4] for r in test]), _ranks([r[5] for r in test])
+        x, y = zip(*[(p, q) for p, q in zip(ra, rb) if p is not None and q is not None])
+        assert row.score_spearman == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+        lowered = _ranks([None if r[4] is None else -r[4] for r in test])
+        pos = [k for k, r in zip(lowered, test) if k is not None and r[2] == "beginners"]
+        neg = [k for k, r in zip(lowered, test) if k is not None and r[2] == "experts"]
+        wins = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg)
+        assert row.expert_beginner_auc == pytest.approx(wins / len(pos) / len(neg), abs=1e-12)
+        assert row.test_samples == len(test) and row.test_beginners == sum(r[2] == "beginners" for r in test)
+    cal = [r[4] for r in rows if r[3] == "calibration" and r[4] is not None]
+    assert got["all"].calibration_beginner_score_mean == pytest.approx(np.mean(cal))
+
+
 def test_rank_correlation_moves_its_rows_twice(spark):
     """One move a value; the earlier plan joined every row with both rank tables on its value."""
     df = spark.range(20000).select(F.lit(1).alias("g"), F.rand(1).alias("a"), F.rand(2).alias("b"))
