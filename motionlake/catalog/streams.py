@@ -228,9 +228,11 @@ def c17_stream(spark, sf_dir):
     samples, saved = settle(samples), settle(saved)
     folder = f"{scratch_folder(spark)}/progress-{uuid.uuid4().hex}"
     blank = [F.lit(None).cast(saved.schema[c].dataType).alias(c) for c in saved.columns if c != "sample_id"]
+    writer = progress.progress_writer(f"{folder}/out", samples, ["seq"])
     for seq, part in enumerate((saved.where("sample_id % 3 = 0").select("sample_id", *blank), saved)):
-        part.withColumn("seq", F.lit(seq)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = J.read_stream(spark, f"{folder}/in", saved.withColumn("seq", F.lit(0)).schema.toDDL(), 1)
-    sink = stream.writeStream.foreachBatch(progress.progress_writer(f"{folder}/out", samples, ["seq"]))
-    sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        # A delivery is as many files as its rows have parts; the stream goes on where it stopped.
+        part.withColumn("seq", F.lit(seq)).write.mode("append").parquet(f"{folder}/in")
+        stream = J.read_stream(spark, f"{folder}/in", saved.withColumn("seq", F.lit(0)).schema.toDDL())
+        sink = stream.writeStream.foreachBatch(writer)
+        sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return progress.read_progress(spark, f"{folder}/out")
