@@ -3,10 +3,11 @@
 Students and experts of one (skill, handedness, clip length) meet as *blocks*: a row holds
 up to BLOCK students or CHUNK experts as flat arrays, so what crosses into Python per
 student falls by the block size, and a kernel returns one best expert per student. The
-expert table is broadcast while its measured size is small, else blocks and chunks of a
-group meet in the cells of a square grid, so one hot group is spread over many tasks and
-either side is copied once per grid side, however large it is. Every expert is compared either way, and clips that cannot be compared come back as
-error rows (:func:`match_errors`).
+expert table is broadcast while its measured size is small, else the frames of a group
+move once, to the cells of a grid where they are packed and meet. A group's part of the
+cells follows its share of the pairs, so one hot group is spread over many tasks and the
+copies follow the cores, however large either side is. Every expert is compared either way,
+and clips that cannot be compared come back as error rows (:func:`match_errors`).
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ BLOCK = 32
 BROADCAST_BYTES = 64 << 20
 #: Copies of either side at most when blocks and chunks meet in a grid.
 MAX_SIDE = 32
+#: Cells of all groups' grids, and the partitions they are hashed to.
+CELLS_PER_CORE = 2
+PARTITIONS_PER_CELL = 16
+MAX_PARTITIONS = 4096
 #: Parts a popular expert's frames are dealt into when students join their expert.
 SPREAD = 16
 GROUP = ("skill", "handedness")
@@ -76,21 +81,24 @@ def clip_rows(frames: DataFrame, keep: Sequence[str] = GROUP, key: str = KEY) ->
     )
 
 
-def largest_group(clips: DataFrame, group: Sequence[str]) -> int:
-    """Clips of the largest group of a frame table."""
-    sizes = clips.groupBy(*group).agg(F.count_distinct(KEY).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def group_sizes(students: DataFrame, bank: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Clips of either side of every group that has both: (group, students, experts)."""
+    count = lambda t, name: t.groupBy(*group).agg(F.count_distinct(KEY).alias(name))
+    return count(students, "students").join(count(bank, "experts"), list(group))
 
 
-def packed(clips: DataFrame, size: int, count: int, group: Sequence[str], prefix: str, key: str = KEY) -> DataFrame:
-    """Clips packed about ``size`` to a row by hash; a row holds clips of one group and length.
+def parted(frames: DataFrame, sizes: DataFrame, count: str, size: int, group: Sequence[str], key: str = KEY) -> DataFrame:
+    """Frames with the pack ``_part`` of their clip: packs hold about ``size`` clips of a group, by hash."""
+    parts = F.ceil(F.col(count) / F.lit(size))
+    known = frames.join(F.broadcast(sizes.select(*group, count)), list(group))
+    return known.select(key, *group, "frame", "p", "c", F.pmod(F.xxhash64(key), parts).alias("_part"))
 
-    ``count`` is the number of clips of the largest group.
-    """
-    parts = max(1, -(-count // size))
+
+def packed(frames: DataFrame, group: Sequence[str], prefix: str, key: str = KEY) -> DataFrame:
+    """Clips of a frame table packed to rows by ``_part``; a row holds clips of one group and length."""
     entry = F.struct(F.col(key).alias("id"), "seq", "conf")
     return (
-        clips.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
+        clip_rows(frames, [*group, "_part"], key)
         .groupBy(*group, "frames", "_part")
         .agg(F.array_sort(F.collect_list(entry)).alias("_e"))
         .select(
@@ -110,26 +118,66 @@ def bank_size(bank: DataFrame) -> tuple[int, int]:
     return row.n, row.bytes or 0
 
 
+def grid_cells(spark: SparkSession) -> int:
+    """Cells of all grids together, about: they follow the cores, not the clips."""
+    return CELLS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
 def grid_side(spark: SparkSession) -> int:
-    """Side of the grid of cells one group is spread over: it follows the cores, not the clips."""
-    return min(MAX_SIDE, math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
+    """Side of the square grid that one group would have alone."""
+    return min(MAX_SIDE, math.ceil(math.sqrt(grid_cells(spark))))
 
 
-def join_blocks(blocks: DataFrame, chunks: DataFrame, bank_bytes: int, spread: int, group: Sequence[str] = GROUP) -> DataFrame:
+def grid_sides(sizes: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """Rows and columns of every group's grid: (group, _rows, _cols).
+
+    A group gets its share of the cells by its pairs of clips. Students are copied once per
+    column and experts once per row, so the smaller side gets the more copies.
+    """
+    pairs = F.col("students") * F.col("experts")
+    total = sizes.agg(F.sum(pairs)).first()[0] or 1
+    cells = F.ceil(pairs / F.lit(total) * grid_cells(sizes.sparkSession))
+    cols = F.greatest(F.ceil(F.sqrt(cells * F.col("experts") / F.col("students"))), F.ceil(cells / F.lit(MAX_SIDE)))
+    most = lambda n, size: F.least(F.ceil(F.col(n) / F.lit(size)), F.lit(MAX_SIDE).cast("bigint"))
+    return sizes.withColumn("_cols", F.least(cols, most("experts", CHUNK))).select(
+        *group, F.least(F.ceil(cells / F.col("_cols")), most("students", BLOCK)).alias("_rows"), "_cols"
+    )
+
+
+def in_cells(rows: DataFrame, own: str, other: str, sides: DataFrame, spread: int, group: Sequence[str] = GROUP) -> DataFrame:
+    """Rows in the cells (_row, _col) of their group's grid: ``own`` follows the pack, ``other`` takes every value."""
+    line = F.pmod("_part", F.col(f"{own}s")).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}s").cast("int") - 1))
+    dealt = rows.join(F.broadcast(sides), list(group)).withColumn(own, line).withColumn(other, copies)
+    return dealt.drop("_rows", "_cols").repartition(spread, *group, "_row", "_col")
+
+
+def join_blocks(
+    blocks: DataFrame,
+    chunks: DataFrame,
+    bank_bytes: int,
+    spread: int,
+    group: Sequence[str] = GROUP,
+    sides: DataFrame | None = None,
+    pack: Callable[[DataFrame, Sequence[str], str], DataFrame] = lambda rows, group, prefix: rows,
+) -> DataFrame:
     """Student blocks x the expert chunks of their group; broadcast only below a measured size.
 
-    Above it a block meets its chunks in the cells (_row, _col) of its row of the grid, in
-    ``spread`` partitions: the kernel is bound by CPU, so their bytes say little.
+    Above it both meet in the cells of the grid ``sides`` (a square if not given), in ``spread``
+    partitions: the kernel is bound by CPU, so their bytes say little. ``pack`` turns what a
+    cell got into its blocks or chunks, so that rows move once.
     """
-    on = [*group, "frames"]
     if bank_bytes <= BROADCAST_BYTES:
-        return blocks.join(F.broadcast(chunks.drop("_part")), on).drop("_part")
-    side = grid_side(blocks.sparkSession)
-    every, own = F.explode(F.sequence(F.lit(0), F.lit(side - 1))), F.pmod("_part", F.lit(side)).cast("int")
-    keys = [*on, "_row", "_col"]
-    dealt = blocks.withColumn("_row", own).withColumn("_col", every).drop("_part").repartition(spread, *keys)
-    held = chunks.withColumn("_col", own).withColumn("_row", every).drop("_part").repartition(spread, *keys)
-    return dealt.join(held, keys).drop("_row", "_col")
+        return blocks.join(F.broadcast(chunks.drop("_part")), [*group, "frames"]).drop("_part")
+    if sides is None:
+        side = F.lit(grid_side(blocks.sparkSession))
+        sides = blocks.select(*group).distinct().withColumn("_rows", side).withColumn("_cols", side)
+    keys = [*group, "_row", "_col"]
+    dealt = pack(in_cells(blocks, "_row", "_col", sides, spread, group), keys, "s").drop("_part")
+    held = pack(in_cells(chunks, "_col", "_row", sides, spread, group), keys, "e").drop("_part")
+    # the lengths are compared beside the join keys: as one of them they would move the rows again
+    met = dealt.join(held.withColumnRenamed("frames", "_frames"), keys)
+    return met.where(F.col("frames") - F.col("_frames") == 0).drop("_frames", "_row", "_col")
 
 
 #: Distances of one student clip (17, 3, 1, T) to experts (17, 3, E, T) under masks (17, E, T).
@@ -173,13 +221,20 @@ def nearest_expert(
         raise ValueError("experts are matched within a skill: name it in group")
     _, bank_bytes = bank_size(bank)
     session = students.sparkSession
-    chunks = packed(clip_rows(bank, group), CHUNK, largest_group(bank, group), group, "e")
-    blocks = packed(clip_rows(students, group), BLOCK, largest_group(students, group), group, "s")
+    sizes = settle(group_sizes(students, bank, group))
+    blocks = parted(students, sizes, "students", BLOCK, group)
+    chunks = parted(bank, sizes, "experts", CHUNK, group)
     # the kernel is bound by CPU, not bytes: keep small inputs on all cores
     spread = max(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    if bank_bytes <= BROADCAST_BYTES and session.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
-        blocks = blocks.repartition(spread)
-    rows = join_blocks(blocks, chunks, bank_bytes, spread, group)
+    if bank_bytes <= BROADCAST_BYTES:
+        blocks = packed(blocks, group, "s")
+        if session.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
+            blocks = blocks.repartition(spread)
+        rows = join_blocks(blocks, packed(chunks, group, "e"), bank_bytes, spread, group)
+    else:
+        # many partitions for few cells: two of them seldom meet in one task
+        spread = max(spread, min(MAX_PARTITIONS, PARTITIONS_PER_CELL * grid_cells(session)))
+        rows = join_blocks(blocks, chunks, bank_bytes, spread, group, grid_sides(sizes, group), packed)
     id_type = students.schema[KEY].dataType
     schema = T.StructType(
         [

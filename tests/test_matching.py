@@ -318,3 +318,45 @@ def test_grid_meets_every_pair_once_with_few_copies(spark, monkeypatch):
     met = M.join_blocks(row("s", 3000), row("e", 30), 1, 4)
     assert met.count() == met.select("s", "e").distinct().count() == 3000 * 30
     assert M.grid_side(spark) <= 4  # of 8 cores
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Many right-handed clips and few left-handed ones, of 6 and 9 frames; every student is near another expert."""
+    hand = F.when(F.col("id") % 12 == 0, "left").otherwise("right")
+    frame = F.explode(F.sequence(F.lit(0), F.when(F.col("id") % 5 == 0, 8).otherwise(5)))
+    at = lambda k: (F.pmod(F.xxhash64("id", "frame", F.lit(k)), F.lit(1000)) / 1000.0)
+    clips = spark.range(360).select("id", F.lit("clear").alias("skill"), hand.alias("handedness"), frame.alias("frame"))
+    return clips.select(
+        F.col("id").cast("int").alias("clip_id"), "skill", "handedness", "frame",
+        F.array(*[at(k) for k in range(51)]).alias("p"), F.array(*[F.when(at(60 + j) > 0.2, 1.0).otherwise(0.0) for j in range(17)]).alias("c"),
+    ).cache()
+
+
+def test_cells_of_uneven_groups_give_the_same_matches(spark, uneven, monkeypatch):
+    students, experts = uneven.where("clip_id >= 120"), uneven.where("clip_id < 120")
+    near = lambda a, b, **how: sorted(
+        (r.clip_id, r.expert_id, round(r.distance, 9), round(r.mean_distance, 9), r.experts) for r in M.match_expert_euclidean(a, b, **how).collect()
+    )
+    plain, others = near(students, experts), near(experts, experts, exclude_self=True)
+    assert len(plain) == 240 and len(others) == 120
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(M, "CHUNK", 4)
+    monkeypatch.setattr(M, "BLOCK", 4)
+    assert near(students, experts) == plain
+    assert near(experts, experts, exclude_self=True) == others
+
+
+def test_frames_move_once_to_cells_shared_by_pairs(spark, uneven, monkeypatch):
+    """Packing and meeting are one move a side, and a small group is not copied to as many cells as a large one."""
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(M, "CHUNK", 4)
+    monkeypatch.setattr(M, "BLOCK", 4)
+    students, experts = uneven.where("clip_id >= 120"), uneven.where("clip_id < 120")
+    plan = M.match_expert_euclidean(students, experts)._jdf.queryExecution().executedPlan().toString()
+    # one for either side and one for the winners
+    assert plan.count("Exchange hashpartitioning(") == 3
+    sides = {r.handedness: (r._rows, r._cols) for r in M.grid_sides(M.group_sizes(students, experts, M.GROUP)).collect()}
+    assert sides["left"] == (1, 1)
+    assert sides["right"][0] > sides["right"][1] > 1
+    assert math.prod(sides["right"]) <= 2 * M.grid_cells(spark)
