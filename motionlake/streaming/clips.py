@@ -13,6 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,10 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a clip that leave the state at a time.
 STEP = 10_000
+#: Buckets of clips that share their state in an ordered stream, and rows of one stored message.
+BUCKETS, PACK = 512, 100_000
+#: Bucket of rows that name no clip.
+NO_CLIP = -1
 
 
 @contextmanager
@@ -51,95 +56,139 @@ def _bring_forward(handle: StatefulProcessorHandle, at_ms: int) -> None:
     handle.registerTimer(at_ms)
 
 
+def _packed(rows: pd.DataFrame) -> list[tuple[bytes]]:
+    """Rows as Arrow messages of at most ``PACK`` rows, the form in which they lie in the state."""
+    out = []
+    for at in range(0, len(rows), PACK):
+        batch = pa.RecordBatch.from_pandas(rows.iloc[at : at + PACK], preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _unpacked(message: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(message)).read_all().to_pandas()
+
+
 class OrderedFrames(StatefulProcessor):
-    """Holds the joints of a clip until the watermark has passed their frame.
+    """Holds the joints of a bucket of clips until the watermark has passed their frame.
 
-    Frames are released in order up to the first one the watermark has not passed, so the
-    numbers of retained frames never have to be taken back. A frame that comes after a
+    Frames of a clip are released in order up to the first one the watermark has not passed,
+    so the numbers of retained frames never have to be taken back. A frame that comes after a
     later one was released (its capture time does not rise with its number) is dropped.
+    A bucket keeps one timer, that of its earliest frame, and looks at all its clips at once,
+    because every call of the state is a round trip.
     """
 
     COLUMNS = ["frame", "us", "dims", "joint", "x", "y", "z", "score"]
-    STATE = "frame bigint, us bigint, dims int, joint int, x double, y double, z double, score double"
 
     def __init__(self, require: Sequence[int]) -> None:
-        self.require = frozenset(require)
+        self.require = sorted(set(require))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", self.STATE)
-        self.place = handle.getValueState("place", "next int, last bigint")
+        self.buffer = handle.getListState("buffer", "part binary")
+        self.place = handle.getListState("place", "part binary")
+
+    def _places(self) -> pd.DataFrame | None:
+        """Next number and last released frame of the bucket's clips, by clip."""
+        parts = [_unpacked(m) for (m,) in self.place.get()]
+        return pd.concat(parts).set_index(KEY) if parts else None
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        last = self.place.get()[1] if self.place.exists() else None
-        first = None
+        places, first = self._places(), None
         for part in rows:
-            if last is not None:
-                part = part[part["frame"] > last]
+            if places is not None:
+                last = places["last"].reindex(part[KEY], fill_value=np.iinfo(np.int64).min)
+                part = part[part["frame"].to_numpy() > last.to_numpy()]
             if len(part):
-                self.buffer.appendList(list(part[self.COLUMNS].itertuples(index=False, name=None)))
-                first = min(int(part["us"].min()), first if first is not None else int(part["us"].min()))
+                self.buffer.appendList(_packed(part[[KEY, *self.COLUMNS]]))
+                least = int(part["us"].min())
+                first = least if first is None else min(first, least)
         if first is not None:
             _bring_forward(self.handle, first // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        # plain rows: a clip holds few of them, and data frame steps cost more than the rows
-        held = list({tuple(None if v != v else v for v in row): None for row in self.buffer.get()})
-        if not held:
+        parts = [_unpacked(m) for (m,) in self.buffer.get()]
+        if not parts:
             return
-        times: dict[int, int] = {}
-        for frame, us, *_ in held:
-            times[frame] = max(us, times.get(frame, us))
-        order = sorted(times)
-        still = next((k for k, f in enumerate(order) if times[f] // 1000 + 1 > watermark), len(order))
-        released = set(order[:still])
-        rest = [row for row in held if row[0] not in released]
+        held = pd.concat(parts, ignore_index=True).drop_duplicates()
+        held["_clip"], clips = pd.factorize(held[KEY], use_na_sentinel=False)
+        held = held.sort_values(["_clip", "frame", "dims", "joint"], kind="stable", ignore_index=True)
+        by_frame = held.groupby(["_clip", "frame"])
+        frames = by_frame["us"].max().reset_index()
+        at = by_frame.ngroup().to_numpy()
+        early = frames["us"] // 1000 + 1 > watermark
+        shut = early.groupby(frames["_clip"]).cummax().to_numpy()
         self.buffer.clear()
-        if rest:
-            self.buffer.appendList(rest)
+        rest = held[shut[at]]
+        if len(rest):
+            self.buffer.appendList(_packed(rest[[KEY, *self.COLUMNS]]))
             # the timer that fired was the only one, and the engine removes it
-            self.handle.registerTimer(times[order[still]] // 1000 + 1)
-        if not released:
+            due = frames[shut].drop_duplicates("_clip")["us"].min()
+            self.handle.registerTimer(int(due) // 1000 + 1)
+        if shut.all():
             return
-        number, _ = self.place.get() if self.place.exists() else (0, None)
-        done = [row for row in held if row[0] in released]
-        seen: dict[tuple[int, int], set[int]] = {}
-        for frame, _, dims, joint, *_ in done:
-            seen.setdefault((frame, dims), set()).add(joint)
-        kept = [f for f in order[:still] if all((f, d) in seen and self.require <= seen[f, d] for d in (2, 3))]
-        self.place.update((number + len(kept), int(order[still - 1])))
-        numbers = dict(zip(kept, range(number, number + len(kept))))
-        out = [(key[0], numbers[r[0]], r[0], *r[2:]) for r in sorted(done, key=lambda r: (r[0], r[2], r[3])) if r[0] in numbers]
-        if out:
-            yield pd.DataFrame(out, columns=[KEY, "frame", "source_frame", *self.COLUMNS[2:]]).astype(
-                {"frame": "int32", **{c: "float64" for c in ("x", "y", "z", "score")}}
-            )
+        kept = ~shut & self._complete(held, at, len(frames))
+        places = self._places()
+        if places is None:
+            places = pd.DataFrame({"next": pd.Series(dtype="int64"), "last": pd.Series(dtype="int64")})
+        begin = places["next"].reindex(clips, fill_value=0).to_numpy()
+        counted = pd.Series(kept.astype("int64")).groupby(frames["_clip"]).cumsum().to_numpy()
+        number = begin[frames["_clip"]] + counted - 1
+        moved = frames[~shut].assign(next=number[~shut] + 1).groupby("_clip").agg(next=("next", "last"), last=("frame", "last"))
+        moved.index = pd.Index(clips).take(moved.index)
+        places = pd.concat([places[~places.index.isin(moved.index)], moved]) if len(places) else moved
+        self.place.put(_packed(places.rename_axis(KEY).reset_index()))
+        out = held[kept[at]].drop(columns=["_clip", "us"]).rename(columns={"frame": "source_frame"})
+        out.insert(1, "frame", number[at[kept[at]]].astype("int32"))
+        out = out.astype({c: "float64" for c in ("x", "y", "z", "score")})
+        if key[0] == NO_CLIP:
+            out[KEY] = None
+        for start in range(0, len(out), STEP):
+            yield out.iloc[start : start + STEP]
+
+    def _complete(self, rows: pd.DataFrame, at: np.ndarray, frames: int) -> np.ndarray:
+        """Frames (rows are numbered with theirs) that have 2-D and 3-D joints, each with the required ones."""
+        good = np.ones(frames, dtype=bool)
+        for dims in (2, 3):
+            own = (rows["dims"] == dims).to_numpy()
+            for some in [own, *(own & (rows["joint"] == j).to_numpy() for j in self.require)]:
+                good &= np.bincount(at[some], minlength=frames) > 0
+        return good
 
     def close(self) -> None:
         pass
 
 
 def ordered_frames(
-    stream: DataFrame, require: Sequence[int] = (), min_score: float = 0.5, watermark: str = "10 seconds"
+    stream: DataFrame, require: Sequence[int] = (), min_score: float = 0.5, watermark: str = "10 seconds", buckets: int = BUCKETS
 ) -> DataFrame:
     """Joints of retained frames, numbered densely in capture order; each frame leaves once.
 
     The stream form of the confidence filter, the retained-frame filter and the source
     provenance: joints scored above ``min_score``, frames with 2-D and 3-D joints (each with
     the joints of ``require``), ``frame`` from 0 and ``source_frame`` as captured. The state
-    of a clip is what the watermark has not passed yet.
+    of a clip is what the watermark has not passed yet. Clips share the state of one of
+    ``buckets`` hash buckets; a task holds the waiting rows of one bucket, so many clips need
+    more of them. The number belongs to the checkpoint and stays while the query lives.
     """
     ship_package(stream.sparkSession)
     rows = P.filter_confidence(stream, min_score).withColumn("us", F.unix_micros("ts")).withWatermark("ts", watermark)
+    kind = rows.schema[KEY].dataType
+    # rows without a clip are a bucket of their own; beside numbers, nulls would turn them to floats
+    bucket = F.when(F.col(KEY).isNull(), NO_CLIP).otherwise(F.pmod(F.xxhash64(KEY), F.lit(buckets))).cast("int")
+    clip = F.coalesce(KEY, F.lit(0).cast(kind)) if isinstance(kind, T.IntegralType) else F.col(KEY)
     rows = rows.select(
-        KEY, "ts", F.col("frame").cast("bigint").alias("frame"), "us", F.col("dims").cast("int").alias("dims"),
+        bucket.alias("_bucket"), clip.alias(KEY), "ts", F.col("frame").cast("bigint").alias("frame"), "us", F.col("dims").cast("int").alias("dims"),
         F.col("joint").cast("int").alias("joint"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "score")],
     )
-    key_type = rows.schema[KEY].dataType.simpleString()
-    schema = f"{KEY} {key_type}, frame int, source_frame bigint, dims int, joint int, x double, y double, z double, score double"
-    return rows.groupBy(KEY).transformWithStateInPandas(OrderedFrames(require), schema, "Append", "EventTime")
+    schema = f"{KEY} {kind.simpleString()}, frame int, source_frame bigint, dims int, joint int, x double, y double, z double, score double"
+    return rows.groupBy("_bucket").transformWithStateInPandas(OrderedFrames(require), schema, "Append", "EventTime")
 
 
 class WholeClips(StatefulProcessor):
