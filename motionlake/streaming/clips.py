@@ -290,8 +290,11 @@ def scorer(
     def write(batch: DataFrame, batch_id: int) -> None:
         folder = f"{target}/batch={batch_id}"
         order = F.dense_rank().over(Window.partitionBy(KEY).orderBy("session"))
-        sessions = batch.select(KEY, "session").distinct().withColumn("_nth", order)
-        rows = settle(P.filter_confidence(batch, min_score).join(sessions, [KEY, "session"], "right"))
+        # What a batch returns has the estimated size of what came in, which may be one row that
+        # completes all clips. Stored it is computed once, and no side of the join is broadcast.
+        held = settle(batch)
+        sessions = settle(held.select(KEY, "session").distinct().withColumn("_nth", order))
+        rows = settle(P.filter_confidence(held, min_score).join(sessions.hint("merge"), [KEY, "session"], "right"))
         most = sessions.agg(F.max("_nth")).first()[0] or 0
         for nth in range(1, most + 1):
             turn = rows.where(F.col("_nth") == nth)
