@@ -22,6 +22,8 @@ from motionlake.llm.common import document_key, parts
 CELL_BYTES = 2 << 20
 #: Text behind one bucket of questions; with cells it sets how many messages there are.
 BUCKET_BYTES = 32 << 20
+#: Partitions per bucket, so that hashes seldom put two into one, as long as there are few.
+TASKS_PER_BUCKET, MAX_TASKS = 4, 1024
 #: Positions hashed at a time, which bounds the arrays for very long texts.
 SLAB = 1 << 17
 BASE = 0x9E3779B97F4A7C15
@@ -170,6 +172,15 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def seed_bucket(seeds: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of every seed, in no order.
+
+    Seeds are the smallest hashes of their windows, so their high halves are small ones: by
+    them the first of 32 buckets would get more than half of all seeds.
+    """
+    return by_bucket(mix(seeds), buckets)
+
+
 MESSAGE = "cell bigint, bucket bigint, body binary"
 
 
@@ -184,6 +195,16 @@ def messages(cell: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     )
 
 
+def meet(asked: DataFrame, buckets: int):
+    """Messages grouped by bucket, on about a task per bucket.
+
+    What a bucket costs is its merging, not its compressed bytes, by which adaptive execution
+    would put most buckets into one task; so their partitions are given.
+    """
+    tasks = min(TASKS_PER_BUCKET * buckets, max(buckets, MAX_TASKS))
+    return asked.repartition(tasks, "bucket").groupBy("bucket")
+
+
 def runs_of(keys: np.ndarray) -> list[tuple[int, int, int]]:
     """(key, start, end) of the runs of a sorted array."""
     if not len(keys):
@@ -195,7 +216,10 @@ def runs_of(keys: np.ndarray) -> list[tuple[int, int, int]]:
 def ask_seeds(cell: int, seeds: np.ndarray, buckets: int) -> pa.Table:
     """The distinct seed hashes of a cell, by bucket."""
     seeds = np.unique(seeds)
-    return messages(cell, [(b, pack(seeds[s:e])) for b, s, e in runs_of(by_bucket(seeds, buckets))])
+    bucket = seed_bucket(seeds, buckets)
+    order = np.argsort(bucket, kind="stable")
+    seeds = seeds[order]
+    return messages(cell, [(b, pack(seeds[s:e])) for b, s, e in runs_of(bucket[order])])
 
 
 def answer_seeds(keys: tuple, table: pa.Table) -> pa.Table:

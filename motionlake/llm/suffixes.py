@@ -108,7 +108,7 @@ def _runs(cell: int, table: pa.Table, answers: pa.Table, buckets: int, size: int
     near = np.flatnonzero(C.shared_seeds(seed, document, answers)) if len(place) else place
     if not len(near):
         return C.messages(cell, [])
-    bucket = C.by_bucket(seed[near], buckets)
+    bucket = C.seed_bucket(seed[near], buckets)
     order = np.argsort(bucket, kind="stable")
     out = []
     for b, s, e in C.runs_of(bucket[order]):
@@ -163,8 +163,8 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, i
         if x == y:
             length[b] = len(x)
             return a, b
-        while x[m] == y[m]:
-            m += 1
+        gap = int.from_bytes(x[m:]) ^ int.from_bytes(y[m:])  # finds the first byte that differs in one step
+        m = len(x) - (gap.bit_length() + 7) // 8
         if x[m] < y[m]:
             length[b] = m
             return a, b
@@ -352,8 +352,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def cut(keys, table, answers):
         return _cut(table, answers, size)
 
-    answers = by_cell.applyInArrow(ask, C.MESSAGE).groupBy("bucket").applyInArrow(C.answer_seeds, C.MESSAGE)
+    answers = C.meet(by_cell.applyInArrow(ask, C.MESSAGE), buckets).applyInArrow(C.answer_seeds, C.MESSAGE)
     sorted_runs = by_cell.cogroup(answers.groupBy("cell")).applyInArrow(runs, C.MESSAGE)
-    late = sorted_runs.groupBy("bucket").applyInArrow(decide, C.MESSAGE)
+    late = C.meet(sorted_runs, buckets).applyInArrow(decide, C.MESSAGE)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     return by_cell.cogroup(late.groupBy("cell")).applyInArrow(cut, schema)
